@@ -1,13 +1,14 @@
 """SimHash near-dedup by multi-index hashing.
 
 A fingerprint of 64 bits is cut into ``SEGMENTS``. Two fingerprints that differ in at most r bits differ in at most r div SEGMENTS bits in
-one segment (Norouzi et al., 2012), so each looks up the small Hamming ball of every one of its segments in a table of all segments, and
-what it meets is verified over all 64 bits inside the join. Equal fingerprints are one row before, so copies are never paired; and
+one segment (Norouzi et al., 2012), so each looks up half the small Hamming ball of every one of its segments (the other half is the other's
+to look up) in a table of all segments, and what it meets is verified over all 64 bits inside the join. Equal fingerprints are one row before, so copies are never paired; and
 as distinct fingerprints within r bits of one are at most a constant number, links can't outgrow the fingerprints.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -26,22 +27,39 @@ WORDS, RADIUS = 3, 3
 _AT_ONCE = 1 << 16
 
 
-def fingerprint(text: str | None, words: int = WORDS, seed: int = 42) -> int:
-    """A bit is 1 if set in over half the XXH64 of the shingles, repeats included; without words all are 0. ASCII letters are lower-cased; fewer
-    words than a shingle has make one shingle."""
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of a family of hashes of a hash (splitmix64); the first is the hash itself."""
+    if not k:
+        return h
+    h = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def wide_fingerprint(text: str | None, words: int, width: int, seed: int = 42) -> np.ndarray:
+    """Words of 64 bits. A bit is 1 if set in over half the hashes of the shingles, repeats included; without words all are 0. The first word is by
+    XXH64. ASCII letters are lower-cased; fewer words than a shingle has make one shingle."""
     tokens = text.encode("utf-8", "replace").lower().split() if text else []  # splits at exactly x20 and x09-x0D
     if not tokens:
-        return 0
+        return np.zeros(width, np.uint64)
     joined = b" ".join(tokens)
     n = max(1, len(tokens) - words + 1)
     starts = list(accumulate((len(t) + 1 for t in tokens[: n - 1]), initial=0))
     ends = accumulate((len(t) + 1 for t in tokens[words:]), initial=sum(map(len, tokens[:words])) + min(words, len(tokens)) - 1)
-    digest, total = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
+    digest, total = xxhash.xxh64_intdigest, np.zeros((width, BITS), np.int64)
     hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends)), np.uint64, n)
     for at in range(0, n, _AT_ONCE):
-        part = hashes[at : at + _AT_ONCE].astype("<u8").view(np.uint8).reshape(-1, 8)
-        total += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(2 * total > n, bitorder="little").tobytes(), "little")
+        part = hashes[at : at + _AT_ONCE]
+        for k in range(width):
+            bits = np.unpackbits(_mixed(part, k).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            total[k] += bits.sum(0, dtype=np.uint32)
+    return np.packbits(2 * total > n, axis=1, bitorder="little").reshape(-1).view("<u8")
+
+
+def fingerprint(text: str | None, words: int = WORDS, seed: int = 42) -> int:
+    """The first word of the wide fingerprint."""
+    return int(wide_fingerprint(text, words, 1, seed)[0])
 
 
 def fingerprints(text: Column, words: int = WORDS) -> Column:
@@ -55,47 +73,64 @@ def fingerprints(text: Column, words: int = WORDS) -> Column:
     return of(text)
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def wide_fingerprints(text: Column, words: int) -> Column:
+    """The wide fingerprint of a text column as signed longs."""
 
+    @F.pandas_udf("array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([wide_fingerprint(t, words, WIDE).astype(np.int64) for t in texts])
 
-def segment_probes(segments: int = SEGMENTS, radius: int = RADIUS) -> list[tuple[int, list[int]]]:
-    """For each segment its mask and what to flip in it, as signed longs. With r = q * segments + a, the first a + 1 segments are searched
-    to radius q, the others to q - 1."""
-    q, a = divmod(radius, segments)
-    out = []
-    for s in range(segments):
-        lo, hi = s * BITS // segments, (s + 1) * BITS // segments
-        reach = q if s <= a else q - 1
-        flips = [sum(1 << b for b in c) for n in range(reach + 1) for c in combinations(range(lo, hi), n)]
-        out.append((_signed(((1 << hi) - 1) ^ ((1 << lo) - 1)), [_signed(f) for f in flips]))
-    return out
+    return of(text)
 
 
-def _ball(fp: Column, seg: int, mask: int, flips: list[int]) -> Column:
-    """A segment's Hamming ball as an array of keys."""
-    own = fp.bitwiseAND(F.lit(mask))
-    return F.transform(F.array(*map(F.lit, flips)), lambda f: F.struct(F.lit(seg).alias("seg"), own.bitwiseXOR(f).alias("key")))
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def links(prints: DataFrame, fp: str = "fp", radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
-    """``src, dst`` of all distinct fingerprints that differ in at most ``radius`` bits; each once for every segment that shows it."""
-    probes = segment_probes(segments, radius)
-    table = F.array(*[F.struct(F.lit(s).alias("seg"), F.col(fp).bitwiseAND(F.lit(mask)).alias("key")) for s, (mask, _) in enumerate(probes)])
-    query = F.concat(*[_ball(F.col(fp), s, mask, flips) for s, (mask, flips) in enumerate(probes) if flips])
-    a = prints.select(F.col(fp).alias("src"), F.explode(query).alias("a")).select("src", "a.seg", "a.key")
-    b = prints.select(F.col(fp).alias("dst"), F.explode(table).alias("b")).select("dst", "b.seg", "b.key")
-    close = F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= radius
-    return a.join(b, ["seg", "key"]).where((F.col("src") < F.col("dst")) & close).select("src", "dst")
+def segment_reach(segments: int, radius: int) -> list[int]:
+    """How far each segment is searched so that no pair within ``radius`` is missed: with r = q * segments + a, the first a + 1 segments to q,
+    the others to q - 1 (-1: not at all)."""
+    q, a = divmod(radius, segments)
+    return [q if s <= a else q - 1 for s in range(segments)]
+
+
+def _ball(word: Column, seg: int, lo: int, hi: int, reach: int) -> list[Column]:
+    """The keys that a segment (bits lo to hi of a word) looks up: itself and, of its Hamming ball, what has a 1 in the highest place that differs. Of two
+    segments the one with the 0 there finds the other."""
+    own = word.bitwiseAND(F.lit(_signed(((1 << hi) - 1) ^ ((1 << lo) - 1))))
+    flips = [(_signed(sum(1 << b for b in c)), _signed(1 << max(c))) for n in range(1, reach + 1) for c in combinations(range(lo, hi), n)]
+    out = [F.array(F.struct(F.lit(seg).alias("seg"), own.alias("key")))] if reach >= 0 else []
+    if flips:
+        pairs = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(h).alias("h")) for f, h in flips])
+        up = F.filter(pairs, lambda p: own.bitwiseAND(p["h"]) == 0)
+        out.append(F.transform(up, lambda p: F.struct(F.lit(seg).alias("seg"), own.bitwiseXOR(p["f"]).alias("key"))))
+    return out
 
 
-def group_fingerprints(prints: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
-    """``fp, component_id`` for a table ``fp, rep`` of distinct fingerprints: the smallest ``rep`` reachable by links."""
-    parts = connected_components(links(prints, "fp", radius, segments))
-    reps = parts.select(F.col("node").alias("fp"), "component").join(prints, "fp")
+def links(prints: DataFrame, words: list[str], segments: int, reach: list[int], most: int) -> DataFrame:
+    """``src, dst``: pairs of ``node`` whose ``words`` (columns of 64 bits, each cut into ``segments``) come within ``reach`` in some segment and differ in at most
+    ``most`` bits in all. A pair may come more than once and in either order. Distances are compared inside the join."""
+    places = [(w, s, k * BITS // segments, (k + 1) * BITS // segments, reach[k]) for j, w in enumerate(words) for k in range(segments) for s in [j * segments + k]]
+    own = lambda w, lo, hi: F.col(w).bitwiseAND(F.lit(_signed(((1 << hi) - 1) ^ ((1 << lo) - 1))))
+    table = F.array(*[F.struct(F.lit(s).alias("seg"), own(w, lo, hi).alias("key")) for w, s, lo, hi, r in places if r >= 0])
+    query = F.concat(*[x for w, s, lo, hi, r in places for x in _ball(F.col(w), s, lo, hi, r)])
+    columns = list(dict.fromkeys(["node", *words]))
+    side = lambda x, p: prints.select(*[F.col(c).alias(f"{p}{c}") for c in columns], F.explode(x).alias("x")).select(*[f"{p}{c}" for c in columns], "x.seg", "x.key")
+    differ = F.lit(0)
+    for w in words:
+        differ = differ + F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}")))
+    met = side(query, "a").join(side(table, "b"), ["seg", "key"]).where((F.col("anode") != F.col("bnode")) & (differ <= most))
+    return met.select(F.col("anode").alias("src"), F.col("bnode").alias("dst"))
+
+
+def group_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, component_id`` for ``nodes`` (``node, rep``): the smallest ``rep`` reachable by links."""
+    parts = connected_components(edges)
+    reps = parts.join(nodes.select("node", "rep"), "node")
     least = reps.groupBy("component").agg(F.min("rep").alias("least"))
-    found = reps.join(least, "component").select("fp", "least")
-    return prints.join(found, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    found = reps.join(least, "component").select("node", "least")
+    return nodes.select("node", "rep").join(found, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -105,24 +140,51 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     there are none but nulls. Rows of one doc_id stay apart. An empty table gives no rows; extra columns are ignored.
     """
     rows = materialize(docs.select(F.col("doc_id").cast("long"), fingerprints(F.col("text"), words).alias("fp")), "fingerprints")
-    prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
-    return rows.join(materialize(group_fingerprints(prints, radius), "groups"), "fp", "left").select("doc_id", "fp", "component_id")
+    nodes = materialize(rows.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
+    groups = materialize(group_nodes(nodes, links(nodes, ["node"], SEGMENTS, segment_reach(SEGMENTS, radius), radius)), "groups")
+    return rows.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "fp", "component_id")
+
+
+#: For similarity of texts: words of a wide fingerprint, words of it that are indexed, segments of each, how far these are searched,
+#: differing bits of the indexed words that are looked into further.
+WIDE, INDEXED, PARTS, REACH, NEAR = 8, 2, 4, 1, 32
+
+
+def differing(similarity: float, bits: int = WIDE * BITS) -> int:
+    """Bits of a wide fingerprint that differ in texts whose shingle sets have this Jaccard similarity: their angle's share, and one
+    standard deviation."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
+def similar_documents(tagged: DataFrame, text: str, rank: Column, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``_row`` of one row of ``tagged`` (with ``_fp``, its wide fingerprint) for each group: the one with the smallest ``rank``.
+
+    Fingerprints of 64 bits can't tell a similarity of 0.8 from chance in a large corpus. So the fingerprint is ``WIDE`` words, by as many hashes of
+    each shingle; the first ``INDEXED`` are searched by their segments' Hamming balls, and what comes near is verified over all words.
+    """
+    nodes = tagged.groupBy(F.col("_fp").alias("fp")).agg(F.min(rank).alias("rep"))
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "fp", "rep", *[F.col("fp")[k].alias(f"w{k}") for k in range(INDEXED)]), "wide-fingerprints")
+    near = materialize(links(nodes, [f"w{k}" for k in range(INDEXED)], PARTS, [REACH] * PARTS, NEAR).distinct(), "near-fingerprints")
+    fps = nodes.select("node", "fp")
+    both = near.join(fps.toDF("src", "a"), "src").join(fps.toDF("dst", "b"), "dst")
+    differ = F.aggregate(F.zip_with("a", "b", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    edges = both.where(differ <= differing(similarity)).select("src", "dst")
+    return group_nodes(nodes, edges).select(F.col("component_id.row").alias("_row")).distinct()
 
 
-def dedup_documents(docs: DataFrame, words: int = 5, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest doc_id (nulls last; of rows with one doc_id the first in the input).
+def dedup_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of similar ones: the one with the smallest doc_id (nulls last; of rows with one doc_id the first in the input).
 
-    All columns stay, whatever their names. The texts are read for the fingerprints and written once with a row number, and the kept
-    rows are found by it.
+    All columns stay, whatever their names. Null and empty texts are one group. The texts are read for the fingerprints and written once with
+    a row number, and the kept rows are found by it.
     """
     cols = docs.columns
     inner = docs.toDF(*[f"c{k}" for k in range(len(cols))])
     doc_id, text = (f"c{cols.index(c)}" for c in ("doc_id", "text"))
-    tagged = materialize(inner.withColumn("_fp", fingerprints(F.col(text), words)).withColumn("_row", F.monotonically_increasing_id()), "tagged")
+    tagged = materialize(inner.withColumn("_fp", wide_fingerprints(F.col(text), words)).withColumn("_row", F.monotonically_increasing_id()), "tagged")
     rank = F.struct(F.col(doc_id).isNull().alias("late"), F.col(doc_id).cast("long").alias("doc_id"), F.col("_row").alias("row"))
-    prints = tagged.groupBy(F.col("_fp").alias("fp")).agg(F.min(rank).alias("rep"))
-    prints = materialize(prints, "distinct-fingerprints")
-    kept = group_fingerprints(prints, radius).select(F.col("component_id.row").alias("_row")).distinct()
+    kept = materialize(similar_documents(tagged, text, rank, words, similarity), "kept")
     out = tagged.join(kept, "_row", "left_semi").select(*[f"c{k}" for k in range(len(cols))])
     return out.toDF(*cols)
 
