@@ -49,7 +49,7 @@ def _pieces(texts: list) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
 def _repeats(raw: np.ndarray) -> np.ndarray:
     """Where eight bytes, none of them padding, equal those up to ``LAG`` before them."""
     found, solid = np.zeros(len(raw), bool), raw != 0
-    for lag in range(2, LAG + 1):
+    for lag in range(2, min(LAG, len(raw) - 8) + 1):
         same = raw[lag:] == raw[:-lag]
         same &= solid[lag:]
         for n in (1, 2, 4):
