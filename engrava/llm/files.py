@@ -41,16 +41,22 @@ def read_range(uri: str, offset: int = 0, length: int | None = None) -> bytes:
         return f.read(length) if length is not None else f.read()
 
 
+def in_slices(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that what is made of its texts is small beside it."""
+    for at in range(0, len(batch), rows):
+        yield batch.slice(at, rows)
+
+
 #: One row per document that a writer has put into a file.
 PLACED = T.StructType([T.StructField("file_no", T.LongType()), T.StructField("path", T.StringType()), T.StructField("ordinal", T.LongType()), T.StructField("doc_id", T.LongType())])
 #: One row per file.
 MANIFEST = T.StructType([T.StructField("part", T.LongType()), T.StructField("file_no", T.LongType()), T.StructField("path", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType())])
 
 
-def write_documents(docs: DataFrame, uri: str, encode: Callable[[str | None], bytes], pack: Callable[[list, list[bytes]], bytes], suffix: str, per_document: bool = False) -> DataFrame:
+def write_documents(docs: DataFrame, uri: str, encode: Callable[[pa.Array], list[bytes]], pack: Callable[[list, list[bytes]], bytes], suffix: str, per_document: bool = False) -> DataFrame:
     """Write ``docs`` (``doc_id``, ``text``), as they lie in their partitions, into files below ``uri``.
 
-    ``encode`` gives a document's ids as little-endian unsigned 32-bit integers; ``pack`` makes a file of the ids of some documents.
+    ``encode`` gives texts' ids as little-endian unsigned 32-bit integers; ``pack`` makes a file of the ids of some documents.
     A file is closed after ``FILE_IDS`` ids, so a worker's memory holds one file and the longest document. Names follow from the
     partition and the file's number in it, so a repeated task overwrites its own files. Lazy: returns the manifest's rows
     (``MANIFEST``, or ``PLACED`` for each document), to be materialised once.
@@ -68,14 +74,13 @@ def write_documents(docs: DataFrame, uri: str, encode: Callable[[str | None], by
                 return pa.RecordBatch.from_pydict({"file_no": [no] * len(ids), "path": [path] * len(ids), "ordinal": range(len(ids)), "doc_id": ids}, pa.schema([("file_no", pa.int64()), ("path", pa.string()), ("ordinal", pa.int64()), ("doc_id", pa.int64())]))
             return pa.RecordBatch.from_pydict({"part": [part], "file_no": [no], "path": [path], "n_docs": [len(ids)], "n_ids": [size]}, pa.schema([("part", pa.int64()), ("file_no", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids.append(doc_id)
-                parts.append(encode(text.as_py()))
-                size += len(parts[-1]) // 4
-                if size >= FILE_IDS:
-                    yield close()
-                    seq, ids, parts, size = seq + 1, [], [], 0
+        for doc_id, raw in ((d, r) for b in batches for c in in_slices(b) for d, r in zip(c.column("doc_id").to_pylist(), encode(c.column("text")))):
+            ids.append(doc_id)
+            parts.append(raw)
+            size += len(raw) // 4
+            if size >= FILE_IDS:
+                yield close()
+                seq, ids, parts, size = seq + 1, [], [], 0
         if ids:
             yield close()
 

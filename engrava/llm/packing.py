@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from engrava.llm.files import in_slices
 from engrava.llm.tokens import VOCABULARIES, vocabulary, word_tokenizer
 from engrava.plans.storage import materialize
 
@@ -155,18 +156,18 @@ def tokenize_pieces(docs: DataFrame, vocab: str = "byte_bpe_50k", end_id: int =
     A document of more than ``capacity`` ids is cut from its end: all its pieces are full but, maybe, the first. A null text counts as
     empty. Lazy; to be materialised once, as the ranks hold for one run.
     """
-    name, pieces = VOCABULARIES[vocab]
+    name, spaced = VOCABULARIES[vocab]
     end = np.array([end_id], "<u4").tobytes()
     schema = pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("local", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, tokenizer, ranks = TaskContext.get().partitionId(), word_tokenizer(vocabulary(name), pieces), [0] * (capacity + 1)
-        for batch in batches:
+        part, tokenizer, ranks = TaskContext.get().partitionId(), word_tokenizer(vocabulary(name), spaced), [0] * (capacity + 1)
+        for batch in (c for b in batches for c in in_slices(b)):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                raw = memoryview(tokenizer.ids_bytes(text.as_py()) + end)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.batch(batch.column("text"))):
+                raw = memoryview(ids + end)
                 n = len(raw) // 4
                 stops = range(n - (n - 1) // capacity * capacity, n + 1, capacity)
                 start = 0

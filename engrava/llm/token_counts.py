@@ -29,13 +29,14 @@ def write_flat_files(docs: DataFrame, uri: str, vocab: str = "word_bpe_49k", dty
 
     A null text counts as empty; every document is ended by the vocabulary's end id. No shuffle.
     """
-    name, pieces = VOCABULARIES[vocab]
+    name, spaced = VOCABULARIES[vocab]
     end = END_IDS[vocab]
     if np.iinfo(dtype).max < end:
         raise ValueError(f"{dtype} cannot hold id {end}")
+    last = np.array([end], "<u4").tobytes()
 
-    def ids(text: str | None) -> bytes:
-        return word_tokenizer(vocabulary(name), pieces).ids_bytes(text) + np.array([end], "<u4").tobytes()
+    def ids(texts: pa.Array) -> list[bytes]:
+        return [x + last for x in word_tokenizer(vocabulary(name), spaced).batch(texts)]
 
     def pack(_: list, parts: list[bytes]) -> bytes:
         return np.frombuffer(b"".join(parts), "<u4").astype(dtype).tobytes()

@@ -147,11 +147,11 @@ def write_token_files(docs: DataFrame, uri: str, vocab: str = "word_bpe_49k", en
     A null text counts as empty; each document ends with ``end_id``. A null doc_id comes first; rows with one doc_id keep the order of
     the input. An empty table writes no file. Extra columns are ignored. The text is shuffled once, by ranges of doc_id.
     """
-    name, pieces = VOCABULARIES[vocab]
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    name, spaced = VOCABULARIES[vocab]
+    last = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
-    def ids(text: str | None) -> bytes:
-        return word_tokenizer(vocabulary(name), pieces).ids_bytes(text) + end
+    def ids(texts: pa.Array) -> list[bytes]:
+        return [x + last for x in word_tokenizer(vocabulary(name), spaced).batch(texts)]
 
     return materialize(write_documents(in_id_order(docs), uri, ids, pack_file, "s8b"), "s8b-manifest")
 

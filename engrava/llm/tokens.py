@@ -1,98 +1,154 @@
 """Token ids of whole texts, a distinct word at a time.
 
 Both tokenizers cut text where white space begins before any merge is made, so a text's ids are those of its words one after another.
-A worker asks the library for the ids of each distinct word once and keeps them, in a table of bounded size, as little-endian bytes.
+Arrow splits a batch of texts into words and numbers the distinct ones; the library is asked for the ids of each word that a worker hasn't met
+yet, and the texts' ids are gathered from a table of bounded size.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Unicode White_Space, as the tokenizers' ``\s`` has it.
-_WS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-
-
-def _plain() -> tuple[str, str, str]:
-    """Of the characters below U+0250 and general punctuation: letters, numbers, and all that composition and lower-casing treat one at a time, as character classes."""
-    chars = [chr(c) for c in (*range(0x250), *range(0x2010, 0x2028), *range(0x2030, 0x2060))]
-    kept = [c for c in chars if len(c.lower()) == 1 and unicodedata.is_normalized("NFC", c)]
-    of = lambda k: "".join(re.escape(c) for c in kept if unicodedata.category(c)[0] == k)
-    return of("L"), of("N"), "".join(re.escape(c) for c in kept)
-
-
-_L, _N, _PLAIN = _plain()
-_ENDS = "'s|'t|'re|'ve|'m|'ll|'d"
-_is_plain = re.compile(f"[{_PLAIN}]*").fullmatch
-#: The pieces of a text that tokenise alone as they do in place, for plain texts and for all others. ``spaced``: a word takes the one
-#: space before it along. ``bare``: white space is dropped, and letters are lower-cased first.
-_PIECES = {
-    "spaced": (
-        re.compile(f"{_ENDS}| ?[{_L}]+| ?[{_N}]+| ?[^{_WS}{_L}{_N}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"),
-        re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"),
-    ),
-    "bare": (re.compile(f"{_ENDS}|[{_L}]+|[{_N}]|[^{_WS}{_L}{_N}]+"), re.compile("[^ \t\n\r]+")),
-}
-#: Words in each of the two generations that a worker keeps, and the longest that is kept.
-KEPT_WORDS, KEPT_CHARS = 250_000, 64
+#: Words whose ids a worker keeps, and bytes of text split at once.
+KEPT_WORDS, BYTES = 700_000, 1 << 22
+#: Where splitting at single spaces and line ends isn't what the byte-level pattern does: a space before a line end, runs of three, of two at the end, and all
+#: other Unicode white space (and the mark that is split at).
+_UNEVEN = "[ \n]{3}|[ \n]{2}$| \n|[\x1f\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Texts of printable ASCII, white space and Latin letters only, and without apostrophes, are split at punctuation, too.
+_LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_OTHER = f"[^\\t-\\r -~{_LATIN}]|'"
+_MARKS = r"!-&(-/:-@\[-`{-~"
+_FINE = {True: f"( ?[A-Za-z{_LATIN}]+| ?[0-9]+| ?[{_MARKS}]+|\n)", False: f"([A-Za-z{_LATIN}]+|[0-9]|[{_MARKS}]+)"}
 
 
 class WordTokenizer:
-    """Ids by ``tokenizers`` for the vocabulary file ``path``; ``pieces`` names how the file's pattern treats white space.
+    """Ids by ``tokenizers`` for the vocabulary file ``path``. With ``spaced`` a word takes the space before it along, else white space is dropped.
 
     Strings of special tokens in a text count as ordinary text.
     """
 
-    def __init__(self, path: str, pieces: str):
+    def __init__(self, path: str, spaced: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        (self.find_plain, self.find), self.lower = (x.findall for x in _PIECES[pieces]), pieces == "bare"
-        self.kept: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def words(self, text: str) -> list[str]:
-        if not _is_plain(text):
-            return self.find(text)
-        return self.find_plain(text.lower() if self.lower else text)
-
-    def ids_bytes(self, text: str | None) -> bytes:
-        """The text's ids as little-endian unsigned 32-bit integers; of a null or empty text none."""
-        if not text:
-            return b""
-        words = self.words(text)
-        parts = list(map(self.kept.get, words))
-        if None in parts:
-            self._fill(words, parts)
-        return b"".join(parts)
-
-    def _fill(self, words: list[str], parts: list) -> None:
-        kept, old, found = self.kept, self.old, {}
-        missing = list(dict.fromkeys(w for w, b in zip(words, parts) if b is None))
-        new = [w for w in missing if w not in old]
-        for i in range(0, len(new), 4096):
-            batch = new[i : i + 4096]
-            for w, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)):
-                found[w] = np.array(e.ids, dtype="<u4").tobytes()
-        for w in missing:
-            b = found[w] = found[w] if w in found else old[w]
-            if len(w) <= KEPT_CHARS:
-                kept[w] = b
-        for i, b in enumerate(parts):
-            if b is None:
-                parts[i] = found[words[i]]
-        if len(kept) > KEPT_WORDS:
-            self.old, self.kept = kept, {}
+        self.spaced = spaced
+        self.mark = "\n"
+        vocab = self.tokenizer.get_vocab()
+        self.mark_id = self.tokenizer.encode("\n", add_special_tokens=False).ids[0] if spaced else -1
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.row: dict[str, int] = {}
+        self.first, self.count, self.pool, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids one after another, and the number of each word's."""
+        # Joined by line ends, which the patterns always set apart, words cost half as much; those with white space inside are done alone.
+        alone = [k for k, w in enumerate(words) if not w or w.strip(" ") == "" or "\n" in w] if self.spaced else [k for k, w in enumerate(words) if not w]
+        if not alone and len(words) > 1:
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(words)], add_special_tokens=False)[0].ids, np.uint32)
+            if self.spaced:
+                cuts = np.flatnonzero(ids == self.mark_id)
+                if len(cuts) == len(words) - 1:
+                    return np.delete(ids, cuts), np.diff(cuts, prepend=-1, append=len(ids)) - 1
+            else:
+                cuts = np.flatnonzero(self.ends[ids])
+                if len(cuts) == len(words):
+                    return ids, np.diff(cuts, prepend=-1)
+        elif alone and len(alone) < len(words):
+            lone = set(alone)
+            rest = [k for k in range(len(words)) if k not in lone]
+            parts: list = [None] * len(words)
+            for which in (alone, rest):
+                ids, sizes = self._each([words[k] for k in which]) if which is alone else self._ids([words[k] for k in which])
+                for k, x in zip(which, np.split(ids, np.cumsum(sizes)[:-1])):
+                    parts[k] = x
+            return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return self._each(words)
+
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        """Each word's row of the table; new ones are added."""
+        if len(self.row) > KEPT_WORDS:
+            self._forget()
+        get = self.row.get
+        rows = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        missing = np.flatnonzero(rows < 0)
+        if not len(missing):
+            return rows
+        new = [words[k] for k in missing.tolist()]
+        ids, sizes = self._ids(new)
+        at, total = len(self.row), len(ids)
+        while at + len(new) > len(self.first):
+            self.first, self.count = np.append(self.first, np.zeros_like(self.first)), np.append(self.count, np.zeros_like(self.count))
+        while self.used + total > len(self.pool):
+            self.pool = np.append(self.pool, np.zeros_like(self.pool))
+        self.pool[self.used : self.used + total] = ids
+        self.count[at : at + len(new)] = sizes
+        self.first[at : at + len(new)] = self.used + np.cumsum(sizes) - sizes
+        self.used += total
+        rows[missing] = range(at, at + len(new))
+        self.row.update(zip(new, range(at, at + len(new))))
+        return rows
+
+    def _split(self, texts: pa.Array) -> pa.ListArray:
+        fine = pc.invert(pc.match_substring_regex(texts, _OTHER))
+        if pc.all(fine).as_py():
+            split = pc.replace_substring_regex(texts, _FINE[self.spaced], "\\1\x1f" if self.spaced else "\\1 ")
+        elif self.spaced:
+            split = pc.replace_substring(pc.replace_substring(texts, " ", "\x1f "), "\n", "\x1f\n\x1f")
+        else:
+            split = texts
+        return pc.split_pattern(split, "\x1f") if self.spaced else pc.ascii_split_whitespace(split)
+
+    def batch(self, texts: pa.Array) -> list[bytes]:
+        """Of each text the ids as little-endian unsigned 32-bit integers; of null and empty texts none."""
+        texts = pc.fill_null(texts, "")
+        # Texts that are split alike go together, some at a time.
+        other = np.asarray(pc.match_substring_regex(texts, _OTHER))
+        uneven = np.asarray(pc.match_substring_regex(texts, _UNEVEN)) if self.spaced else np.zeros(len(texts), bool)
+        out: list = [None] * len(texts)
+        size = pc.binary_length(texts).to_numpy()
+        for kind in range(3):
+            mine = np.flatnonzero(uneven if kind == 2 else ~uneven & (other == bool(kind)))
+            groups = np.cumsum(size[mine]) // BYTES
+            for g in np.unique(groups):
+                part = mine[groups == g]
+                for k, raw in zip(part.tolist(), self._whole(texts.take(pa.array(part))) if kind == 2 else self._some(texts.take(pa.array(part)))):
+                    out[k] = raw
+        return out
+
+    def _whole(self, texts: pa.Array) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+
+    def _some(self, texts: pa.Array) -> list[bytes]:
+        split = self._split(texts)
+        coded = split.flatten().dictionary_encode()
+        rows = self._rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        sizes = self.count[rows]
+        stops = np.append(0, np.cumsum(sizes))
+        index = np.repeat(self.first[rows] - stops[:-1], sizes)
+        index += np.arange(len(index))
+        raw = self.pool[index].astype("<u4", copy=False).tobytes()
+        words = np.append(0, np.cumsum(pc.list_value_length(split).to_numpy()))
+        ends = (4 * stops[words]).tolist()
+        return [raw[a:b] for a, b in zip(ends, ends[1:])]
 
 
 @lru_cache(maxsize=4)
-def word_tokenizer(path: str, pieces: str) -> WordTokenizer:
+def word_tokenizer(path: str, spaced: bool) -> WordTokenizer:
     """One tokenizer for each worker process."""
-    return WordTokenizer(path, pieces)
+    return WordTokenizer(path, spaced)
 
 
 def vocabulary(name: str) -> str:
@@ -102,5 +158,5 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: Vocabulary file and white space rule, by short name.
-VOCABULARIES = {"word_bpe_49k": ("word_bpe_49k.json", "bare"), "byte_bpe_50k": ("byte_bpe_50k.json", "spaced")}
+#: Vocabulary file, and whether a word takes the space before it along, by short name.
+VOCABULARIES = {"word_bpe_49k": ("word_bpe_49k.json", False), "byte_bpe_50k": ("byte_bpe_50k.json", True)}
