@@ -468,13 +468,13 @@ def _(s, d):
     return retrieval.memory_confidence(admission.active(statistics.aged(V.facts(s, d), AS_OF)))
 
 
-@_query("budget_prefix", "SELECT id, tokens, used FROM (SELECT *, CAST(sum(tokens) OVER (ORDER BY rank) AS BIGINT) AS used FROM (SELECT id, r AS rank, CAST((strlen(content) + 3) // 4 AS BIGINT) AS tokens FROM kw JOIN memories USING (id))) WHERE used <= 2000", _CHANNELS)
+@_query("budget_prefix", "SELECT id, tokens, used FROM (SELECT *, CAST(sum(tokens) OVER (ORDER BY rank) AS BIGINT) AS used FROM (SELECT id, r AS rank, CAST((strlen(content) + 3) // 4 AS BIGINT) AS tokens FROM kw JOIN memories USING (id))) WHERE used <= 60000", _CHANNELS)
 def _(s, d):
     from pyspark.sql import Window
 
     hits = _channels(s, d)[0].withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
     sized = hits.join(V.memories(s, d).select("id", F.floor((F.octet_length("content") + 3) / 4).alias("tokens")), "id")
-    return retrieval.budget_prefix(sized, 2000).select("id", "tokens", "used")
+    return retrieval.budget_prefix(sized, 60000).select("id", "tokens", "used")
 
 
 @_query("watch_matches", f"SELECT q.id AS watch_id, m.id, round(len(list_intersect({_TOKENS.format('content')}, terms)) / len(terms), 6) AS score FROM memories m, (VALUES (1, ['and', 'of', 'the', 'zzz']), (2, ['le', 'la', 'de'])) AS q(id, terms) WHERE len(list_intersect({_TOKENS.format('content')}, terms)) / len(terms) >= 0.7")
