@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engrava.functions import text as T
-from engrava.operators import admission, extraction, graph, lifecycle, retrieval, statistics, timeline
+from engrava.operators import admission, clusters, extraction, graph, lifecycle, ranking, retrieval, statistics, timeline
 from engrava.plans import views as V
 from engrava.plans.views import AS_OF
 
@@ -531,3 +531,174 @@ def _(s, d):
 @_query("last_reinforced", None)
 def _(s, d):
     return lifecycle.last_reinforced(V.facts(s, d), V.accesses(s, d))
+
+
+# Clusters, inference, alerts
+
+
+_WEIGHTS = "each AS (SELECT DISTINCT memory_id, lower(trim(subject)) AS s FROM facts), weights AS (SELECT a.s AS a, b.s AS b, count(*) AS weight FROM each a JOIN each b ON a.memory_id = b.memory_id AND a.s < b.s GROUP BY 1, 2)"
+
+
+@_query("subject_weights", "SELECT a, b, weight FROM weights", _WEIGHTS)
+def _(s, d):
+    return clusters.subject_weights(V.facts(s, d))
+
+
+@_query("topic_clusters", None)
+def _(s, d):
+    return clusters.topic_clusters(V.facts(s, d))
+
+
+@_query("cohesion", "SELECT cluster, count(*) AS size, round(CASE WHEN count(*) > 1 THEN coalesce(any_value(n), 0) / (count(*) * (count(*) - 1) / 2) ELSE 1.0 END, 9) AS cohesion FROM members LEFT JOIN inside USING (cluster) GROUP BY cluster", f"{_WEIGHTS}, members AS (SELECT DISTINCT lower(subject) AS subject, CAST(entity_id % 40 AS BIGINT) AS cluster FROM facts), inside AS (SELECT x.cluster, count(*) AS n FROM weights JOIN members x ON a = x.subject JOIN members y ON b = y.subject AND x.cluster = y.cluster GROUP BY 1)")
+def _(s, d):
+    rows = V.facts(s, d)
+    return clusters.cohesion(rows.select(F.lower("subject").alias("subject"), (F.col("entity_id") % 40).alias("cluster")).distinct(), clusters.subject_weights(rows))
+
+
+@_query("cluster_list", "SELECT project_id, size, predicates, round(0.65 * size / (SELECT max(size) FROM x) + 0.35 * predicates / 5, 9) AS relevance FROM x", "x AS (SELECT project_id, count(*) AS size, count(DISTINCT predicate) AS predicates FROM facts GROUP BY 1)")
+def _(s, d):
+    return clusters.cluster_list(V.facts(s, d))
+
+
+@_query("assign_by_subject", "SELECT f.id, v.project_id FROM facts f JOIN (SELECT lower(subject) AS s, project_id FROM facts WHERE id % 9 <> 0 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY lower(subject) ORDER BY count(*) DESC, project_id) = 1) v ON lower(f.subject) = v.s WHERE f.id % 9 = 0")
+def _(s, d):
+    rows = V.facts(s, d)
+    return clusters.assign_by_subject(rows.where("id % 9 = 0"), rows.where("id % 9 <> 0"))
+
+
+@_query("supersession_edges", f"SELECT top AS source_fact_id, id AS target_fact_id FROM (SELECT id, object, row_number() OVER w AS r, first_value(id) OVER w AS top, first_value(object) OVER w AS top_object FROM facts WHERE {_ACTIVE} WINDOW w AS (PARTITION BY lower(subject), lower(predicate) ORDER BY created_at DESC, id DESC)) WHERE r BETWEEN 2 AND 5 AND object <> top_object")
+def _(s, d):
+    return clusters.supersession_edges(V.facts(s, d))
+
+
+@_query("subject_pair_edges", "SELECT a.id AS source_fact_id, b.id AS target_fact_id FROM top a JOIN top b ON a.subject = b.subject AND a.r < b.r", f"top AS (SELECT subject, id, row_number() OVER (PARTITION BY subject ORDER BY created_at DESC, id DESC) AS r FROM facts WHERE {_ACTIVE} AND subject IN (SELECT subject FROM facts WHERE {_ACTIVE} GROUP BY 1 HAVING count(DISTINCT predicate) >= 2) QUALIFY r <= 10)")
+def _(s, d):
+    return clusters.subject_pair_edges(V.facts(s, d))
+
+
+@_query("decay_alerts", f"SELECT id, CASE WHEN effective < 0.3 THEN 'critical' ELSE 'warning' END AS severity FROM aged WHERE {_ACTIVE} AND effective < 0.5 AND id NOT IN (SELECT fact_id FROM accesses WHERE access_type = 'import')", _AGED)
+def _(s, d):
+    return clusters.decay_alerts(V.facts(s, d), V.accesses(s, d).where("access_type = 'import'"), AS_OF)
+
+
+@_query("unique_edges", "SELECT source_fact_id, target_fact_id, edge_type, CAST(round(max(confidence), 9) AS DOUBLE) AS confidence FROM edges WHERE source_fact_id <> target_fact_id GROUP BY 1, 2, 3")
+def _(s, d):
+    e = V.edges(s, d)
+    return clusters.unique_edges(e.union(e))
+
+
+@_query("unclustered_facts", "SELECT count(*) AS n FROM facts f WHERE NOT EXISTS (SELECT 1 FROM accesses a WHERE a.fact_id = f.id)")
+def _(s, d):
+    return V.facts(s, d).join(V.accesses(s, d).select(F.col("fact_id").alias("id")), "id", "left_anti").agg(F.count("*").alias("n"))
+
+
+@_query("cross_agent", "SELECT fact_id FROM accesses WHERE created_at >= TIMESTAMP '2024-01-10 00:00:00' GROUP BY 1 HAVING count(DISTINCT agent_id) >= 2")
+def _(s, d):
+    recent = V.accesses(s, d).where("created_at >= TIMESTAMP_NTZ '2024-01-10 00:00:00'")
+    return recent.groupBy("fact_id").agg(F.countDistinct("agent_id").alias("n")).where("n >= 2").select("fact_id")
+
+
+@_query("predicate_mix", "SELECT predicate, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM facts), 9) AS percent FROM facts GROUP BY 1")
+def _(s, d):
+    rows = V.facts(s, d)
+    total = rows.agg(F.count("*").alias("total"))
+    return rows.groupBy("predicate").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("predicate", "n", F.round(F.col("n") * 100.0 / F.col("total"), 9).alias("percent"))
+
+
+@_query("top_subjects", "SELECT subject, count(*) AS n, round(avg(confidence), 12) AS avg_confidence FROM facts GROUP BY 1 ORDER BY n DESC, subject LIMIT 500")
+def _(s, d):
+    return V.facts(s, d).groupBy("subject").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 12).alias("avg_confidence")).orderBy(F.desc("n"), "subject").limit(500)
+
+
+# Ranking, text and scope
+
+
+@_query("source_tier", "SELECT id, tier, CAST(CASE tier WHEN 'core' THEN 1.575 WHEN 'transient' THEN 0.735 WHEN 'connector' THEN 0.97 WHEN 'journal' THEN 1.365 ELSE 1.05 END AS DOUBLE) AS weight FROM (SELECT id, CASE WHEN starts_with(p, 'notes/src1') THEN 'core' WHEN ends_with(p, '.csv') THEN 'transient' WHEN ends_with(p, '.json') THEN 'connector' WHEN regexp_matches(p, '/\\d{4}-\\d{2}-\\d{2}') THEN 'journal' ELSE 'other' END AS tier FROM (SELECT id, lower(source_file) AS p FROM memories))")
+def _(s, d):
+    return V.memories(s, d).select("id", ranking.source_tier(F.col("source_file")).alias("tier"), ranking.tier_weight(F.col("source_file")).alias("weight"))
+
+
+@_query("source_prefix", "SELECT id FROM memories WHERE lower(source_file) = 'notes/src3.md' OR starts_with(lower(source_file), 'notes/src3.md:') OR starts_with(lower(source_file), 'notes/src3.md/') OR starts_with(lower(source_file), 'notes/')")
+def _(s, d):
+    rows = V.memories(s, d)
+    return rows.where(ranking.matches_prefix(F.col("source_file"), "Notes/src3.md") | ranking.matches_prefix(F.col("source_file"), "notes")).select("id")
+
+
+@_query("lexical_overlap", f"SELECT id FROM memories WHERE list_has_any({_TOKENS.format('content')}, ['der', 'und'])")
+def _(s, d):
+    return ranking.lexical_overlap(V.memories(s, d), "der und").select("id")
+
+
+@_query("merge_injected", "SELECT id, round(sum(score), 9) AS score FROM (SELECT id, score FROM kw UNION ALL SELECT id, score FROM se) GROUP BY 1", _CHANNELS)
+def _(s, d):
+    return ranking.merge_injected(*_channels(s, d))
+
+
+@_query("snippets", "SELECT id, CASE WHEN p > 0 THEN substring(content, greatest(1, p - 20), 60) ELSE substring(content, 1, 60) END AS snippet FROM (SELECT id, content, strpos(lower(content), ' the ') AS p FROM memories)")
+def _(s, d):
+    return V.memories(s, d).select("id", ranking.snippet(F.col("content"), " The ").alias("snippet"))
+
+
+_ALL_TOKENS = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda t: length(t) >= 1)"
+
+
+@_query("overlap_with_previous", "SELECT conv_id, turn, round(CASE WHEN least(len(s), len(p)) > 0 THEN len(list_intersect(s, p)) / least(len(s), len(p)) ELSE 0.0 END, 9) AS overlap FROM (SELECT conv_id, turn, s, lag(s) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM sh) WHERE p IS NOT NULL", f"tk AS (SELECT conv_id, turn, {_ALL_TOKENS.format('text')} AS w FROM conversations), sh AS (SELECT conv_id, turn, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) ELSE w END) AS s FROM tk)")
+def _(s, d):
+    return ranking.overlap_with_previous(V.turns(s, d))
+
+
+@_query("cosine_with_previous", "SELECT a.conv_id, a.turn, round(sum(a.n * b.n) / (any_value(na.norm) * any_value(nb.norm)), 9) AS cosine FROM tf a JOIN tf b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1 AND a.t = b.t JOIN nm na ON na.conv_id = a.conv_id AND na.turn = a.turn JOIN nm nb ON nb.conv_id = b.conv_id AND nb.turn = b.turn GROUP BY 1, 2", f"tf AS (SELECT conv_id, turn, t, count(*) AS n FROM (SELECT conv_id, turn, unnest({_TOKENS.format('text')}) AS t FROM conversations) GROUP BY 1, 2, 3), nm AS (SELECT conv_id, turn, sqrt(sum(n * n)) AS norm FROM tf GROUP BY 1, 2)")
+def _(s, d):
+    return ranking.cosine_with_previous(V.turns(s, d))
+
+
+@_query("fact_text_score", "SELECT id, round(len(list_intersect(list_distinct(list_filter(string_split_regex(lower(concat_ws(' ', subject, predicate, object)), '[^a-z0-9]+'), lambda t: length(t) >= 1)), ['customer', '000000003', 'low'])) / 3 + CASE WHEN contains('customer 000000003 low', lower(subject)) THEN 0.35 ELSE 0 END + CASE WHEN contains('customer 000000003 low', lower(object)) THEN 0.15 ELSE 0 END + CASE WHEN contains('customer 000000003 low', lower(predicate)) THEN 0.10 ELSE 0 END, 9) AS score FROM facts")
+def _(s, d):
+    return V.facts(s, d).select("id", F.round(ranking.fact_text_score("customer 000000003 low", F.col("subject"), F.col("predicate"), F.col("object")), 9).alias("score"))
+
+
+@_query("predicate_group", "SELECT id, CASE WHEN contains(p, 'urgent') OR (contains(p, 'high') ) OR contains(p, 'low') THEN 'priority' WHEN contains(p, 'not specified') THEN 'unknown' WHEN contains(p, 'medium') THEN 'priority' ELSE 'other' END AS grp FROM (SELECT id, lower(predicate) AS p FROM facts)")
+def _(s, d):
+    return V.facts(s, d).select("id", ranking.predicate_group(F.col("predicate")).alias("grp"))
+
+
+@_query("enriched_content", "SELECT id, md5('[' || regexp_replace(regexp_extract(source_file, '([^/]+)$', 1), '\\.[^.]*$', '') || CASE WHEN memory_class <> 'rule' THEN ' > ' || memory_class ELSE '' END || '] ' || content) AS h FROM memories")
+def _(s, d):
+    rows = V.memories(s, d).withColumn("section", F.when(F.col("memory_class") == "rule", "").otherwise(F.col("memory_class")))
+    return rows.select("id", F.md5(ranking.enriched(F.col("content"), F.col("source_file"), F.col("section"))).alias("h"))
+
+
+@_query("infer_project", "SELECT id, CASE WHEN greatest(a, b) < 2 THEN '' WHEN a >= b THEN 'english' ELSE 'german' END AS project FROM (SELECT id, contains(lower(content), 'the ')::INT + contains(lower(content), ' of ')::INT AS a, contains(lower(content), 'der ')::INT + contains(lower(content), ' und ')::INT + contains(lower(content), 'die ')::INT AS b FROM memories)")
+def _(s, d):
+    return V.memories(s, d).select("id", ranking.infer_project(F.col("content"), [("english", ["the ", " of "]), ("german", ["der ", " und ", "die "])]).alias("project"))
+
+
+@_query("best_per_triple", "SELECT id FROM facts QUALIFY row_number() OVER (PARTITION BY lower(trim(subject)), lower(trim(predicate)), lower(trim(object)) ORDER BY confidence DESC, id) = 1")
+def _(s, d):
+    return ranking.best_per_triple(V.facts(s, d))
+
+
+@_query("resolve_entities", "SELECT name, coalesce(e1.id, e2.id, e3.id) AS entity_id, CASE WHEN e1.id IS NOT NULL THEN 'exact' WHEN e2.id IS NOT NULL THEN 'case' WHEN e3.id IS NOT NULL THEN 'alias' ELSE 'create' END AS how FROM nm LEFT JOIN en e1 ON e1.name0 = nm.name LEFT JOIN en e2 ON lower(e2.name0) = lower(nm.name) LEFT JOIN (SELECT entity_id AS id, lower(predicate) || entity_id AS al FROM facts GROUP BY ALL) e3 ON e3.al = lower(nm.name)", "en AS (SELECT c_custkey AS id, c_name AS name0 FROM customer), nm AS (SELECT DISTINCT CASE o_orderkey % 4 WHEN 0 THEN c_name WHEN 1 THEN upper(c_name) WHEN 2 THEN o_orderpriority || o_custkey ELSE 'new ' || (o_orderkey % 50) END AS name FROM orders JOIN customer ON o_custkey = c_custkey)")
+def _(s, d):
+    rows, customer = V.facts(s, d), s.read.parquet(f"{d}/customer.parquet")
+    names = rows.select(F.expr("CASE id % 4 WHEN 0 THEN subject WHEN 1 THEN upper(subject) WHEN 2 THEN concat(predicate, entity_id) ELSE concat('new ', id % 50) END").alias("name"))
+    aliases = rows.select("entity_id", F.expr("concat(lower(predicate), entity_id)").alias("alias")).distinct()
+    return ranking.resolve_entities(names, customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("canonical_name")), aliases)
+
+
+@_query("hubs", "SELECT subject, count(*) AS refs, count(DISTINCT project_id) AS topics FROM facts GROUP BY 1 HAVING count(*) >= 8")
+def _(s, d):
+    return ranking.hubs(V.facts(s, d))
+
+
+@_query("markdown_export", "SELECT source_file, '## ' || source_file || chr(10) || string_agg('- ' || replace(substring(content, 1, 40), chr(10), ' '), chr(10) ORDER BY id) AS page FROM memories GROUP BY 1")
+def _(s, d):
+    return ranking.markdown_export(V.memories(s, d))
+
+
+@_query("lifecycle_report", f"SELECT policy, count(*) AS n FROM (SELECT 'promote' AS policy, f.id FROM facts f JOIN (SELECT fact_id, count(*) AS n FROM accesses GROUP BY 1) ON fact_id = f.id WHERE {_ACTIVE} AND state = 'active' AND confidence >= 0.5 AND n >= 3 UNION ALL SELECT 'retire', f.id FROM aged f LEFT JOIN (SELECT fact_id, max(created_at) AS last FROM accesses GROUP BY 1) ON fact_id = f.id WHERE {_ACTIVE} AND state = 'active' AND effective < 0.2 AND epoch(TIMESTAMP '{AS_OF}') - epoch(coalesce(last, created_at)) >= 86400 * 90) GROUP BY 1", _AGED)
+def _(s, d):
+    rows, log = V.facts(s, d), V.accesses(s, d)
+    parts = [("promote", lifecycle.promotable(rows, log)), ("retire", lifecycle.retirable(rows, log, AS_OF))]
+    each = [df.select(F.lit(name).alias("policy")) for name, df in parts]
+    return each[0].union(each[1]).groupBy("policy").agg(F.count("*").alias("n"))
