@@ -605,9 +605,9 @@ def _(s, d):
     return rows.groupBy("predicate").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("predicate", "n", F.round(F.col("n") * 100.0 / F.col("total"), 9).alias("percent"))
 
 
-@_query("top_subjects", "SELECT subject, count(*) AS n, round(avg(confidence), 12) AS avg_confidence FROM facts GROUP BY 1 ORDER BY n DESC, subject LIMIT 500")
+@_query("top_subjects", "SELECT subject, count(*) AS n, round(sum(confidence), 9) AS total_confidence FROM facts GROUP BY 1 ORDER BY n DESC, subject LIMIT 500")
 def _(s, d):
-    return V.facts(s, d).groupBy("subject").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 12).alias("avg_confidence")).orderBy(F.desc("n"), "subject").limit(500)
+    return V.facts(s, d).groupBy("subject").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 9).alias("total_confidence")).orderBy(F.desc("n"), "subject").limit(500)
 
 
 # Ranking, text and scope
