@@ -41,7 +41,7 @@ def read_range(uri: str, offset: int = 0, length: int | None = None) -> bytes:
         return f.read(length) if length is not None else f.read()
 
 
-def in_slices(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+def in_slices(batch: pa.RecordBatch, rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """A batch in parts, so that what is made of its texts is small beside it."""
     for at in range(0, len(batch), rows):
         yield batch.slice(at, rows)

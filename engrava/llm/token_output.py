@@ -65,19 +65,22 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]
             shift = n - half
             fits[:, : block - shift] &= widest[half][:, shift:] <= WIDTHS[s]
             fits[:, block - shift :] = False
+        if not fits.any():
+            break  # what fits a selector of more ids fits those of fewer
         choice[fits] = s
     del widest
+    choice = choice.reshape(-1)
     step = COUNTS.copy()
     step[0] = 1
     ends = np.minimum(block, len(ids) - np.arange(blocks) * block)
-    flat, at, lanes, taken = choice.reshape(-1), np.zeros(blocks, np.int64), np.arange(blocks), []
+    at, lanes, taken = np.zeros(blocks, np.int64), np.arange(blocks), []
     while len(lanes):  # one word of every unfinished block at a time
         here = lanes * block + at[lanes]
         taken.append(here)
-        at[lanes] += step[flat[here]]
+        at[lanes] += step[choice[here]]
         lanes = lanes[at[lanes] < ends[lanes]]
     first = np.sort(np.concatenate(taken))
-    sel = flat[first]
+    sel = choice[first]
     words_each = np.where(sel == 0, 2, 1)
     place = np.cumsum(words_each) - words_each
     words = np.zeros(int(words_each.sum()), np.uint64)
@@ -188,8 +191,8 @@ def read_token_files(manifest: DataFrame, digest: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(doc_ids[k : k + 256], pa.int64()), pa.array(b - n + first), pa.array(n), values], schema=schema)
 
     files = materialize(file_starts(manifest).select("path", "first"), "s8b-files")
-    tasks = min(files.count(), int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4)  # a few files to each task
-    return files.repartition(max(1, tasks)).mapInArrow(read, out)
+    tasks = max(1, -(-files.count() // 4), files.sparkSession.sparkContext.defaultParallelism)  # some files to each task
+    return files.repartition(tasks).mapInArrow(read, out)
 
 
 def op8_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,15 +14,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words whose ids a worker keeps, and bytes of text split at once.
-KEPT_WORDS, BYTES = 700_000, 1 << 22
+KEPT_WORDS, BYTES = 800_000, 6 << 20
 #: Where splitting at single spaces and line ends isn't what the byte-level pattern does: a space before a line end, runs of three, of two at the end, and all
 #: other Unicode white space (and the mark that is split at).
 _UNEVEN = "[ \n]{3}|[ \n]{2}$| \n|[\x1f\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-#: Texts of printable ASCII, white space and Latin letters only, and without apostrophes, are split at punctuation, too.
-_LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
-_OTHER = f"[^\\t-\\r -~{_LATIN}]|'"
-_MARKS = r"!-&(-/:-@\[-`{-~"
-_FINE = {True: f"( ?[A-Za-z{_LATIN}]+| ?[0-9]+| ?[{_MARKS}]+|\n)", False: f"([A-Za-z{_LATIN}]+|[0-9]|[{_MARKS}]+)"}
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+#: A comma or full stop between a letter and white space is a word of its own, in either pattern.
+_STOP = f"([{_LATIN}])([,.])([ \n])"
+#: In texts of nothing but Latin letters, printable ASCII without apostrophes, and white space, so are letters, digits and all other marks where white space is dropped.
+_PARTS, _OTHER = f"([{_LATIN}]+|[0-9]|[!-/:-@\\[-`{{-~]+)", f"[^\\t-\\r -~{_LATIN}]|'"
 
 
 class WordTokenizer:
@@ -37,31 +37,37 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
-        self.mark = "\n"
-        vocab = self.tokenizer.get_vocab()
-        self.mark_id = self.tokenizer.encode("\n", add_special_tokens=False).ids[0] if spaced else -1
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
-        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        self.mark = "\n" if spaced else " \0 "
+        self.mark_id = self.tokenizer.encode(self.mark, add_special_tokens=False).ids[0]
         self._forget()
 
-    def _forget(self) -> None:
-        self.row: dict[str, int] = {}
-        self.first, self.count, self.pool, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
+    def _forget(self, most: int = 0) -> None:
+        """Keep at most ``most`` words: those that most batches held."""
+        if not most:
+            self.row: dict[str, int] = {}
+            self.first, self.count, self.seen, self.pool, self.used = *(np.zeros(1 << 16, np.int32) for _ in range(3)), np.zeros(1 << 18, "<u4"), 0
+            return
+        n = len(self.row)
+        least = 2 + int(np.searchsorted(-np.cumsum(np.bincount(self.seen[:n])[::-1])[::-1][2:], -most))
+        kept = np.flatnonzero(self.seen[:n] >= least)
+        words = list(self.row)
+        self.row = {words[k]: r for r, k in enumerate(kept.tolist())}
+        first, count = self.first[kept], self.count[kept]
+        stops = np.cumsum(count)
+        ids = self.pool[np.repeat(first - stops + count, count) + np.arange(int(stops[-1]) if len(stops) else 0)]
+        self.pool[: len(ids)], self.used = ids, len(ids)
+        self.first[: len(kept)], self.count[: len(kept)], self.seen[: len(kept)] = stops - count, count, 1
+        self.seen[len(kept) :] = 0
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids one after another, and the number of each word's."""
-        # Joined by line ends, which the patterns always set apart, words cost half as much; those with white space inside are done alone.
-        alone = [k for k, w in enumerate(words) if not w or w.strip(" ") == "" or "\n" in w] if self.spaced else [k for k, w in enumerate(words) if not w]
+        # Joined by a mark that the patterns always set apart, words cost half as much; such as could join with it are done alone.
+        alone = [k for k, w in enumerate(words) if w.strip(" ") == "" or self.mark.strip(" ") in w]
         if not alone and len(words) > 1:
             ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(words)], add_special_tokens=False)[0].ids, np.uint32)
-            if self.spaced:
-                cuts = np.flatnonzero(ids == self.mark_id)
-                if len(cuts) == len(words) - 1:
-                    return np.delete(ids, cuts), np.diff(cuts, prepend=-1, append=len(ids)) - 1
-            else:
-                cuts = np.flatnonzero(self.ends[ids])
-                if len(cuts) == len(words):
-                    return ids, np.diff(cuts, prepend=-1)
+            cuts = np.flatnonzero(ids == self.mark_id)
+            if len(cuts) == len(words) - 1:
+                return np.delete(ids, cuts), np.diff(cuts, prepend=-1, append=len(ids)) - 1
         elif alone and len(alone) < len(words):
             lone = set(alone)
             rest = [k for k in range(len(words)) if k not in lone]
@@ -80,51 +86,48 @@ class WordTokenizer:
     def _rows(self, words: list[str]) -> np.ndarray:
         """Each word's row of the table; new ones are added."""
         if len(self.row) > KEPT_WORDS:
-            self._forget()
+            self._forget(KEPT_WORDS // 2)
         get = self.row.get
         rows = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         missing = np.flatnonzero(rows < 0)
+        self.seen[rows[rows >= 0]] += 1
         if not len(missing):
             return rows
         new = [words[k] for k in missing.tolist()]
         ids, sizes = self._ids(new)
         at, total = len(self.row), len(ids)
         while at + len(new) > len(self.first):
-            self.first, self.count = np.append(self.first, np.zeros_like(self.first)), np.append(self.count, np.zeros_like(self.count))
+            self.first, self.count, self.seen = (np.append(x, np.zeros_like(x)) for x in (self.first, self.count, self.seen))
         while self.used + total > len(self.pool):
             self.pool = np.append(self.pool, np.zeros_like(self.pool))
         self.pool[self.used : self.used + total] = ids
         self.count[at : at + len(new)] = sizes
         self.first[at : at + len(new)] = self.used + np.cumsum(sizes) - sizes
         self.used += total
+        self.seen[at : at + len(new)] = 1
         rows[missing] = range(at, at + len(new))
         self.row.update(zip(new, range(at, at + len(new))))
         return rows
 
     def _split(self, texts: pa.Array) -> pa.ListArray:
-        fine = pc.invert(pc.match_substring_regex(texts, _OTHER))
-        if pc.all(fine).as_py():
-            split = pc.replace_substring_regex(texts, _FINE[self.spaced], "\\1\x1f" if self.spaced else "\\1 ")
-        elif self.spaced:
-            split = pc.replace_substring(pc.replace_substring(texts, " ", "\x1f "), "\n", "\x1f\n\x1f")
-        else:
-            split = texts
-        return pc.split_pattern(split, "\x1f") if self.spaced else pc.ascii_split_whitespace(split)
+        if not self.spaced:
+            plain = not pc.any(pc.match_substring_regex(texts, _OTHER)).as_py()
+            return pc.ascii_split_whitespace(pc.replace_substring_regex(texts, _PARTS, "\\1 ") if plain else pc.replace_substring_regex(texts, _STOP, "\\1 \\2\\3"))
+        marked = pc.replace_substring_regex(texts, _STOP, "\\1\x1f\\2\\3")
+        return pc.split_pattern(pc.replace_substring(pc.replace_substring(marked, " ", "\x1f "), "\n", "\x1f\n\x1f"), "\x1f")
 
     def batch(self, texts: pa.Array) -> list[bytes]:
         """Of each text the ids as little-endian unsigned 32-bit integers; of null and empty texts none."""
         texts = pc.fill_null(texts, "")
-        # Texts that are split alike go together, some at a time.
-        other = np.asarray(pc.match_substring_regex(texts, _OTHER))
-        uneven = np.asarray(pc.match_substring_regex(texts, _UNEVEN)) if self.spaced else np.zeros(len(texts), bool)
+        apart = np.asarray(pc.match_substring_regex(texts, _UNEVEN if self.spaced else _OTHER))
         out: list = [None] * len(texts)
         size = pc.binary_length(texts).to_numpy()
-        for kind in range(3):
-            mine = np.flatnonzero(uneven if kind == 2 else ~uneven & (other == bool(kind)))
+        for kind, encode in ((False, self._some), (True, self._whole if self.spaced else self._some)):
+            mine = np.flatnonzero(apart == kind)
             groups = np.cumsum(size[mine]) // BYTES
             for g in np.unique(groups):
                 part = mine[groups == g]
-                for k, raw in zip(part.tolist(), self._whole(texts.take(pa.array(part))) if kind == 2 else self._some(texts.take(pa.array(part)))):
+                for k, raw in zip(part.tolist(), encode(texts.take(pa.array(part)))):
                     out[k] = raw
         return out
 
@@ -134,15 +137,16 @@ class WordTokenizer:
     def _some(self, texts: pa.Array) -> list[bytes]:
         split = self._split(texts)
         coded = split.flatten().dictionary_encode()
-        rows = self._rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        sizes = self.count[rows]
-        stops = np.append(0, np.cumsum(sizes))
-        index = np.repeat(self.first[rows] - stops[:-1], sizes)
-        index += np.arange(len(index))
-        raw = self.pool[index].astype("<u4", copy=False).tobytes()
-        words = np.append(0, np.cumsum(pc.list_value_length(split).to_numpy()))
-        ends = (4 * stops[words]).tolist()
-        return [raw[a:b] for a, b in zip(ends, ends[1:])]
+        rows = self._rows(coded.dictionary.to_pylist())
+        first, count, codes = self.first[rows], self.count[rows], coded.indices.to_numpy()
+        sizes = count[codes]
+        stops = np.cumsum(sizes, dtype=np.int32 if len(sizes) < 1 << 24 else np.int64)  # a word that is kept has few ids
+        index = np.repeat(first[codes] - stops + sizes, sizes)
+        index += np.arange(len(index), dtype=index.dtype)
+        raw = self.pool[index].tobytes()
+        words = np.cumsum(pc.list_value_length(split).to_numpy())
+        ends = np.where(words > 0, 4 * stops[words - 1].astype(np.int64), 0).tolist() if len(stops) else [0] * len(texts)
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
 @lru_cache(maxsize=4)
