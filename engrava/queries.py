@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engrava.functions import text as T
-from engrava.operators import admission, clusters, extraction, graph, lifecycle, ranking, retrieval, statistics, timeline
+from engrava.operators import admission, clusters, extraction, graph, lifecycle, ranking, recall, retrieval, statistics, timeline
 from engrava.plans import views as V
 from engrava.plans.views import AS_OF
 
@@ -702,3 +702,85 @@ def _(s, d):
     parts = [("promote", lifecycle.promotable(rows, log)), ("retire", lifecycle.retirable(rows, log, AS_OF))]
     each = [df.select(F.lit(name).alias("policy")) for name, df in parts]
     return each[0].union(each[1]).groupBy("policy").agg(F.count("*").alias("n"))
+
+
+# Recall
+
+
+@_query("temporal_neighbors", "SELECT a.id, b.id AS neighbor FROM facts a JOIN facts b ON a.entity_id = b.entity_id AND a.id <> b.id AND abs(epoch(a.created_at) - epoch(b.created_at)) <= 86400 * 7")
+def _(s, d):
+    return recall.temporal_neighbors(V.facts(s, d))
+
+
+@_query("overlapping_windows", "SELECT w.key, w.n FROM w WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.key = w.key AND w.s <= k.e AND w.e >= k.s)", "w AS (SELECT predicate AS key, entity_id % 50 AS n, min(created_at) AS s, max(created_at) AS e FROM facts WHERE id % 5 = 0 GROUP BY 1, 2), k AS (SELECT predicate AS key, min(created_at) AS s, max(created_at) AS e FROM facts WHERE id % 97 = 0 GROUP BY 1)")
+def _(s, d):
+    rows = V.facts(s, d)
+    w = rows.where("id % 5 = 0").groupBy(F.col("predicate").alias("key"), (F.col("entity_id") % 50).alias("n")).agg(F.min("created_at").alias("start"), F.max("created_at").alias("end"))
+    k = rows.where("id % 97 = 0").groupBy(F.col("predicate").alias("key")).agg(F.min("created_at").alias("start"), F.max("created_at").alias("end"))
+    return recall.overlapping_windows(w, k).select("key", "n")
+
+
+@_query("active_directives", "SELECT id, rule FROM (VALUES (1, 'be brief', 'global', 'active'), (2, 'no dates', 'alpha', 'active'), (3, 'old', 'global', 'retired'), (4, 'other', 'beta', 'active')) AS t(id, rule, scope, status) WHERE status = 'active' AND scope IN ('global', 'alpha')")
+def _(s, d):
+    rows = s.sql("SELECT * FROM VALUES (1, 'be brief', 'global', 'active'), (2, 'no dates', 'alpha', 'active'), (3, 'old', 'global', 'retired'), (4, 'other', 'beta', 'active') AS t(id, rule, scope, status)")
+    return recall.active_directives(rows, "alpha").select("id", "rule")
+
+
+@_query("fact_history", "SELECT root, id, CAST(step AS INTEGER) AS step FROM chain", "one AS (SELECT f.id AS root, g.id, g.superseded_by, 1 AS step FROM facts f JOIN facts g ON f.superseded_by = g.id), two AS (SELECT one.root, g.id, g.superseded_by, 2 AS step FROM one JOIN facts g ON one.superseded_by = g.id), chain AS (SELECT root, id, step FROM one UNION ALL SELECT root, id, step FROM two)")
+def _(s, d):
+    return recall.fact_history(V.facts(s, d))
+
+
+@_query("sanitize", "SELECT id, md5(array_to_string(list_filter(string_split(content, chr(10)), lambda x: NOT regexp_matches(x, '(?i)(ignore (all|previous)|system prompt|you are now|password|secret|token = )')), chr(10))) AS h FROM memories")
+def _(s, d):
+    return V.memories(s, d).select("id", F.md5(recall.sanitize(F.col("content"))).alias("h"))
+
+
+@_query("query_strategy", "SELECT q, CASE WHEN regexp_matches(lower(q), '\\b(compare|versus|vs|difference)\\b') THEN 'comparison' WHEN regexp_matches(lower(q), '\\b(both|between|connect)\\b') THEN 'bridge' WHEN regexp_matches(lower(q), '\\b(when|before|after|since|until|yesterday|last)\\b') THEN 'temporal' WHEN regexp_matches(lower(q), '\\b(who|whose|where)\\b') THEN 'entity' ELSE 'default' END AS strategy FROM (VALUES ('Compare A and B'), ('what is between x and y'), ('When did it start'), ('who owns this'), ('plain words'), ('whenever')) AS t(q)")
+def _(s, d):
+    rows = s.sql("SELECT * FROM VALUES ('Compare A and B'), ('what is between x and y'), ('When did it start'), ('who owns this'), ('plain words'), ('whenever') AS t(q)")
+    return rows.select("q", recall.query_strategy(F.col("q")).alias("strategy"))
+
+
+@_query("recall_class", f"SELECT memory_id, CASE WHEN live = 0 THEN 'retired' WHEN c >= 0.6 THEN 'prompt_safe' ELSE 'evidence' END AS class FROM (SELECT memory_id, count(*) FILTER ({_ACTIVE}) AS live, avg(confidence) FILTER ({_ACTIVE}) AS c FROM facts GROUP BY 1)")
+def _(s, d):
+    return recall.recall_class(V.facts(s, d))
+
+
+@_query("spread_activation", "SELECT node, CAST(round(max(x), 9) AS DOUBLE) AS activation FROM (SELECT 30 AS node, 1.0 AS x UNION ALL SELECT node, x FROM h1 UNION ALL SELECT node, x FROM h2) GROUP BY 1", "dir AS (SELECT source_fact_id AS a, target_fact_id AS b, confidence AS c FROM edges UNION ALL SELECT target_fact_id, source_fact_id, confidence FROM edges), h1 AS (SELECT b AS node, CAST(max(0.7 * c) AS DOUBLE) AS x FROM dir WHERE a = 30 AND 0.7 * c >= 0.1 GROUP BY 1), h2 AS (SELECT b AS node, max(x * 0.7 * c) AS x FROM h1 JOIN dir ON a = node WHERE x * 0.7 * c >= 0.1 GROUP BY 1)")
+def _(s, d):
+    seeds = _start(s, 30).withColumn("activation", F.lit(1.0))
+    return recall.spread_activation(V.edges(s, d), seeds)
+
+
+@_query("scene_expansion", "SELECT DISTINCT c.conv_id, c.turn FROM conversations c JOIN conversations s ON c.conv_id = s.conv_id AND abs(c.turn - s.turn) <= 1 WHERE s.conv_id % 3 = 0 AND s.turn = 1")
+def _(s, d):
+    t = V.turns(s, d)
+    return recall.scene(t, t.where("conv_id % 3 = 0 AND turn = 1")).select("conv_id", "turn")
+
+
+@_query("near_duplicates_in_time", "SELECT a.id, b.id AS other, round(sum(x.n * y.n) / (any_value(p.norm) * any_value(q.norm)), 9) AS cosine FROM near a JOIN memories b ON b.id = a.other JOIN tf x ON x.id = a.id JOIN tf y ON y.id = b.id AND x.w = y.w JOIN nm p ON p.id = a.id JOIN nm q ON q.id = b.id GROUP BY 1, 2 HAVING round(sum(x.n * y.n) / (any_value(p.norm) * any_value(q.norm)), 9) >= 0.95", f"near AS (SELECT a.id, b.id AS other FROM memories a JOIN memories b ON epoch(a.imported_at) - epoch(b.imported_at) BETWEEN 0 AND 10000 AND (a.imported_at > b.imported_at OR b.id < a.id) QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY b.imported_at DESC, b.id DESC) <= 100), tf AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest({_TOKENS.format('content')}) AS w FROM memories) GROUP BY 1, 2), nm AS (SELECT id, sqrt(sum(n * n)) AS norm FROM tf GROUP BY 1)")
+def _(s, d):
+    return recall.near_duplicates_in_time(V.memories(s, d), seconds=10000)
+
+
+def _result_list(s, d):
+    from pyspark.sql import Window
+
+    hits = retrieval.bm25(V.memories(s, d), "the and of", 30).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).withColumn("query_id", F.lit(1))
+    return hits.join(V.memories(s, d).select("id", "content", "source_file", F.floor((F.octet_length("content") + 3) / 4).alias("tokens")), "id")
+
+
+@_query("skip_packing", None)
+def _(s, d):
+    return recall.skip_packing(_result_list(s, d), 6, 4500).select("id", "rank", "tokens")
+
+
+@_query("drop_overlapping", None)
+def _(s, d):
+    return recall.drop_overlapping(_result_list(s, d)).select("id", "rank")
+
+
+@_query("normalize_chunks", None)
+def _(s, d):
+    return recall.normalize_chunks(V.memories(s, d).select(F.col("id").cast("string").alias("path"), "content"))
