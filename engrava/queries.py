@@ -712,11 +712,11 @@ def _(s, d):
     return recall.temporal_neighbors(V.facts(s, d))
 
 
-@_query("overlapping_windows", "SELECT w.key, w.n FROM w WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.key = w.key AND w.s <= k.e AND w.e >= k.s)", "w AS (SELECT predicate AS key, entity_id % 50 AS n, min(created_at) AS s, max(created_at) AS e FROM facts WHERE id % 5 = 0 GROUP BY 1, 2), k AS (SELECT predicate AS key, min(created_at) AS s, max(created_at) AS e FROM facts WHERE id % 97 = 0 GROUP BY 1)")
+@_query("overlapping_windows", "SELECT w.key, w.n FROM w WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.key = w.key AND w.s <= k.e AND w.e >= k.s)", "w AS (SELECT predicate AS key, entity_id AS n, min(created_at) AS s, max(created_at) AS e FROM facts WHERE id % 5 = 0 GROUP BY 1, 2), k AS (SELECT predicate AS key, min(created_at) AS s, max(created_at) AS e FROM facts WHERE created_at < TIMESTAMP '1997-01-01' GROUP BY 1)")
 def _(s, d):
     rows = V.facts(s, d)
-    w = rows.where("id % 5 = 0").groupBy(F.col("predicate").alias("key"), (F.col("entity_id") % 50).alias("n")).agg(F.min("created_at").alias("start"), F.max("created_at").alias("end"))
-    k = rows.where("id % 97 = 0").groupBy(F.col("predicate").alias("key")).agg(F.min("created_at").alias("start"), F.max("created_at").alias("end"))
+    w = rows.where("id % 5 = 0").groupBy(F.col("predicate").alias("key"), F.col("entity_id").alias("n")).agg(F.min("created_at").alias("start"), F.max("created_at").alias("end"))
+    k = rows.where("created_at < TIMESTAMP_NTZ '1997-01-01 00:00:00'").groupBy(F.col("predicate").alias("key")).agg(F.min("created_at").alias("start"), F.max("created_at").alias("end"))
     return recall.overlapping_windows(w, k).select("key", "n")
 
 
