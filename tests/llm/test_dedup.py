@@ -86,6 +86,21 @@ def test_dedup_by_similarity(spark):
     assert simhash.dedup_documents(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("bytes_", [0, 1 << 20])
+def test_a_group_of_near_copies_and_both_ways_to_keep_rows(spark, monkeypatch, bytes_):
+    monkeypatch.setattr(simhash, "BITMAP_BYTES", bytes_)
+    rng = np.random.default_rng(6)
+    base = [f"b{k}" for k in range(400)]
+    rows = []
+    for k in range(120):
+        mine = base.copy()
+        mine[int(rng.integers(400))] = f"x{k}"
+        rows.append((k, " ".join(mine)))
+    rows += [(500 + k, " ".join(f"c{k}_{j}" for j in range(100))) for k in range(40)]
+    got = simhash.dedup_documents(docs_of(spark, rows).repartition(5)).collect()
+    assert sorted(r.doc_id for r in got) == [0, *range(500, 540)]
+
+
 def test_codes_are_axes():
     x = np.eye(8)[:3]
     c = embeddings.codes(np.concatenate([x, -x]), tables=2, k=1)
