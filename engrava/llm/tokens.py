@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words whose ids a worker keeps, and bytes of text split at once.
-KEPT_WORDS, BYTES = 800_000, 6 << 20
+KEPT_WORDS, BYTES = 450_000, 4 << 20
 #: Where splitting at single spaces and line ends isn't what the byte-level pattern does: a space before a line end, runs of three, of two at the end, and all
 #: other Unicode white space (and the mark that is split at).
 _UNEVEN = "[ \n]{3}|[ \n]{2}$| \n|[\x1f\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
