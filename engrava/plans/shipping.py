@@ -8,11 +8,15 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows that Arrow hands to a Python worker at once, where the session has Spark's default: texts are long, and workers share an executor's memory.
+ARROW_ROWS = 2048
 _shipped: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Add the package to the session's Python files, once for each application; Spark's own file server hands it to the executors."""
+    """Add the package to the session's Python files, once for each application (Spark's own file server hands it to the executors), and keep Arrow batches small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
