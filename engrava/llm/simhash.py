@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -108,22 +109,52 @@ def _ball(word: Column, seg: int, lo: int, hi: int, reach: int) -> list[Column]:
     return out
 
 
-def links(prints: DataFrame, words: list[str], segments: int, reach: list[int], most: int) -> DataFrame:
-    """``src, dst``: pairs of ``node`` whose ``words`` (columns of 64 bits, each cut into ``segments``) come within ``reach`` in some segment and differ in at most
-    ``most`` bits in all. A pair may come more than once and in either order. Distances are compared inside the join."""
-    places = [(w, s, k * BITS // segments, (k + 1) * BITS // segments, reach[k]) for j, w in enumerate(words) for k in range(segments) for s in [j * segments + k]]
+def _places(words: list[str], segments: int, reach: list[int]) -> list[tuple[str, int, int, int, int]]:
+    """Of each segment its word, number, first and last bit, and reach."""
+    return [(w, j * segments + k, k * BITS // segments, (k + 1) * BITS // segments, reach[k]) for j, w in enumerate(words) for k in range(segments)]
+
+
+def _at_segments(prints: DataFrame, keys: Column, columns: list[str], prefix: str) -> DataFrame:
+    named = [f"{prefix}{c}" for c in columns]
+    return prints.select(*columns, F.explode(keys).alias("x")).toDF(*named, "x").select(*named, "x.seg", "x.key")
+
+
+def _own_keys(places: list[tuple[str, int, int, int, int]]) -> Column:
     own = lambda w, lo, hi: F.col(w).bitwiseAND(F.lit(_signed(((1 << hi) - 1) ^ ((1 << lo) - 1))))
-    table = F.array(*[F.struct(F.lit(s).alias("seg"), own(w, lo, hi).alias("key")) for w, s, lo, hi, r in places if r >= 0])
-    query = F.concat(*[x for w, s, lo, hi, r in places for x in _ball(F.col(w), s, lo, hi, r)])
-    columns = list(dict.fromkeys(["node", *words]))
-    side = lambda x, p: prints.select(*[F.col(c).alias(f"{p}{c}") for c in columns], F.explode(x).alias("x")).select(*[f"{p}{c}" for c in columns], "x.seg", "x.key")
-    differ = F.lit(0)
-    for w in words:
-        differ = differ + F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}")))
-    met = side(query, "a").join(side(table, "b"), ["seg", "key"]).where((F.col("anode") != F.col("bnode")) & (differ <= most))
+    return F.array(*[F.struct(F.lit(s).alias("seg"), own(w, lo, hi).alias("key")) for w, s, lo, hi, r in places if r >= 0])
+
+
+def _differ(words: list[str], a: str, b: str) -> Column:
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}{w}").bitwiseXOR(F.col(f"{b}{w}"))) for w in words])
+
+
+def links(prints: DataFrame, words: list[str], segments: int, reach: list[int], most: int, apart: str = "node", indexed: int | None = None) -> DataFrame:
+    """``src, dst``: pairs of ``node`` whose first ``indexed`` ``words`` (columns of 64 bits, each cut into ``segments``) come within ``reach`` in some segment, that differ in
+    at most ``most`` bits of all words, and that aren't equal in ``apart``. A pair may come more than once and in either order. Distances are compared inside the join, which
+    is a merge join at every size: AQE splits keys that many share."""
+    places = _places(words[:indexed], segments, reach)
+    columns = list(dict.fromkeys(["node", *words, apart]))
+    # Where rows carry more than themselves, each segment's index is made in a pass of its own: a fingerprint's rows then never lie together, at any number of partitions.
+    passes = [places] if len(columns) == 1 else [[p] for p in places]
+    balls = [F.concat(*[x for w, s, lo, hi, r in part for x in _ball(F.col(w), s, lo, hi, r)]) for part in passes]
+    a = reduce(DataFrame.union, [_at_segments(prints, ball, columns, "a") for ball in balls])
+    b = reduce(DataFrame.union, [_at_segments(prints, _own_keys(part), columns, "b") for part in passes])
+    met = a.join(b.hint("merge"), ["seg", "key"]).where((F.col(f"a{apart}") != F.col(f"b{apart}")) & (_differ(words, "a", "b") <= most))
     return met.select(F.col("anode").alias("src"), F.col("bnode").alias("dst"))
 
 
+def star_links(prints: DataFrame, words: list[str], segments: int, most: int, indexed: int) -> DataFrame:
+    """``src, dst``: each ``node`` with the smallest and the largest that share a whole segment with it, where they differ in at most ``most`` bits. As many at most as
+    there are segments, twice: no pairs within a group."""
+    keys = _own_keys(_places(words[:indexed], segments, [0] * segments))
+    columns = ["node", *words]
+    rows = _at_segments(prints, keys, columns, "a")
+    end = F.struct(*[F.col(f"a{c}").alias(c) for c in columns])
+    ends = rows.groupBy("seg", "key").agg(F.array(F.min(end), F.max(end)).alias("ends"))
+    each = rows.join(ends.hint("merge"), ["seg", "key"]).withColumn("e", F.explode("ends")).select(*[f"a{c}" for c in columns], *[F.col(f"e.{c}").alias(f"b{c}") for c in columns])
+    return each.where((F.col("anode") != F.col("bnode")) & (_differ(words, "a", "b") <= most)).select(F.col("anode").alias("src"), F.col("bnode").alias("dst")).distinct()
+
+
 def group_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, component_id`` for ``nodes`` (``node, rep``): the smallest ``rep`` reachable by links."""
     parts = connected_components(edges)
@@ -145,9 +176,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     return rows.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: For similarity of texts: words of a wide fingerprint, words of it that are indexed, segments of each, how far these are searched,
-#: differing bits of the indexed words that are looked into further.
-WIDE, INDEXED, PARTS, REACH, NEAR = 8, 2, 4, 1, 32
+#: For similarity of texts: words of a wide fingerprint, words of it that are indexed, segments of each, how far these are searched.
+WIDE, INDEXED, PARTS, REACH = 6, 2, 4, 1
+#: Bytes of bitmaps up to which they are broadcast: half a billion documents.
+BITMAP_BYTES = 64 << 20
 
 
 def differing(similarity: float, bits: int = WIDE * BITS) -> int:
@@ -161,23 +193,37 @@ def similar_documents(tagged: DataFrame, text: str, rank: Column, words: int = 5
     """``_row`` of one row of ``tagged`` (with ``_fp``, its wide fingerprint) for each group: the one with the smallest ``rank``.
 
     Fingerprints of 64 bits can't tell a similarity of 0.8 from chance in a large corpus. So the fingerprint is ``WIDE`` words, by as many hashes of
-    each shingle; the first ``INDEXED`` are searched by their segments' Hamming balls, and what comes near is verified over all words.
+    each shingle; the first ``INDEXED`` are searched by their segments' Hamming balls, and what meets is verified over all words inside the join. Before, each is held against
+    two of those that share a whole segment with it; the balls are then searched for pairs that this hasn't brought together yet, so a large group of copies is not paired.
     """
     nodes = tagged.groupBy(F.col("_fp").alias("fp")).agg(F.min(rank).alias("rep"))
-    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "fp", "rep", *[F.col("fp")[k].alias(f"w{k}") for k in range(INDEXED)]), "wide-fingerprints")
-    near = materialize(links(nodes, [f"w{k}" for k in range(INDEXED)], PARTS, [REACH] * PARTS, NEAR).distinct(), "near-fingerprints")
-    fps = nodes.select("node", "fp")
-    both = near.join(fps.toDF("src", "a"), "src").join(fps.toDF("dst", "b"), "dst")
-    differ = F.aggregate(F.zip_with("a", "b", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    edges = both.where(differ <= differing(similarity)).select("src", "dst")
-    return group_nodes(nodes, edges).select(F.col("component_id.row").alias("_row")).distinct()
+    words = [f"w{k}" for k in range(WIDE)]
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "rep", *[F.col("fp")[k].alias(w) for k, w in enumerate(words)]), "wide-fingerprints")
+    most = differing(similarity)
+    stars = materialize(star_links(nodes, words, PARTS, most, INDEXED), "stars")
+    groups = connected_components(stars).select("node", F.col("component").alias("grp"))
+    grouped = materialize(nodes.select("node", *words).join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node")), "grouped")
+    others = links(grouped, words, PARTS, [REACH] * PARTS, most, "grp", INDEXED)
+    return group_nodes(nodes, stars.union(others)).select(F.col("component_id.row").alias("_row")).distinct()
+
+
+def _keep_rows(tagged: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of ``tagged`` whose ``_row`` is in ``kept``, by one bit for each document: broadcast as long as these are few, else a merge join moves the rows."""
+    bits = kept.groupBy(F.bitmap_bucket_number("_row").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_row")).alias("_bits"))
+    bits = materialize(bits, "kept-bits")
+    if bits.count() * 4096 > BITMAP_BYTES:
+        return tagged.join(kept.hint("merge"), "_row", "left_semi")
+    at = F.bitmap_bit_position("_row")
+    byte = F.conv(F.hex(F.substr("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = tagged.withColumn("_bucket", F.bitmap_bucket_number("_row")).join(F.broadcast(bits), "_bucket")
+    return held.where(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1)
 
 
 def dedup_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of similar ones: the one with the smallest doc_id (nulls last; of rows with one doc_id the first in the input).
 
     All columns stay, whatever their names. Null and empty texts are one group. The texts are read for the fingerprints and written once with
-    a row number, and the kept rows are found by it.
+    a row number, by which the kept rows are found, and aren't shuffled as long as one bit for each can be broadcast.
     """
     cols = docs.columns
     inner = docs.toDF(*[f"c{k}" for k in range(len(cols))])
@@ -185,7 +231,7 @@ def dedup_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     tagged = materialize(inner.withColumn("_fp", wide_fingerprints(F.col(text), words)).withColumn("_row", F.monotonically_increasing_id()), "tagged")
     rank = F.struct(F.col(doc_id).isNull().alias("late"), F.col(doc_id).cast("long").alias("doc_id"), F.col("_row").alias("row"))
     kept = materialize(similar_documents(tagged, text, rank, words, similarity), "kept")
-    out = tagged.join(kept, "_row", "left_semi").select(*[f"c{k}" for k in range(len(cols))])
+    out = _keep_rows(tagged, kept).select(*[f"c{k}" for k in range(len(cols))])
     return out.toDF(*cols)
 
 
