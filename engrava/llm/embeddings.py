@@ -102,8 +102,8 @@ def _valid(vectors: pa.Array, kind: str) -> list[bytes | None]:
 
 
 def _links(run: dict[str, np.ndarray | int], x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray] | None:
-    """Links that a bucket's members are the first place to show: members' numbers in pairs."""
-    n, base, code, t, blk = len(x), run["base"], run["codes"], run["t"], run["blk"]
+    """Links that a bucket's members are the first place to show: members' numbers in pairs, in any order of the members."""
+    n, base, code, t, blk, node = len(x), run["base"], run["codes"], run["t"], run["blk"], run["node"]
     found = []
     for lo in range(0, n, 256):
         sim = x[lo : lo + 256] @ x.T >= threshold
@@ -117,6 +117,8 @@ def _links(run: dict[str, np.ndarray | int], x: np.ndarray, threshold: float) ->
     i, j = (np.concatenate(a) for a in zip(*found))
     if not len(i):
         return None
+    later = node[i] > node[j]  # where each looks the other up, the smaller node's bucket counts: the same in both buckets
+    i, j = np.where(later, j, i), np.where(later, i, j)
     first = np.ones(len(i), bool)
     for at in range(0, len(i), 1 << 16):  # met in an earlier table, or in this one in the bucket that counts
         p, q = code[i[at : at + (1 << 16)]], code[j[at : at + (1 << 16)]]
@@ -192,7 +194,7 @@ def near_duplicates(vectors: DataFrame, id_: str = "vec_id", vector: str = "embe
                     continue
                 dim = int(cols["dim"][a])
                 code = np.stack(t.column("codes").slice(a, z - a).to_numpy()).reshape(z - a, *(shape[dim][0], PROBES))
-                one = {c: cols[c][a] for c in run} | {"blk": cols["blk"][a:z], "base": cols["base"][a:z], "codes": code}
+                one = {c: cols[c][a] for c in run} | {c: cols[c][a:z] for c in ("blk", "base", "node")} | {"codes": code}
                 pairs = _links(one, _units(t.column("raw").slice(a, z - a).to_pylist(), kind), threshold)
                 if pairs is None:
                     continue

@@ -146,3 +146,22 @@ def test_op1_on_the_smallest_tables(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     assert sorted(map(tuple, embeddings.op1_cross_polytope(spark, SF).collect()), key=str) == brute_vectors(rows)
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_op1_counts_each_link_once_in_any_order_of_a_buckets_rows():
+    rng = np.random.default_rng(11)
+    a, b = rng.normal(size=(2, 300, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (b * a).sum(1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    x = np.concatenate([a, 0.96 * a + np.sqrt(1 - 0.96**2) * b])
+    tables, k = embeddings.plan_tables(len(x), 64)
+    code = embeddings.codes(x, tables, k)
+    found = []
+    for t in range(tables):
+        for bucket in np.unique(code[:, t]):
+            rows = rng.permutation(np.flatnonzero((code[:, t] == bucket).any(1)))
+            run = {"code": bucket, "t": t, "lo": 0, "hi": 0, "blk": np.zeros(len(rows), int), "base": code[rows, t, 0] == bucket, "node": rows, "codes": code[rows]}
+            links = embeddings._links(run, x[rows], 0.95)
+            found += [tuple(sorted((int(rows[i]), int(rows[j])))) for i, j in zip(*links)] if links else []
+    assert sorted(found) == [(k, k + 300) for k in range(300)]
