@@ -4,12 +4,13 @@ A fingerprint of 64 bits is cut into ``SEGMENTS``. Two fingerprints that differ
 one segment (Norouzi et al., 2012), so each looks up half the small Hamming ball of every one of its segments (the other half is the other's
 to look up) in a table of all segments, and what it meets is verified over all 64 bits inside the join. Equal fingerprints are one row before, so copies are never paired; and
 as distinct fingerprints within r bits of one are at most a constant number, links can't outgrow the fingerprints.
+
+The pipeline's documents are compared by the Jaccard similarity of their sets of shingles; MinHash keys find the candidates.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import accumulate, combinations
 
@@ -28,39 +29,25 @@ WORDS, RADIUS = 3, 3
 _AT_ONCE = 1 << 16
 
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """The k-th of a family of hashes of a hash (splitmix64); the first is the hash itself."""
-    if not k:
-        return h
-    h = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def wide_fingerprint(text: str | None, words: int, width: int, seed: int = 42) -> np.ndarray:
-    """Words of 64 bits. A bit is 1 if set in over half the hashes of the shingles, repeats included; without words all are 0. The first word is by
-    XXH64. ASCII letters are lower-cased; fewer words than a shingle has make one shingle."""
+def _shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; none without words. ASCII letters are lower-cased; fewer words than a shingle has make one shingle."""
     tokens = text.encode("utf-8", "replace").lower().split() if text else []  # splits at exactly x20 and x09-x0D
     if not tokens:
-        return np.zeros(width, np.uint64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     n = max(1, len(tokens) - words + 1)
     starts = list(accumulate((len(t) + 1 for t in tokens[: n - 1]), initial=0))
     ends = accumulate((len(t) + 1 for t in tokens[words:]), initial=sum(map(len, tokens[:words])) + min(words, len(tokens)) - 1)
-    digest, total = xxhash.xxh64_intdigest, np.zeros((width, BITS), np.int64)
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends)), np.uint64, n)
-    for at in range(0, n, _AT_ONCE):
-        part = hashes[at : at + _AT_ONCE]
-        for k in range(width):
-            bits = np.unpackbits(_mixed(part, k).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            total[k] += bits.sum(0, dtype=np.uint32)
-    return np.packbits(2 * total > n, axis=1, bitorder="little").reshape(-1).view("<u8")
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends)), np.uint64, n)
 
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = 42) -> int:
-    """The first word of the wide fingerprint."""
-    return int(wide_fingerprint(text, words, 1, seed)[0])
+    """64 bits. A bit is 1 if set in over half the hashes of the shingles, repeats included; without words all are 0."""
+    hashes, total = _shingle_hashes(text, words, seed), np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), _AT_ONCE):
+        total += np.unpackbits(hashes[at : at + _AT_ONCE].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(text: Column, words: int = WORDS) -> Column:
@@ -74,15 +61,31 @@ def fingerprints(text: Column, words: int = WORDS) -> Column:
     return of(text)
 
 
-def wide_fingerprints(text: Column, words: int) -> Column:
-    """The wide fingerprint of a text column as signed longs."""
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingles' hashes, in order."""
+    return np.unique(_shingle_hashes(text, words))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """Of a set of hashes a digest of the whole, its size, and ``BANDS`` keys, each of ``ROWS`` minima; all 0 for the empty set."""
+    out = np.zeros(2 + BANDS, np.uint64)
+    if not len(hashes):
+        return out
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), _MINIMA_AT_ONCE):
+        np.minimum(least, (np.multiply.outer(_FACTORS, hashes[at : at + _MINIMA_AT_ONCE]) + _SHIFTS[:, None]).min(1), out=least)
+    out[0], out[1] = xxhash.xxh64_intdigest(hashes.tobytes()), len(hashes)
+    out[2:] = [xxhash.xxh64_intdigest(x.tobytes()) for x in least.reshape(BANDS, ROWS)]
+    return out
 
+
+def _longs(text: Column, of: Callable[[str | None], np.ndarray]) -> Column:
     @F.pandas_udf("array<long>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([wide_fingerprint(t, words, WIDE).astype(np.int64) for t in texts])
+            yield pd.Series([of(t).view(np.int64) for t in texts])
 
-    return of(text)
+    return each(text)
 
 
 def _signed(x: int) -> int:
@@ -143,18 +146,6 @@ def links(prints: DataFrame, words: list[str], segments: int, reach: list[int],
     return met.select(F.col("anode").alias("src"), F.col("bnode").alias("dst"))
 
 
-def star_links(prints: DataFrame, words: list[str], segments: int, most: int, indexed: int) -> DataFrame:
-    """``src, dst``: each ``node`` with the smallest and the largest that share a whole segment with it, where they differ in at most ``most`` bits. As many at most as
-    there are segments, twice: no pairs within a group."""
-    keys = _own_keys(_places(words[:indexed], segments, [0] * segments))
-    columns = ["node", *words]
-    rows = _at_segments(prints, keys, columns, "a")
-    end = F.struct(*[F.col(f"a{c}").alias(c) for c in columns])
-    ends = rows.groupBy("seg", "key").agg(F.array(F.min(end), F.max(end)).alias("ends"))
-    each = rows.join(ends.hint("merge"), ["seg", "key"]).withColumn("e", F.explode("ends")).select(*[f"a{c}" for c in columns], *[F.col(f"e.{c}").alias(f"b{c}") for c in columns])
-    return each.where((F.col("anode") != F.col("bnode")) & (_differ(words, "a", "b") <= most)).select(F.col("anode").alias("src"), F.col("bnode").alias("dst")).distinct()
-
-
 def group_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, component_id`` for ``nodes`` (``node, rep``): the smallest ``rep`` reachable by links."""
     parts = connected_components(edges)
@@ -176,35 +167,45 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     return rows.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: For similarity of texts: words of a wide fingerprint, words of it that are indexed, segments of each, how far these are searched.
-WIDE, INDEXED, PARTS, REACH = 6, 2, 4, 1
+#: For similarity of texts: of each set of shingles so many keys of so many minima. Two sets at 0.8 share none with a probability of (1 - 0.8 ** ROWS) ** BANDS, 1e-5.
+BANDS, ROWS = 38, 6
+_MINIMA_AT_ONCE = 512
+_FACTORS, _SHIFTS = np.random.default_rng(1997).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[1], [0]], np.uint64)
 #: Bytes of bitmaps up to which they are broadcast: half a billion documents.
 BITMAP_BYTES = 64 << 20
 
 
-def differing(similarity: float, bits: int = WIDE * BITS) -> int:
-    """Bits of a wide fingerprint that differ in texts whose shingle sets have this Jaccard similarity: their angle's share, and one
-    standard deviation."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * share + math.sqrt(bits * share * (1 - share)))
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of ``src, dst`` those whose sets (``node, hashes``) have at least this Jaccard similarity. Merge joins at every size: AQE splits a node that many pairs share."""
+    both = pairs.join(sets.toDF("src", "x").hint("merge"), "src").join(sets.toDF("dst", "y").hint("merge"), "dst")
+    common = both.select("src", "dst", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("common"))
+    return common.where(F.col("common") >= F.lit(similarity) * (F.col("n") - F.col("common")) - 1e-9).select("src", "dst")
 
 
 def similar_documents(tagged: DataFrame, text: str, rank: Column, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``_row`` of one row of ``tagged`` (with ``_fp``, its wide fingerprint) for each group: the one with the smallest ``rank``.
+    """``_row`` of one row of ``tagged`` (with ``_keys``, its ``band_keys``) for each group: the one with the smallest ``rank``.
 
-    Fingerprints of 64 bits can't tell a similarity of 0.8 from chance in a large corpus. So the fingerprint is ``WIDE`` words, by as many hashes of
-    each shingle; the first ``INDEXED`` are searched by their segments' Hamming balls, and what meets is verified over all words inside the join. Before, each is held against
-    two of those that share a whole segment with it; the balls are then searched for pairs that this hasn't brought together yet, so a large group of copies is not paired.
+    Groups are what is connected by pairs whose sets of shingles have this Jaccard similarity. Equal sets are one node. Candidates share a key of
+    minima and have sizes that allow the similarity; each is verified by the sets themselves, which are made for nodes with a candidate only. First
+    each node of a key is held against the smallest one, then pairs of a key that this hasn't brought together, so a large group of near copies is not paired.
     """
-    nodes = tagged.groupBy(F.col("_fp").alias("fp")).agg(F.min(rank).alias("rep"))
-    words = [f"w{k}" for k in range(WIDE)]
-    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "rep", *[F.col("fp")[k].alias(w) for k, w in enumerate(words)]), "wide-fingerprints")
-    most = differing(similarity)
-    stars = materialize(star_links(nodes, words, PARTS, most, INDEXED), "stars")
+    nodes = tagged.groupBy("_keys").agg(F.min(rank).alias("rep"))
+    nodes = materialize(nodes.select(F.col("rep.row").alias("node"), "rep", F.col("_keys")[1].alias("size"), F.slice("_keys", 3, BANDS).alias("keys")), "shingle-sets")
+    rows = nodes.where("size > 0").select("node", "size", F.posexplode("keys").alias("band", "key"))
+    hubs = rows.groupBy("band", "key").agg(F.min(F.struct("node", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = materialize(rows.join(hubs.hint("merge"), ["band", "key"]), "met")
+    fit = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
+    sets = _keep_rows(tagged, materialize(met.select(F.col("node").alias("_row")).distinct(), "candidates"))
+    sets = materialize(sets.select(F.col("_row").alias("node"), _longs(F.col(text), lambda t: shingle_set(t, words)).alias("hashes")), "sets")
+    first = met.where((F.col("node") != F.col("hub.node")) & fit(F.col("size"), F.col("hub.size"))).select(F.col("hub.node").alias("src"), F.col("node").alias("dst")).distinct()
+    stars = materialize(_alike(first, sets, similarity), "stars")
     groups = connected_components(stars).select("node", F.col("component").alias("grp"))
-    grouped = materialize(nodes.select("node", *words).join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node")), "grouped")
-    others = links(grouped, words, PARTS, [REACH] * PARTS, most, "grp", INDEXED)
-    return group_nodes(nodes, stars.union(others)).select(F.col("component_id.row").alias("_row")).distinct()
+    grouped = met.drop("hub").join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
+    mixed = grouped.groupBy("band", "key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("band", "key")
+    grouped = materialize(grouped.join(mixed.hint("merge"), ["band", "key"], "left_semi"), "grouped")
+    a, b = (grouped.select("band", "key", F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("grp").alias(f"grp_{x}")) for x in ("src", "dst"))
+    rest = a.join(b.hint("merge"), ["band", "key"]).where((F.col("src") < F.col("dst")) & (F.col("grp_src") != F.col("grp_dst")) & fit(F.col("size_src"), F.col("size_dst"))).select("src", "dst").distinct()
+    return group_nodes(nodes, stars.union(materialize(_alike(rest, sets, similarity), "alike"))).select(F.col("component_id.row").alias("_row")).distinct()
 
 
 def _keep_rows(tagged: DataFrame, kept: DataFrame) -> DataFrame:
@@ -222,13 +223,13 @@ def _keep_rows(tagged: DataFrame, kept: DataFrame) -> DataFrame:
 def dedup_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of similar ones: the one with the smallest doc_id (nulls last; of rows with one doc_id the first in the input).
 
-    All columns stay, whatever their names. Null and empty texts are one group. The texts are read for the fingerprints and written once with
+    All columns stay, whatever their names. Null and empty texts are one group. The texts are read for their keys and written once with
     a row number, by which the kept rows are found, and aren't shuffled as long as one bit for each can be broadcast.
     """
     cols = docs.columns
     inner = docs.toDF(*[f"c{k}" for k in range(len(cols))])
     doc_id, text = (f"c{cols.index(c)}" for c in ("doc_id", "text"))
-    tagged = materialize(inner.withColumn("_fp", wide_fingerprints(F.col(text), words)).withColumn("_row", F.monotonically_increasing_id()), "tagged")
+    tagged = materialize(inner.withColumn("_keys", _longs(F.col(text), lambda t: band_keys(shingle_set(t, words)))).withColumn("_row", F.monotonically_increasing_id()), "tagged")
     rank = F.struct(F.col(doc_id).isNull().alias("late"), F.col(doc_id).cast("long").alias("doc_id"), F.col("_row").alias("row"))
     kept = materialize(similar_documents(tagged, text, rank, words, similarity), "kept")
     out = _keep_rows(tagged, kept).select(*[f"c{k}" for k in range(len(cols))])

@@ -165,3 +165,16 @@ def test_op1_counts_each_link_once_in_any_order_of_a_buckets_rows():
             links = embeddings._links(run, x[rows], 0.95)
             found += [tuple(sorted((int(rows[i]), int(rows[j])))) for i, j in zip(*links)] if links else []
     assert sorted(found) == [(k, k + 300) for k in range(300)]
+
+
+def test_dedup_holds_both_sides_of_the_similarity(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for g in range(150):  # of 100 shingles a beginning with 80 of them is a near copy, one with 79 isn't
+        a, b = ([f"w{g}{x}{k}" for k in range(104)] for x in "ab")
+        rows += [(10 * g, " ".join(a)), (10 * g + 1, " ".join(a[:84])), (10 * g + 2, " ".join(b)), (10 * g + 3, " ".join(b[:83]))]
+    for g in range(20):  # a passage said over and over is one passage
+        rows += [(5000 + g, " ".join(["the same passage again and"] * 40 + [f"u{g}_{k}" for k in range(60)]))]
+    rows = [rows[k] for k in rng.permutation(len(rows))]
+    got = simhash.dedup_documents(docs_of(spark, rows)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows if i >= 5000 or i % 10 != 1)
