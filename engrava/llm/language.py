@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,8 @@ MAX_N, SPACE = 3, 1 << 16
 #: Bounds of the fit: texts for each language, landmarks for each language. Penalty of the ridge.
 PER_LANGUAGE, LANDMARKS, RIDGE = 150, 16, 1e-3
 UNKNOWN = "und"
+#: Of what texts of a language share with the rest of its sample, the part that a text has to share with it to be like it.
+LIKENESS = 2 / 3
 #: Bytes of a text taken at once, and texts in a product.
 _CHUNK, _BATCH = 1 << 20, 32
 _letter = re.compile(r"[^\W\d_]").search
@@ -38,8 +41,14 @@ def grams(text: str) -> Iterator[np.ndarray]:
             yield ((packed + np.uint32(n * 0x51ED27)) * np.uint32(2654435761)) >> np.uint32(16)
 
 
+def longest_grams(text: str) -> Iterator[np.ndarray]:
+    """Those of ``MAX_N`` bytes."""
+    return islice(grams(text), MAX_N - 1, None, MAX_N)
+
+
 class LanguageModel:
-    """``languages``, and what scoring needs: the column of each hashed n-gram, the landmarks' presences, and the weights."""
+    """``languages``, and what scoring needs: the column of each hashed n-gram, the landmarks' presences, and the weights. Besides, the longest n-grams
+    ``known`` from each language's sample, and the ``least`` share of them in a text that is like it."""
 
     def __init__(self, texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
         self.languages = sorted(set(languages))
@@ -65,6 +74,34 @@ class LanguageModel:
         target = np.where(y[:, None] == np.arange(len(self.languages)), 1.0, -1.0)
         w = np.linalg.solve(z.T @ z + ridge * len(z) * np.eye(z.shape[1]), z.T @ target)
         self.weights, self.bias = (root @ w[:-1]).astype(np.float32), w[-1].astype(np.float32)
+        self._learn_likeness(texts, y)
+
+    def _learn_likeness(self, texts: list[str], y: np.ndarray) -> None:
+        """A text's share is held against the other texts of its language: from one text nothing is learned, and all are like it."""
+        seen = np.zeros((len(self.languages), SPACE), np.int32)
+        for text, k in zip(texts, y):
+            seen[k, np.unique(np.concatenate(list(longest_grams(text))))] += 1
+        shares = [[] for _ in self.languages]
+        for text, k in zip(texts, y):
+            ids = np.concatenate(list(longest_grams(text)))
+            if len(ids):
+                shares[k].append((seen[k, ids] > 1).mean())
+        self.known = seen > 0
+        self.least = np.array([LIKENESS * np.median(x) if x else 0.0 for x in shares])
+
+    def alike(self, texts: list) -> list[bool]:
+        """Whether each text is like the language predicted for it; not if that is ``und``. A few n-grams tell less than many, so the share may fall
+        short by one over the root of their number."""
+        found = []
+        for text, name in zip(texts, self.predict(texts)[0]):
+            if name == UNKNOWN:
+                found.append(False)
+                continue
+            k, n, held = self.languages.index(name), 0, 0
+            for ids in longest_grams(text):
+                n, held = n + len(ids), held + int(self.known[k, ids].sum())
+            found.append(bool(held >= self.least[k] * n - np.sqrt(n)))
+        return found
 
     def predict(self, texts: list) -> tuple[list[str], np.ndarray]:
         """Of each text the language and its score, 0 to 1; ``und`` and 0 for null and for texts without a letter."""
@@ -108,6 +145,17 @@ def predict_language(model: LanguageModel | None, text: Column) -> Column:
     return predict(text)
 
 
+def like_language(model: LanguageModel, text: Column) -> Column:
+    """Whether a text column's texts are like the language predicted for them."""
+
+    @F.pandas_udf("boolean")
+    def alike(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(model.alike(texts.tolist()), dtype=bool)
+
+    return alike(text)
+
+
 def op7_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query. A null doc_id counts as not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

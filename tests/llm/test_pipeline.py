@@ -1,3 +1,5 @@
+import numpy as np
+
 import corpus_pipeline
 from engrava.llm import mixing
 from engrava.plans.storage import materialize
@@ -38,3 +40,19 @@ def test_stages_take_awkward_documents(spark):
             assert out.count() >= 0
             if name != "sequences":
                 assert out.columns == docs.columns
+
+
+def test_language_rejects_what_is_like_no_language_of_the_sample(spark):
+    rng = np.random.default_rng(5)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    strange = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        "人人生而自由，在尊严和权利上一律平等。",
+        *[" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(60)) for _ in range(10)],
+    ]
+    added = docs_of(spark, [(10**9 + k, x, None) for k, x in enumerate(strange)]).select(docs.columns)
+    kept = [r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(added), SF).collect()]
+    assert max(kept) < 10**9
+    assert len(kept) >= 0.98 * docs.where(docs.text.rlike(r"\p{L}")).count()
