@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engrava.functions import text as T
+from engrava.plans.storage import join_small, materialize
 
 #: What a source's tier multiplies a score by.
 TIER_WEIGHT = {"core": 1.575, "journal": 1.365, "context": 1.26, "capture": 0.441, "transient": 0.735, "connector": 0.97, "other": 1.05}
@@ -132,7 +133,11 @@ def hubs(rows: DataFrame, least_refs: int = 8) -> DataFrame:
 
 
 def markdown_export(rows: DataFrame) -> DataFrame:
-    """``source_file, page``: each source's memories in order of id as one page. A page is what one file's memories make."""
-    item = F.struct("id", F.concat(F.lit("- "), F.replace(F.substring("content", 1, 40), F.lit("\n"), F.lit(" "))).alias("line"))
-    each = rows.groupBy("source_file").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return each.select("source_file", F.concat(F.lit("## "), "source_file", F.lit("\n"), F.array_join(F.transform("items", lambda x: x["line"]), "\n")).alias("page"))
+    """``source_file, id, part``: each memory's whole content as its part of its source's page; a source's parts in order of id are the page, and the first has the heading.
+
+    Sources are never gathered: only their first ids are, and these are joined back.
+    """
+    named = rows.select(F.when(F.coalesce("source_file", F.lit("")) == "", "Unknown Source").otherwise(F.col("source_file")).alias("source_file"), "id", "content")
+    first = materialize(named.groupBy("source_file").agg(F.min("id").alias("first")), "first-of-source")
+    heading = F.when(F.col("id") == F.col("first"), F.concat(F.lit("## Source: "), "source_file", F.lit("\n\n"))).otherwise("")
+    return join_small(named, first, "source_file").select("source_file", "id", F.concat(heading, F.coalesce("content", F.lit("")), F.lit("\n\n")).alias("part"))
