@@ -99,9 +99,18 @@ def budget_prefix(ranked: DataFrame, budget: int) -> DataFrame:
     return ranked.withColumn("used", used).where(F.col("used") <= budget)
 
 
+def watch_score(content: Column, query: Column) -> Column:
+    """0 to 1: the share of a query's terms that a text holds as substrings, up to 1.5 times that for repeats, and 0.2 if it holds the whole query."""
+    text, phrase = F.lower(content), F.lower(query)
+    terms = F.filter(F.split(phrase, r"\s+"), lambda t: t != "")
+    hits = F.transform(terms, lambda t: F.floor((F.length(text) - F.length(F.replace(text, t, F.lit("")))) / F.length(t)))
+    held, extra = F.size(F.filter(hits, lambda n: n > 0)), F.aggregate(hits, F.lit(0).cast("long"), lambda a, n: a + n) - F.size(terms)
+    share = held / F.size(terms) * F.least(F.lit(1.5), 1 + 0.1 * F.greatest(extra, F.lit(0)))
+    return F.when(held > 0, F.least(F.lit(1.0), share + F.when(F.contains(text, phrase), 0.2).otherwise(0.0))).otherwise(0.0)
+
+
 def watch_matches(rows: DataFrame, watches: list[tuple[int, str]], threshold: float) -> DataFrame:
-    """``watch_id, id, score``: which standing queries each new memory meets, by the share of their terms it holds."""
-    words = F.array_distinct(T.tokens(F.col("content")))
-    table = rows.sparkSession.createDataFrame([(i, sorted(set(q.lower().split()))) for i, q in watches], "watch_id long, terms array<string>")
-    share = F.size(F.array_intersect("w", "terms")) / F.size("terms")
-    return rows.select("id", words.alias("w")).crossJoin(F.broadcast(table)).select("watch_id", "id", F.round(share, 6).alias("score")).where(F.col("score") >= threshold)
+    """``watch_id, id, score``: which standing queries each new memory meets."""
+    table = rows.sparkSession.createDataFrame(watches, "watch_id long, query string")
+    scored = rows.select("id", "content").crossJoin(F.broadcast(table)).select("watch_id", "id", F.round(watch_score(F.col("content"), F.col("query")), 6).alias("score"))
+    return scored.where(F.col("score") >= threshold)

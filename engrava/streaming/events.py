@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engrava.operators.retrieval import watch_score
+
 
 def read_log(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
     """An append-only Parquet log as a stream."""
@@ -23,7 +25,8 @@ def first_seen(memories: DataFrame, at: str = "imported_at", late: str = "5 minu
 
 
 def watch_stream(memories: DataFrame, watches: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Standing queries (``watch_id, terms``; a bounded configuration table) against new memories: a stream-static join."""
-    words = F.array_distinct(F.split(F.lower("content"), "[^a-z0-9]+"))
-    share = F.size(F.array_intersect("w", "terms")) / F.size("terms")
-    return memories.select("id", words.alias("w")).crossJoin(F.broadcast(watches)).select("watch_id", "id", F.round(share, 6).alias("score")).where(F.col("score") >= threshold)
+    """Standing queries (``watch_id, query``, or ``terms`` in the query's order; a bounded configuration table) against new memories: a stream-static join."""
+    if "query" not in watches.columns:
+        watches = watches.select("watch_id", F.array_join("terms", " ").alias("query"))
+    scored = memories.select("id", "content").crossJoin(F.broadcast(watches)).select("watch_id", "id", F.round(watch_score(F.col("content"), F.col("query")), 6).alias("score"))
+    return scored.where(F.col("score") >= threshold)

@@ -1,4 +1,5 @@
-from engrava.operators import ranking
+from engrava.operators import ranking, retrieval
+from engrava.streaming import events
 
 
 def test_markdown_export_keeps_whole_contents(spark):
@@ -6,3 +7,23 @@ def test_markdown_export_keeps_whole_contents(spark):
     rows = spark.createDataFrame([(2, "b.md", "second"), (1, "b.md", long), (3, "", "none")], "id long, source_file string, content string")
     got = {r.id: (r.source_file, r.part) for r in ranking.markdown_export(rows).collect()}
     assert got == {1: ("b.md", f"## Source: b.md\n\n{long}\n\n"), 2: ("b.md", "second\n\n"), 3: ("Unknown Source", "## Source: Unknown Source\n\nnone\n\n")}
+
+
+def go_score(content, query):
+    text, terms = content.lower(), query.lower().split()
+    counts = [text.count(t) for t in terms]
+    if not any(counts):
+        return 0.0
+    boost = min(1.5, 1 + 0.1 * max(0, sum(counts) - len(terms)))
+    return min(1.0, sum(c > 0 for c in counts) / len(terms) * boost + 0.2 * (query.lower() in text))
+
+
+def test_watch_matches_counts_substrings_repeats_and_the_phrase(spark):
+    watches = [(1, "deploy zebra"), (2, "log error rate"), (3, "C++ a"), (4, "aa bb cc dd")]
+    texts = ["Deploy deployed redeploy deploy deploys deploy deploy", "logging errors rated", "the log error rate", "c++ and C", "aaaa bb", "nothing", "aa bb cc"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    want = {(w, i, round(go_score(t, q), 6)) for w, q in watches for i, t in enumerate(texts) if round(go_score(t, q), 6) >= 0.7}
+    assert (1, 0, 0.75) in want
+    assert {tuple(r) for r in retrieval.watch_matches(rows, watches, 0.7).collect()} == want
+    table = spark.createDataFrame(watches, "watch_id long, query string")
+    assert {tuple(r) for r in events.watch_stream(rows, table).collect()} == want
