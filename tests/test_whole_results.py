@@ -1,4 +1,4 @@
-from engrava.operators import ranking, retrieval
+from engrava.operators import clusters, ranking, retrieval
 from engrava.streaming import events
 
 
@@ -27,3 +27,9 @@ def test_watch_matches_counts_substrings_repeats_and_the_phrase(spark):
     assert {tuple(r) for r in retrieval.watch_matches(rows, watches, 0.7).collect()} == want
     table = spark.createDataFrame(watches, "watch_id long, query string")
     assert {tuple(r) for r in events.watch_stream(rows, table).collect()} == want
+
+
+def test_topic_clusters_have_every_subject(spark):
+    rows = [(m, s) for m in (1, 2) for s in ("A", "b ", "c")] + [(3, "c"), (3, "d"), (4, "e")]
+    got = clusters.topic_clusters(spark.createDataFrame(rows, "memory_id long, subject string"))
+    assert sorted(map(tuple, got.collect())) == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "e")]
