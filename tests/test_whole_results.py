@@ -33,3 +33,10 @@ def test_topic_clusters_have_every_subject(spark):
     rows = [(m, s) for m in (1, 2) for s in ("A", "b ", "c")] + [(3, "c"), (3, "d"), (4, "e")]
     got = clusters.topic_clusters(spark.createDataFrame(rows, "memory_id long, subject string"))
     assert sorted(map(tuple, got.collect())) == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "e")]
+
+
+def test_assign_by_subject_falls_back_on_the_memory(spark):
+    facts = "id long, memory_id long, subject string, project_id string"
+    known = spark.createDataFrame([(1, 1, "Ann", "p"), (2, 1, "Bob", "q"), (3, 1, "Cy", "q"), (4, 2, "Dee", "r")], facts)
+    new = spark.createDataFrame([(10, 1, " ann", None), (11, 1, "New", None), (12, 2, "New", None), (13, 3, "New", None), (14, 2, " ", None)], facts)
+    assert sorted(map(tuple, clusters.assign_by_subject(new, known).collect())) == [(10, "p"), (11, "q"), (12, "r")]
