@@ -20,20 +20,20 @@ from engrava.plans.storage import fresh_path, materialize
 
 #: Ids that a task searches at once.
 BLOCK_IDS = 1 << 18
-#: End-of-document ids that no text yields, by vocabulary.
-END_IDS = {"word_bpe_49k": 49407, "byte_bpe_50k": 50256}
+#: Ends a document: the largest 16-bit number, which is no vocabulary's id, so no text yields it.
+END_ID = (1 << 16) - 1
 
 
 def write_flat_files(docs: DataFrame, uri: str, vocab: str = "word_bpe_49k", dtype: str = "<u2") -> DataFrame:
     """Write whole texts as flat files of ids, as the documents lie in their partitions; returns which document is the how manieth of which file (``file_no, path, ordinal, doc_id``).
 
-    A null text counts as empty; every document is ended by the vocabulary's end id. No shuffle.
+    A null text counts as empty; every document is ended by ``END_ID``. No shuffle. A null doc_id stays null; repeated rows stay; extra columns are ignored;
+    an empty table writes no file.
     """
     name, spaced = VOCABULARIES[vocab]
-    end = END_IDS[vocab]
-    if np.iinfo(dtype).max < end:
-        raise ValueError(f"{dtype} cannot hold id {end}")
-    last = np.array([end], "<u4").tobytes()
+    if np.iinfo(dtype).max < END_ID:
+        raise ValueError(f"{dtype} cannot hold id {END_ID}")
+    last = np.array([END_ID], "<u4").tobytes()
 
     def ids(texts: pa.Array) -> list[bytes]:
         return [x + last for x in word_tokenizer(vocabulary(name), spaced).batch(texts)]
@@ -83,10 +83,13 @@ def file_sizes(spark: SparkSession, uri: str) -> DataFrame:
 
 
 def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's token count, read off the flat files: ``doc_id, file_no, ordinal, start, n_tokens``."""
+    """Every document's token count, read off the flat files: ``doc_id, file_no, ordinal, start, n_tokens``, one row per row of ``documents``.
+
+    Null and empty texts have no tokens; repeated rows and rows of a null doc_id are counted each; an empty table gives no rows.
+    """
     docs, uri = spark.read.parquet(f"{sf_dir}/documents.parquet"), fresh_path(spark, "flat")
     placed = write_flat_files(docs, uri)
-    counts = scan_flat_files(file_sizes(spark, uri), END_IDS["word_bpe_49k"]) if placed.limit(1).count() else None
+    counts = scan_flat_files(file_sizes(spark, uri), END_ID) if placed.limit(1).count() else None
     if counts is None:
         return spark.createDataFrame([], "doc_id long, file_no long, ordinal long, start long, n_tokens long")
     return placed.join(counts, ["file_no", "ordinal"]).select("doc_id", "file_no", "ordinal", "start", "n_tokens")

@@ -2,11 +2,12 @@
 
 Both tokenizers cut text where white space begins before any merge is made, so a text's ids are those of its words one after another.
 Arrow splits a batch of texts into words and numbers the distinct ones; the library is asked for the ids of each word that a worker hasn't met
-yet, and the texts' ids are gathered from a table of bounded size.
+yet, and the texts' ids are gathered from a table of bounded size. Texts that hold the name of a special token go to the library whole.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -28,18 +29,18 @@ _PARTS, _OTHER = f"([{_LATIN}]+|[0-9]|[!-/:-@\\[-`{{-~]+)", f"[^\\t-\\r -~{_LATI
 class WordTokenizer:
     """Ids by ``tokenizers`` for the vocabulary file ``path``. With ``spaced`` a word takes the space before it along, else white space is dropped.
 
-    Strings of special tokens in a text count as ordinary text.
+    The name of a special token in a text gives that token, as the library does by default.
     """
 
     def __init__(self, path: str, spaced: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
         self.mark = "\n" if spaced else " \0 "
         self.mark_id = self.tokenizer.encode(self.mark, add_special_tokens=False).ids[0]
         self._forget()
+        self.special = "|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values())
 
     def _forget(self, most: int = 0) -> None:
         """Keep at most ``most`` words: those that most batches held."""
@@ -119,10 +120,12 @@ class WordTokenizer:
     def batch(self, texts: pa.Array) -> list[bytes]:
         """Of each text the ids as little-endian unsigned 32-bit integers; of null and empty texts none."""
         texts = pc.fill_null(texts, "")
-        apart = np.asarray(pc.match_substring_regex(texts, _UNEVEN if self.spaced else _OTHER))
+        apart = np.asarray(pc.match_substring_regex(texts, _UNEVEN if self.spaced else _OTHER)).astype(np.int8)
+        if self.special:
+            apart[np.asarray(pc.match_substring_regex(texts, self.special))] = 2
         out: list = [None] * len(texts)
         size = pc.binary_length(texts).to_numpy()
-        for kind, encode in ((False, self._some), (True, self._whole if self.spaced else self._some)):
+        for kind, encode in enumerate((self._some, self._whole if self.spaced else self._some, self._whole)):
             mine = np.flatnonzero(apart == kind)
             groups = np.cumsum(size[mine]) // BYTES
             for g in np.unique(groups):

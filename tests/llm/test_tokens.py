@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from engrava.llm import packing, token_counts, token_output
 from engrava.llm.tokens import VOCABULARIES, WordTokenizer, vocabulary
@@ -12,16 +13,17 @@ from tests.llm.helpers import SF, awkward, clashing, docs_of
 
 
 def plain(vocab):
+    """The repository's tokenizer, and the library's own, made afresh."""
     name, spaced = VOCABULARIES[vocab]
-    tokenizer = WordTokenizer(vocabulary(name), spaced)
-    return tokenizer, lambda text: tokenizer.tokenizer.encode(text or "", add_special_tokens=False).ids
+    library = Tokenizer.from_file(vocabulary(name))
+    return WordTokenizer(vocabulary(name), spaced), lambda text: library.encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("vocab", VOCABULARIES)
 def test_ids_are_the_librarys(vocab):
     rng = random.Random(5)
     letters = [*"aAbÉé'sS lt’d12,.!?\n\t\r \x0b\x85\xa0 　́ßİΣς<|>-_\x1c\x1f中😀 ", "<|endoftext|>", "'ll", "don't", " 's", "\n\n"]
-    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) for _ in range(3000)] + [None, "", "  ", "plain words, and. more"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) for _ in range(3000)] + ["a <|endoftext|> b", "<|startoftext|>", "x<|ENDOFTEXT|>y", None, "", "  ", "plain words, and. more"]
     tokenizer, ids = plain(vocab)
     for text, raw in zip(texts, tokenizer.batch(pa.array(texts, pa.string()))):
         assert np.frombuffer(raw, "<u4").tolist() == ids(text), text
@@ -121,7 +123,29 @@ def test_op3_counts(spark):
 def test_flat_files_of_awkward_documents(spark):
     uri = fresh_path(spark, "flat")
     placed = token_counts.write_flat_files(clashing(spark, awkward(spark)), uri)
-    counts = token_counts.scan_flat_files(token_counts.file_sizes(spark, uri), token_counts.END_IDS["word_bpe_49k"])
+    counts = token_counts.scan_flat_files(token_counts.file_sizes(spark, uri), token_counts.END_ID)
     got = placed.join(counts, ["file_no", "ordinal"])
     _, ids = plain("word_bpe_49k")
     assert sorted((str(r.doc_id), r.n_tokens) for r in got.collect()) == sorted((str(r.doc_id), len(ids(r.text))) for r in awkward(spark).collect())
+
+
+def test_special_tokens_in_texts(spark):
+    """Their ids are the library's, and never end a document."""
+    docs = docs_of(spark, [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "plain"), (4, "<|startoftext|>x<|endoftext|>")])
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    _, ids = plain("word_bpe_49k")
+    assert ids("a <|endoftext|> b") == [320, 49407, 321]
+    uri = fresh_path(spark, "flat")
+    placed = token_counts.write_flat_files(docs, uri)
+    counts = token_counts.scan_flat_files(token_counts.file_sizes(spark, uri), token_counts.END_ID)
+    assert {r.doc_id: r.n_tokens for r in placed.join(counts, ["file_no", "ordinal"]).collect()} == {d: len(ids(t)) for d, t in rows}
+    got = token_output.read_token_files(token_output.write_token_files(docs, fresh_path(spark, "t")), digest=True)
+    assert sorted(map(tuple, got.collect())) == expected_files(rows, ids)
+    _, ids = plain("byte_bpe_50k")
+    pieces = packing.pack_documents(docs).collect()
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in pieces} == {d: (len(ids(t)) + 1, zlib.crc32(np.array([*ids(t), 2], "<u4").tobytes())) for d, t in rows}
+
+
+def test_op3_on_an_empty_table(spark, tmp_path):
+    docs_of(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    assert token_counts.op3_separator_scan(spark, str(tmp_path)).count() == 0
