@@ -1,11 +1,13 @@
 """Shared storage for intermediate tables, and joins with a size-checked small side.
 
-Every intermediate goes to the folder that the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop)
-a temporary folder is made. Nothing is kept on an executor's own disk, so a lost executor costs a recomputed task and no data.
+Every intermediate goes to the folder that the cluster names in ``spark.checkpoint.dir``; only where that is unset and the master is local
+(tests, a laptop) a temporary folder is made. Nothing is kept on an executor's own disk, so a lost executor costs a recomputed task and no
+data. What an application has written there goes when its driver ends.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,12 +16,16 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a materialised side may be broadcast; beyond it the join shuffles and AQE splits skewed keys.
 BROADCAST_ROWS = 100_000
+#: Each application's own folder.
+_folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; set to a new temporary one where the session names none."""
+    """The folder in ``spark.checkpoint.dir``; on a local master set to a new temporary one where the session names none."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="engrava-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -28,8 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses, in the application's own folder."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = f"{shared_dir(spark)}/engrava-{app}-{uuid.uuid4().hex[:8]}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(_folders[app])
+        store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(folder)
+        store.deleteOnExit(folder)
+    return f"{_folders[app]}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
