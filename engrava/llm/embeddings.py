@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engrava.llm.workers import tidied
 from engrava.operators.graph import connected_components
 from engrava.plans.storage import join_small, materialize
 
@@ -152,8 +153,8 @@ def near_duplicates(vectors: DataFrame, id_: str = "vec_id", vector: str = "embe
     kind = "<f8" if dict(vectors.dtypes)[vector] == "array<double>" else "<f4"
 
     def to_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = [r if i is not None else None for i, r in zip(b.column("vec_id").to_pylist(), _valid(b.column("v"), kind))]
+        for b in tidied(batches):
+            raw = _valid(b.column("v"), kind)
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(raw, pa.binary()), pa.array([len(r) // int(kind[2]) if r else None for r in raw], pa.int32())], names=["vec_id", "raw", "dim"])
 
     rows = materialize(vectors.select(F.col(id_).cast("long").alias("vec_id"), F.col(vector).cast("array<double>" if kind == "<f8" else "array<float>").alias("v")).mapInArrow(to_bytes, "vec_id long, raw binary, dim int"), "vectors")
@@ -163,7 +164,7 @@ def near_duplicates(vectors: DataFrame, id_: str = "vec_id", vector: str = "embe
     shape = {d: plan_tables(n, d, threshold) for d, n in sizes.items()}
 
     def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tidied(batches):
             raw, dims = b.column("raw").to_pylist(), b.column("dim").to_pylist()
             out: list = [None] * len(raw)
             for d in set(dims):
@@ -204,7 +205,7 @@ def near_duplicates(vectors: DataFrame, id_: str = "vec_id", vector: str = "embe
                 mine = np.flatnonzero(links)
                 yield pa.RecordBatch.from_arrays([pa.array(node[mine]), pa.array(links[mine].astype(np.int64)), pa.array(node[_forest(i, j, z - a)[mine]])], schema=schema)
 
-        for b in batches:
+        for b in tidied(batches):
             t = pa.Table.from_batches([b])
             held = pa.concat_tables([held, t]) if held is not None else t
             last = held.slice(len(held) - 1)

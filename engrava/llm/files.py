@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from engrava.llm.workers import tidied
+
 #: Ids after which a writer closes a file, at the end of a document.
 FILE_IDS = 2_000_000
 
@@ -74,7 +76,7 @@ def write_documents(docs: DataFrame, uri: str, encode: Callable[[pa.Array], list
                 return pa.RecordBatch.from_pydict({"file_no": [no] * len(ids), "path": [path] * len(ids), "ordinal": range(len(ids)), "doc_id": ids}, pa.schema([("file_no", pa.int64()), ("path", pa.string()), ("ordinal", pa.int64()), ("doc_id", pa.int64())]))
             return pa.RecordBatch.from_pydict({"part": [part], "file_no": [no], "path": [path], "n_docs": [len(ids)], "n_ids": [size]}, pa.schema([("part", pa.int64()), ("file_no", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-        for doc_id, raw in ((d, r) for b in batches for c in in_slices(b) for d, r in zip(c.column("doc_id").to_pylist(), encode(c.column("text")))):
+        for doc_id, raw in ((d, r) for c in tidied((c for b in batches for c in in_slices(b)), tokenizing=True) for d, r in zip(c.column("doc_id").to_pylist(), encode(c.column("text")))):
             ids.append(doc_id)
             parts.append(raw)
             size += len(raw) // 4

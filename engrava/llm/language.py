@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engrava.llm.folds import bounded_sample, fold
+from engrava.llm.workers import tidied
 
 MAX_N, SPACE = 3, 1 << 16
 #: Bounds of the fit: texts for each language, landmarks for each language. Penalty of the ridge.
@@ -138,7 +139,7 @@ def predict_language(model: LanguageModel | None, text: Column) -> Column:
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in tidied(batches):
             names, scores = model.predict(texts.tolist()) if model else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
@@ -150,7 +151,7 @@ def like_language(model: LanguageModel, text: Column) -> Column:
 
     @F.pandas_udf("boolean")
     def alike(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in tidied(batches):
             yield pd.Series(model.alike(texts.tolist()), dtype=bool)
 
     return alike(text)

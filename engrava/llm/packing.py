@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from engrava.llm.files import in_slices
 from engrava.llm.tokens import VOCABULARIES, vocabulary, word_tokenizer
-from engrava.plans.storage import materialize
+from engrava.llm.workers import tidied
+from engrava.plans.storage import join_small, materialize
 
 CAPACITY = 1024
 
@@ -164,7 +165,7 @@ def tokenize_pieces(docs: DataFrame, vocab: str = "byte_bpe_50k", end_id: int =
         from pyspark import TaskContext
 
         part, tokenizer, ranks = TaskContext.get().partitionId(), word_tokenizer(vocabulary(name), spaced), [0] * (capacity + 1)
-        for batch in (c for b in batches for c in in_slices(b)):
+        for batch in tidied((c for b in batches for c in in_slices(b)), tokenizing=True):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.batch(batch.column("text"))):
                 raw = memoryview(ids + end)
@@ -201,7 +202,7 @@ def pack_documents(docs: DataFrame, vocab: str = "byte_bpe_50k", end_id: int = 2
     lo = np.searchsorted(table["length"], np.arange(capacity + 2))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches, tokenizing=True):
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             at = np.empty(len(length), np.int64)
             for w in np.unique(length):

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engrava.llm.folds import bounded_sample, fold
+from engrava.llm.workers import tidied
 
 STRIDE, EMBED, FILTERS = 8, 8, 32
 #: Furthest back that a repetition is looked for; texts lie further apart than this reaches.
@@ -168,7 +169,7 @@ def predict_quality(model: ByteNetwork | None, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in tidied(batches):
             yield pd.Series(model.score(texts.tolist()) if model else np.full(len(texts), 0.5))
 
     return score(text)

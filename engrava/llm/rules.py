@@ -18,6 +18,7 @@ from engrava.plans.storage import join_small, materialize
 
 HOST_RATE = 0.5
 _words = re.compile("[^\x20\x09-\x0d]+").findall
+from engrava.llm.workers import tidied
 _word = re.compile("[^\x20\x09-\x0d]").search
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -61,7 +62,7 @@ def text_counts(text: Column) -> Column:
 
     @F.pandas_udf(", ".join(f"{c} long" for c in COUNTS))
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in tidied(batches):
             yield pd.DataFrame(np.array([measure(t) for t in texts], np.int64).reshape(-1, len(COUNTS)), columns=list(COUNTS))
 
     return count(text)

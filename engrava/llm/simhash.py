@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engrava.operators.graph import connected_components
+from engrava.llm.workers import tidied
 from engrava.plans.storage import materialize
 
 BITS, SEGMENTS = 64, 2
@@ -55,7 +56,7 @@ def fingerprints(text: Column, words: int = WORDS) -> Column:
 
     @F.pandas_udf("long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in tidied(batches):
             yield pd.Series(np.array([fingerprint(t, words) for t in texts], np.uint64).astype(np.int64))
 
     return of(text)
@@ -82,7 +83,7 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 def _longs(text: Column, of: Callable[[str | None], np.ndarray]) -> Column:
     @F.pandas_udf("array<long>")
     def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in tidied(batches):
             yield pd.Series([of(t).view(np.int64) for t in texts])
 
     return each(text)

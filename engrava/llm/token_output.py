@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from engrava.llm.files import in_id_order, read_range, write_documents
 from engrava.llm.tokens import VOCABULARIES, vocabulary, word_tokenizer
+from engrava.llm.workers import give_back, tidied
 from engrava.plans.storage import fresh_path, materialize
 
 #: Fixed values of the coding: ids in a word, and the width of each, by selector; 0 is the escape.
@@ -175,10 +176,11 @@ def read_token_files(manifest: DataFrame, digest: bool = False) -> DataFrame:
     out = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "start", "n_tokens")] + [T.StructField("ids_crc32", T.LongType()) if digest else T.StructField("ids", T.ArrayType(T.LongType()))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches, tokenizing=True):
             for path, first in zip(batch.column("path").to_pylist(), batch.column("first").to_pylist()):
                 doc_ids, sizes, ids = unpack_file(read_range(path))
                 stops = np.cumsum(sizes)
+                give_back()
                 if digest:
                     raw = memoryview(ids.astype("<u4").tobytes())
                     values = pa.array([zlib.crc32(raw[4 * (b - n) : 4 * b]) for b, n in zip(stops.tolist(), sizes.tolist())], pa.int64())

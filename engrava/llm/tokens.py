@@ -15,7 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words whose ids a worker keeps, and bytes of text split at once.
-KEPT_WORDS, BYTES = 450_000, 4 << 20
+KEPT_WORDS, BYTES = 450_000, 2 << 20
+#: Words that the library is asked for at once: what it returns takes some hundred bytes a token.
+_ASKED = 1 << 14
 #: Where splitting at single spaces and line ends isn't what the byte-level pattern does: a space before a line end, runs of three, of two at the end, and all
 #: other Unicode white space (and the mark that is split at).
 _UNEVEN = "[ \n]{3}|[ \n]{2}$| \n|[\x1f\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -95,7 +97,8 @@ class WordTokenizer:
         if not len(missing):
             return rows
         new = [words[k] for k in missing.tolist()]
-        ids, sizes = self._ids(new)
+        parts = [self._ids(new[k : k + _ASKED]) for k in range(0, len(new), _ASKED)]
+        ids, sizes = (np.concatenate(x) for x in zip(*parts))
         at, total = len(self.row), len(ids)
         while at + len(new) > len(self.first):
             self.first, self.count, self.seen = (np.append(x, np.zeros_like(x)) for x in (self.first, self.count, self.seen))
