@@ -68,6 +68,11 @@ def codes(x: np.ndarray, tables: int, k: int, probes: int = PROBES) -> np.ndarra
     return out
 
 
+def code_type(dim: int, k: int) -> np.dtype:
+    """The narrowest type that holds the codes of vectors of this length."""
+    return np.min_scalar_type((2 << max(1, (dim - 1).bit_length())) ** k - 1)
+
+
 @lru_cache(maxsize=64)
 def plan_tables(n: int, dim: int, threshold: float = THRESHOLD, missed: float = MISSED) -> tuple[int, int]:
     """``(L, k)`` for ``n`` vectors: about ``BUCKET`` to a bucket were they spread evenly, and a pair at the threshold missed with probability ``missed``."""
@@ -103,19 +108,18 @@ def _valid(vectors: pa.Array, kind: str) -> list[bytes | None]:
 
 
 def _links(run: dict[str, np.ndarray | int], x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray] | None:
-    """Links that a bucket's members are the first place to show: members' numbers in pairs, in any order of the members."""
-    n, base, code, t, blk, node = len(x), run["base"], run["codes"], run["t"], run["blk"], run["node"]
-    found = []
-    for lo in range(0, n, 256):
-        sim = x[lo : lo + 256] @ x.T >= threshold
-        sim &= base[lo : lo + 256, None] | base[None]
-        i, j = np.nonzero(sim)
-        i += lo
-        keep = i < j
+    """Links that a bucket's members are the first place to show: members' numbers in pairs, in any order of the members. Of a pair at least one has this
+    bucket as its own."""
+    base, code, t, blk, node = run["base"], run["codes"], run["t"], run["blk"], run["node"]
+    own_here, found = np.flatnonzero(base), []
+    for lo in range(0, len(own_here), 256):
+        i, j = np.nonzero(x[own_here[lo : lo + 256]] @ x.T >= threshold)
+        i = own_here[lo + i]
+        keep = ~base[j] | (i < j)
         if run["lo"] != run["hi"]:
             keep &= blk[i] != blk[j]
         found.append((i[keep], j[keep]))
-    i, j = (np.concatenate(a) for a in zip(*found))
+    i, j = (np.concatenate(a) for a in zip(*found, (np.zeros(0, int),) * 2))
     if not len(i):
         return None
     later = node[i] > node[j]  # where each looks the other up, the smaller node's bucket counts: the same in both buckets
@@ -146,9 +150,9 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
 def near_duplicates(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row: ``vec_id, n_links, component_id, kept``.
 
-    Vectors that are null, zero or empty, or hold null or non-finite components, and rows with a null id, link with nothing, as do vectors of different
-    lengths with each other. Equal vectors all link with each other; rows of one id count as so many vectors. A null id has a null
-    component and is kept. An empty table gives no rows; extra columns are ignored.
+    Vectors that are null, zero or empty, or hold null or non-finite components, link with nothing, as do vectors of different
+    lengths with each other. Equal vectors all link with each other; rows of one id, or of none, count as so many vectors. A null id is never a
+    component's smallest; rows of a component without any other id have a null component and are kept. An empty table gives no rows; extra columns are ignored.
     """
     kind = "<f8" if dict(vectors.dtypes)[vector] == "array<double>" else "<f4"
 
@@ -171,10 +175,11 @@ def near_duplicates(vectors: DataFrame, id_: str = "vec_id", vector: str = "embe
                 mine = [k for k, x in enumerate(dims) if x == d]
                 for k, c in zip(mine, codes(_units([raw[k] for k in mine], kind), *shape[d])):
                     out[k] = c.reshape(-1)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "n", "dim", "raw")), pa.array(out, pa.list_(pa.int64()))], names=["node", "n", "dim", "raw", "codes"])
+            packed = [c.astype(code_type(d, shape[d][1])).tobytes() for c, d in zip(out, dims)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "n", "dim", "raw")), pa.array(out, pa.list_(pa.int64())), pa.array(packed, pa.binary())], names=["node", "n", "dim", "raw", "own", "codes"])
 
-    hashed = materialize(classes.select("node", "n", "dim", "raw").mapInArrow(hash_, "node long, n long, dim int, raw binary, codes array<long>"), "hashed")
-    member = hashed.select("*", F.posexplode("codes").alias("_at", "code")).withColumn("t", F.expr(f"_at div {PROBES}").cast("int")).withColumn("base", F.col("_at") % PROBES == 0)
+    hashed = materialize(classes.select("node", "n", "dim", "raw").mapInArrow(hash_, "node long, n long, dim int, raw binary, own array<long>, codes binary"), "hashed")
+    member = hashed.select("node", "n", "dim", "raw", "codes", F.posexplode("own").alias("_at", "code")).withColumn("t", F.expr(f"_at div {PROBES}").cast("int")).withColumn("base", F.col("_at") % PROBES == 0)
     bucket = ["dim", "t", "code"]
     blocks = materialize(member.groupBy(*bucket).agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).select(*bucket, F.ceil(F.col("size") / BLOCK).cast("int").alias("nblk")), "hot-buckets")
     dealt = join_small(member.drop("_at"), blocks, bucket).withColumn("nblk", F.coalesce("nblk", F.lit(1)))
@@ -194,7 +199,8 @@ def near_duplicates(vectors: DataFrame, id_: str = "vec_id", vector: str = "embe
                 if z - a < 2 or not cols["base"][a:z].any():
                     continue
                 dim = int(cols["dim"][a])
-                code = np.stack(t.column("codes").slice(a, z - a).to_numpy()).reshape(z - a, *(shape[dim][0], PROBES))
+                tables, k = shape[dim]
+                code = np.frombuffer(b"".join(t.column("codes").slice(a, z - a).to_pylist()), code_type(dim, k)).reshape(z - a, tables, PROBES)
                 one = {c: cols[c][a] for c in run} | {c: cols[c][a:z] for c in ("blk", "base", "node")} | {"codes": code}
                 pairs = _links(one, _units(t.column("raw").slice(a, z - a).to_pylist(), kind), threshold)
                 if pairs is None:
@@ -229,7 +235,7 @@ def near_duplicates(vectors: DataFrame, id_: str = "vec_id", vector: str = "embe
     found = found.select(F.col("raw").alias("_raw"), F.col("dim").alias("_dim"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
     out = rows.join(found, (rows.raw == F.col("_raw")) & (rows.dim == F.col("_dim")), "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, component.isNull()).alias("kept"))
 
 
 def op1_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,21 @@ def test_dedup_by_similarity(spark):
     assert simhash.dedup_documents(docs_of(spark, [])).count() == 0
 
 
+def test_sketches_tell_how_many_minima_differ(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(9)
+    pool = rng.integers(0, 1 << 64, 1000, dtype=np.uint64)
+    rows, want = [], []
+    for share in (1.0, 0.9, 0.8, 0.5, 0.0):
+        a, b = np.unique(pool[:200]), np.unique(np.concatenate([pool[: int(200 * share)], pool[500 : 700 - int(200 * share)]]))
+        minima = [((np.multiply.outer(simhash._FACTORS, x) + simhash._SHIFTS[:, None]).min(1) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60) for x in (a, b)]
+        want.append(int((minima[0] != minima[1]).sum()))
+        rows.append([simhash.band_keys(x)[2 + simhash.BANDS :].view(np.int64).tolist() for x in (a, b)])
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>").select(simhash._sketch_apart(F.col("a"), F.col("b")).alias("n")).collect()
+    assert [r.n for r in got] == want and want[0] == 0 and want[-1] > simhash.most_apart(0.8)
+
+
 @pytest.mark.parametrize("bytes_", [0, 1 << 20])
 def test_a_group_of_near_copies_and_both_ways_to_keep_rows(spark, monkeypatch, bytes_):
     monkeypatch.setattr(simhash, "BITMAP_BYTES", bytes_)
@@ -115,7 +130,7 @@ def brute_vectors(rows, threshold=0.95):
         n = np.linalg.norm(np.array(v, float))
         return np.array(v, float) / n if n else None
 
-    units = [unit(v) if i is not None else None for i, v in rows]
+    units = [unit(v) for _, v in rows]
     ok = lambda a, b: units[a] is not None and units[b] is not None and len(units[a]) == len(units[b]) and units[a] @ units[b] >= threshold
     pairs = [(a, b) for a in range(len(rows)) for b in range(a) if ok(a, b)]
     links = np.bincount([k for p in pairs for k in p], minlength=len(rows)) if pairs else np.zeros(len(rows), int)
@@ -124,7 +139,7 @@ def brute_vectors(rows, threshold=0.95):
     for (i, _), r in zip(rows, roots):
         if i is not None:
             least[r] = min(least.get(r, i), i)
-    return sorted(((i, int(n), None if i is None else least[r], i is None or least[r] == i) for (i, _), n, r in zip(rows, links, roots)), key=str)
+    return sorted(((i, int(n), least.get(r), least.get(r) == i) for (i, _), n, r in zip(rows, links, roots)), key=str)
 
 
 @pytest.mark.parametrize("kind", ["float", "double"])
@@ -136,7 +151,7 @@ def test_op1_against_brute_force(spark, kind, monkeypatch):
         base = rng.normal(size=16)
         for _ in range(rng.integers(1, 40)):
             rows.append((len(rows), (base + rng.normal(size=16) * rng.choice([0, 0.02, 0.05, 0.1])).astype("f4").astype(float).tolist()))
-    rows += [(9000, None), (9001, [0.0] * 16), (9002, [float("nan")] + [1.0] * 15), (9003, [None] + [1.0] * 15), (9004, [float("inf")] * 16), (9005, []), (None, rows[0][1]), (9006, [1.0, 2.0]), (9007, [2.0, 4.0]), (9008, [1.0]), (0, rows[0][1]), (9009, [3.0])]
+    rows += [(9000, None), (9001, [0.0] * 16), (9002, [float("nan")] + [1.0] * 15), (9003, [None] + [1.0] * 15), (9004, [float("inf")] * 16), (9005, []), (None, rows[0][1]), (9006, [1.0, 2.0]), (9007, [2.0, 4.0]), (9008, [1.0]), (0, rows[0][1]), (9009, [3.0]), (None, [5.0, -4.0, 3.0]), (None, [5.0, -4.0, 3.0])]
     table = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
     got = embeddings.near_duplicates(clashing(spark, table)).collect()
     assert sorted(map(tuple, got), key=str) == brute_vectors(rows)
@@ -148,6 +163,24 @@ def test_op1_on_the_smallest_tables(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_op1_with_two_axes_to_a_code(spark, monkeypatch):
+    """Small buckets make codes of two axes; planted pairs at 0.951 to 0.97 are all found and counted once."""
+    monkeypatch.setattr(embeddings, "BUCKET", 4)
+    rng = np.random.default_rng(21)
+    a, b = rng.normal(size=(2, 400, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (b * a).sum(1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    c = rng.uniform(0.951, 0.97, 400)[:, None]
+    x = np.concatenate([a, c * a + np.sqrt(1 - c**2) * b])
+    assert embeddings.plan_tables.__wrapped__(len(x), 64)[1] >= 2
+    embeddings.plan_tables.cache_clear()
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    embeddings.plan_tables.cache_clear()
+    assert sorted(map(tuple, got), key=str) == brute_vectors(rows)
+
+
 def test_op1_counts_each_link_once_in_any_order_of_a_buckets_rows():
     rng = np.random.default_rng(11)
     a, b = rng.normal(size=(2, 300, 64))
