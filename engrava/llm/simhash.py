@@ -10,6 +10,7 @@ The pipeline's documents are compared by the Jaccard similarity of their sets of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import accumulate, combinations
@@ -20,8 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engrava.operators.graph import connected_components
 from engrava.llm.workers import tidied
+from engrava.operators.graph import connected_components
 from engrava.plans.storage import materialize
 
 BITS, SEGMENTS = 64, 2
@@ -68,18 +69,38 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """Of a set of hashes a digest of the whole, its size, and ``BANDS`` keys, each of ``ROWS`` minima; all 0 for the empty set."""
-    out = np.zeros(2 + BANDS, np.uint64)
+    """Of a set of hashes a digest of the whole, its size, ``BANDS`` keys, each of ``ROWS`` minima, and ``SKETCH`` words with four bits of each minimum; all 0
+    for the empty set."""
+    out = np.zeros(2 + BANDS + SKETCH, np.uint64)
     if not len(hashes):
         return out
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), _MINIMA_AT_ONCE):
         np.minimum(least, (np.multiply.outer(_FACTORS, hashes[at : at + _MINIMA_AT_ONCE]) + _SHIFTS[:, None]).min(1), out=least)
     out[0], out[1] = xxhash.xxh64_intdigest(hashes.tobytes()), len(hashes)
-    out[2:] = [xxhash.xxh64_intdigest(x.tobytes()) for x in least.reshape(BANDS, ROWS)]
+    out[2 : 2 + BANDS] = [xxhash.xxh64_intdigest(x.tobytes()) for x in least.reshape(BANDS, ROWS)]
+    four = np.zeros(16 * SKETCH, np.uint64)
+    four[: len(least)] = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60)
+    out[2 + BANDS :] = (four.reshape(SKETCH, 16) << (np.uint64(4) * np.arange(16, dtype=np.uint64))).sum(1, dtype=np.uint64)
     return out
 
 
+def _sketch_apart(a: Column, b: Column) -> Column:
+    """Minima whose four bits differ."""
+    def words(k: int) -> Column:
+        x = a[k].bitwiseXOR(b[k])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    return reduce(lambda x, y: x + y, map(words, range(SKETCH)))
+
+
+def most_apart(similarity: float, deviations: float = 4.5) -> int:
+    """How many of the minima's four bits may differ between two sets of this similarity: more do with a probability of 3e-6."""
+    n, differ = BANDS * ROWS, (1 - similarity) * 15 / 16
+    return math.floor(n * differ + deviations * math.sqrt(n * differ * (1 - differ)))
+
+
 def _longs(text: Column, of: Callable[[str | None], np.ndarray]) -> Column:
     @F.pandas_udf("array<long>")
     def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -170,6 +191,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
 
 #: For similarity of texts: of each set of shingles so many keys of so many minima. Two sets at 0.8 share none with a probability of (1 - 0.8 ** ROWS) ** BANDS, 1e-5.
 BANDS, ROWS = 38, 6
+SKETCH = -(-BANDS * ROWS // 16)
 _MINIMA_AT_ONCE = 512
 _FACTORS, _SHIFTS = np.random.default_rng(1997).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[1], [0]], np.uint64)
 #: Bytes of bitmaps up to which they are broadcast: half a billion documents.
@@ -188,10 +210,11 @@ def similar_documents(tagged: DataFrame, text: str, rank: Column, words: int = 5
 
     Groups are what is connected by pairs whose sets of shingles have this Jaccard similarity. Equal sets are one node. Candidates share a key of
     minima and have sizes that allow the similarity; each is verified by the sets themselves, which are made for nodes with a candidate only. First
-    each node of a key is held against the smallest one, then pairs of a key that this hasn't brought together, so a large group of near copies is not paired.
+    each node of a key is held against the smallest one, then pairs of a key that this hasn't brought together, so a large group of near copies is not paired;
+    of these, the join itself leaves out those whose sketches are too far apart.
     """
     nodes = tagged.groupBy("_keys").agg(F.min(rank).alias("rep"))
-    nodes = materialize(nodes.select(F.col("rep.row").alias("node"), "rep", F.col("_keys")[1].alias("size"), F.slice("_keys", 3, BANDS).alias("keys")), "shingle-sets")
+    nodes = materialize(nodes.select(F.col("rep.row").alias("node"), "rep", F.col("_keys")[1].alias("size"), F.slice("_keys", 3, BANDS).alias("keys"), F.slice("_keys", 3 + BANDS, SKETCH).alias("sketch")), "shingle-sets")
     rows = nodes.where("size > 0").select("node", "size", F.posexplode("keys").alias("band", "key"))
     hubs = rows.groupBy("band", "key").agg(F.min(F.struct("node", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = materialize(rows.join(hubs.hint("merge"), ["band", "key"]), "met")
@@ -204,8 +227,10 @@ def similar_documents(tagged: DataFrame, text: str, rank: Column, words: int = 5
     grouped = met.drop("hub").join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
     mixed = grouped.groupBy("band", "key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("band", "key")
     grouped = materialize(grouped.join(mixed.hint("merge"), ["band", "key"], "left_semi"), "grouped")
-    a, b = (grouped.select("band", "key", F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("grp").alias(f"grp_{x}")) for x in ("src", "dst"))
-    rest = a.join(b.hint("merge"), ["band", "key"]).where((F.col("src") < F.col("dst")) & (F.col("grp_src") != F.col("grp_dst")) & fit(F.col("size_src"), F.col("size_dst"))).select("src", "dst").distinct()
+    grouped = materialize(grouped.join(nodes.select("node", "sketch"), "node"), "sketched")
+    a, b = (grouped.select("band", "key", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "grp", "sketch")]) for x in ("src", "dst"))
+    apart = (F.col("src") < F.col("dst")) & (F.col("grp_src") != F.col("grp_dst")) & fit(F.col("size_src"), F.col("size_dst"))
+    rest = a.join(b.hint("merge"), ["band", "key"]).where(apart & (_sketch_apart(F.col("sketch_src"), F.col("sketch_dst")) <= most_apart(similarity))).select("src", "dst").distinct()
     return group_nodes(nodes, stars.union(materialize(_alike(rest, sets, similarity), "alike"))).select(F.col("component_id.row").alias("_row")).distinct()
 
 
