@@ -176,7 +176,8 @@ def predict_quality(model: ByteNetwork | None, text: Column) -> Column:
 
 
 def op2_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract query. A null doc_id counts as not held out."""
+    """Contract query, one row per row. A null doc_id counts as not held out; null and empty texts are scored alike; repeated rows get one score each; an
+    empty table gives no rows."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out")
     scored = docs.select("doc_id", held_out, predict_quality(fit_quality(docs, labels), F.col("text")).alias("score"))
