@@ -1,7 +1,11 @@
 """Quality rules, by document and by host.
 
-Each document is held against fixed rules on its whole text; the failures are added up by host, hosts' failure rates are shrunk towards
-all hosts' with a beta prior fitted to them, and a host whose shrunk rate is over ``HOST_RATE`` loses all its documents.
+Each document is held against fixed rules on its whole text: base rules, which it must pass, and soft ones. Failures of either are added up
+by host, and hosts' failure rates are shrunk towards all hosts' with a beta prior fitted to them. The shrunk rate gives the host's verdict:
+
+- ``condemned``, if it is over ``HOST_RATE`` and the pooled rate: all its documents go;
+- ``trusted``, if it is under the pooled rate by more than ``BETTER`` standard deviations of the prior: its documents are excused the soft rules;
+- else ``ordinary``: its documents must pass the soft rules, too.
 """
 
 from __future__ import annotations
@@ -14,11 +18,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engrava.llm.workers import tidied
 from engrava.plans.storage import join_small, materialize
 
-HOST_RATE = 0.5
+HOST_RATE, BETTER = 0.5, 1.0
 _words = re.compile("[^\x20\x09-\x0d]+").findall
-from engrava.llm.workers import tidied
 _word = re.compile("[^\x20\x09-\x0d]").search
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -68,13 +72,13 @@ def text_counts(text: Column) -> Column:
     return count(text)
 
 
-#: Fails a document by itself; and what else counts as a failure in its host's rate.
+#: The base rules, and the soft ones.
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
-ALSO_FAILED = "10 * n_symbols > n_words OR 2 * n_dup_lines > n_words OR word_chars > 12 * n_words OR word_chars < 2 * n_words"
+SOFT_FAILED = "10 * n_symbols > n_words OR 2 * n_dup_lines > n_words OR word_chars > 12 * n_words OR word_chars < 2 * n_words"
 
 
 def host_rates(counted: DataFrame, host: str = "host") -> DataFrame:
-    """``host, n_docs, n_failed, rate`` of rows with a boolean ``failed``; ``rate`` is the posterior mean under a beta prior with the hosts'
+    """``host, n_docs, n_failed, rate, verdict`` of rows with a boolean ``failed``; ``rate`` is the posterior mean under a beta prior with the hosts'
     pooled mean and, from the moments of the beta-binomial, their spread. Hosts that differ no more than chance are all given the pooled
     mean, nearly. A null host is one host."""
     hosts = materialize(counted.groupBy(host).agg(F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed")), "hosts")
@@ -82,20 +86,23 @@ def host_rates(counted: DataFrame, host: str = "host") -> DataFrame:
     spread = F.expr("(sk - n * m * m - m * (1 - m) * (h - 1)) / (m * (1 - m) * (n - sq / n - (h - 1)))")
     rho = F.least(F.greatest(F.coalesce(F.when(F.expr("m > 0 and m < 1 and n - sq / n > h - 1"), spread), F.lit(1e-6)), F.lit(1e-6)), F.lit(0.999))
     prior = total.select("m", (1 / rho - 1).alias("weight"))  # one row
-    return hosts.crossJoin(F.broadcast(prior)).select(host, "n_docs", "n_failed", F.expr("(n_failed + weight * m) / (n_docs + weight)").alias("rate"))
+    rated = hosts.crossJoin(F.broadcast(prior)).select(host, "n_docs", "n_failed", "m", F.expr("sqrt(m * (1 - m) / (weight + 1))").alias("sd"), F.expr("(n_failed + weight * m) / (n_docs + weight)").alias("rate"))
+    verdict = F.expr(f"CASE WHEN rate > greatest({HOST_RATE}D, m) THEN 'condemned' WHEN rate < m - {BETTER}D * sd THEN 'trusted' ELSE 'ordinary' END")
+    return rated.select(host, "n_docs", "n_failed", "rate", verdict.alias("verdict"))
 
 
 def judge_documents(docs: DataFrame, host: str = "source") -> DataFrame:
-    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host, host_rate, kept``, one row per row.
+    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host, host_rate, host_verdict, kept``, one row per row.
 
     Texts are read once, where they lie; only counts are shuffled, added up by host before. Null and empty texts have no words and fail;
     an empty table gives no rows; extra columns are ignored.
     """
     c = docs.select("doc_id", F.col(host).alias("host"), text_counts(F.col("text")).alias("c")).select("doc_id", "host", *(f"c.{x}" for x in COUNTS))
-    counted = materialize(c.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("failed", F.expr(f"base_failed OR {ALSO_FAILED}")), "counted")
-    rates = materialize(host_rates(counted).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate")), "rates")
+    counted = materialize(c.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("soft_failed", F.expr(SOFT_FAILED)).withColumn("failed", F.expr("base_failed OR soft_failed")), "counted")
+    rates = materialize(host_rates(counted).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"), F.col("verdict").alias("host_verdict")), "rates")
     judged = join_small(counted, rates, F.col("host").eqNullSafe(F.col("_host")))
-    return judged.select("doc_id", *COUNTS, "base_failed", "host", "host_rate", (~F.col("base_failed") & (F.col("host_rate") <= HOST_RATE)).alias("kept"))
+    kept = F.expr("NOT base_failed AND host_verdict <> 'condemned' AND (NOT soft_failed OR host_verdict = 'trusted')")
+    return judged.select("doc_id", *COUNTS, "base_failed", "soft_failed", "host", "host_rate", "host_verdict", kept.alias("kept"))
 
 
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,10 +121,13 @@ counted AS (SELECT words.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST
   CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
   FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id)),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted),
-failing AS (SELECT *, base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_words OR word_chars > 12 * n_words OR word_chars < 2 * n_words AS failed FROM judged),
+soft AS (SELECT *, 10 * n_symbols > n_words OR 2 * n_dup_lines > n_words OR word_chars > 12 * n_words OR word_chars < 2 * n_words AS soft_failed FROM judged),
+failing AS (SELECT *, base_failed OR soft_failed AS failed FROM soft),
 hosts AS (SELECT source, count(*) AS n, sum(CAST(failed AS INT)) AS k FROM failing GROUP BY source),
 total AS (SELECT sum(n) AS n, count(*) AS h, sum(k) / sum(n) AS m, sum(n::DOUBLE * n) AS sq, sum(k::DOUBLE * k / n) AS sk FROM hosts),
-prior AS (SELECT m, 1 / least(greatest(coalesce(CASE WHEN m > 0 AND m < 1 AND n - sq / n > h - 1 THEN (sk - n * m * m - m * (1 - m) * (h - 1)) / (m * (1 - m) * (n - sq / n - (h - 1))) END, 1e-6), 1e-6), 0.999) - 1 AS weight FROM total)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (k + weight * m) / (hosts.n + weight) <= 0.5 AS kept
-FROM failing JOIN hosts ON failing.source IS NOT DISTINCT FROM hosts.source CROSS JOIN prior
+prior AS (SELECT m, 1 / least(greatest(coalesce(CASE WHEN m > 0 AND m < 1 AND n - sq / n > h - 1 THEN (sk - n * m * m - m * (1 - m) * (h - 1)) / (m * (1 - m) * (n - sq / n - (h - 1))) END, 1e-6), 1e-6), 0.999) - 1 AS weight FROM total),
+rated AS (SELECT source, m, sqrt(m * (1 - m) / (weight + 1)) AS sd, (k + weight * m) / (n + weight) AS rate FROM hosts CROSS JOIN prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND rate <= greatest(0.5, m) AND (NOT soft_failed OR rate < m - sd) AS kept
+FROM failing JOIN rated ON failing.source IS NOT DISTINCT FROM rated.source
 """
