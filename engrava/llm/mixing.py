@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame functions throughout.
 
-Each source gets a share of the mix by its weight, at most ``MOST`` times its size; what is cut off is shared out again. A document expects
-as many copies as its source's target has times its size: whole copies are certain, and for the rest documents are ranked by
-Q = (U / (1 - U)) / (p / (1 - p)), U uniform by hash and p the rest, its inclusion probability (Rosén, 1997); the lowest ranks are taken
-up to the words still missing. The rank at which that happens is found by descending its digits, each level an aggregation that is
+Each source gets a share of the mix by its weight, at most ``MOST`` times its size; what is cut off is shared out again. Within a source
+documents expect unequal numbers of copies, e = min(MOST, c x): x = size / (size + ``HALF``), so that scraps of a few words are taken less often
+than texts of some length, and c such that the expected words are the target's. Whole copies (floor e) are certain. For the rest p = e - floor e, the
+inclusion probability, documents are ranked by Q = (U / (1 - U)) / (p / (1 - p)), U uniform by hash (Rosén, 1997); the lowest ranks are
+taken up to the words still missing. The rank at which that happens is found by descending its digits, each level an aggregation that is
 partly added up before its shuffle, so no source's documents are ever brought together, however large it is.
 """
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from engrava.plans.storage import join_small, materialize
 
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
+#: Words of a document that is half as likely to be taken as the longest; steps in which the likelihood is told apart, so that a source has as many at most.
+HALF, STEPS = 50, 1024
 #: Digits of a rank, and bits of each; the first three order by Q, the last two by row.
 LEVELS, DIGIT = 5, 12
 
@@ -24,25 +27,67 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
 
 
+def _numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """``rows`` with ``_part`` and ``_at``, which together follow ``order``: sorted over all partitions, so that a running sum is one within
+    each partition and one over the partitions' sums."""
+    at = rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
+    return materialize(at.select(*rows.columns, F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_at")), "numbered")
+
+
+def _running(rows: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """``_numbered`` rows with, for each of ``sums``, what the rows before add up to."""
+    parts = rows.groupBy("_part").agg(*[F.sum(x).alias(f"_all_{c}") for c, x in sums.items()])
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    parts = parts.select(F.col("_part").alias("_of"), *[F.coalesce(F.sum(f"_all_{c}").over(earlier), F.lit(0)).alias(f"_all_{c}") for c in sums])
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(F.broadcast(parts), rows["_part"] == parts["_of"])
+    return out.select(*rows.columns, *[(F.col(f"_all_{c}") + F.coalesce(F.sum(x).over(inside), F.lit(0))).alias(c) for c, x in sums.items()])
+
+
 def source_targets(sizes: DataFrame, share: float = SHARE, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """``source, source_size, target`` for rows ``source, source_size``, one per source.
 
     Sources by code point, null last, take the weights in turn. A source whose share passes ``most`` times its size has that as its target. Which
-    do follows from the order of size over weight: those below the level at which the shares of all others use up the mix. The table
-    of sources is small beside the documents; two windows run over it whole.
+    do follows from the order of size over weight: those below the level at which the shares of all others use up the mix. The sources may be any number:
+    both orders are sorted over all partitions.
     """
-    by_name, by_room = Window.orderBy(F.col("source").isNull(), "source"), Window.orderBy("_room", "_k")
     n = len(weights)
-    w = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % n + 1).cast("int"))
-    rows = sizes.withColumn("_k", F.row_number().over(by_name)).withColumn("_w", w).withColumn("_cap", most * F.col("source_size")).withColumn("_room", F.col("_cap") / F.col("_w"))
-    whole = Window.partitionBy()
-    below = by_room.rowsBetween(Window.unboundedPreceding, -1)
+    named = _running(_numbered(sizes.select("source", "source_size"), F.col("source").isNull(), "source"), {"_k": F.lit(1)})
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("_k") % n + 1).cast("int"))
+    named = named.select("source", "source_size", "_k", w.alias("_w"), (most * F.col("source_size")).alias("_cap"))
+    by_room = _numbered(named.withColumn("_room", F.col("_cap") / F.col("_w")), "_room", "_k")
+    whole = by_room.agg(F.sum("source_size").alias("_size"), F.sum("_w").alias("_weight"))  # one row
+    rows = _running(by_room, {"_caps": F.col("_cap"), "_weights": F.col("_w")}).crossJoin(F.broadcast(whole))
     # Were all before this one held to their caps, the others would share this much for each unit of weight.
-    level = (share * F.sum("source_size").over(whole) - F.coalesce(F.sum("_cap").over(below), F.lit(0.0))) / (F.sum("_w").over(whole) - F.coalesce(F.sum("_w").over(below), F.lit(0.0)))
-    rows = rows.withColumn("_level", level)
-    final = F.first(F.when(F.col("_level") <= F.col("_room"), F.col("_level")), ignorenulls=True).over(by_room.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    target = F.least("_cap", F.coalesce(F.col("_w") * final, F.col("_cap")))
-    return rows.select("source", "source_size", target.alias("target"))
+    rows = rows.withColumn("_level", (share * F.col("_size") - F.col("_caps")) / (F.col("_weight") - F.col("_weights")))
+    final = rows.where("_level <= _room").agg(F.min_by("_level", F.struct("_room", "_k")).alias("_final"))  # one row
+    target = F.least("_cap", F.coalesce(F.col("_w") * F.col("_final"), F.col("_cap")))
+    return rows.crossJoin(F.broadcast(final)).select("source", "source_size", target.alias("target"))
+
+
+def odds(size: Column) -> Column:
+    """x of a size over 0, in whole ``STEPS``: at least one."""
+    return F.greatest(F.floor(STEPS * size / (size + HALF)), F.lit(1)).cast("int")
+
+
+def expected_copies(odds_: Column, level: Column, most: float = MOST) -> Column:
+    """e = min(``most``, c x); without a c all expect ``most``."""
+    return F.coalesce(F.least(level * odds_ / STEPS, F.lit(float(most))), F.lit(float(most)))
+
+
+def copy_levels(histogram: DataFrame, targets: DataFrame, most: float = MOST) -> DataFrame:
+    """``source, level``: c of each source, null where every document is taken ``most`` times.
+
+    ``histogram`` has ``source, odds, words``: at most ``STEPS`` rows for each source. If those of higher odds than a row's are held to ``most``, c is what the
+    others need to reach the target; the first row that such a c doesn't take past ``most`` tells.
+    """
+    h = join_small(histogram, targets.select(F.col("source").alias("_t"), "target"), F.col("source").eqNullSafe(F.col("_t")), "inner")
+    falling = Window.partitionBy("source").orderBy(F.desc("odds"))
+    higher = F.coalesce(F.sum("words").over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lower = F.sum(F.col("words") * F.col("odds")).over(falling.rowsBetween(0, Window.unboundedFollowing))
+    h = h.select("source", "odds", ((F.col("target") - most * higher) * STEPS / lower).alias("level"))
+    holds = F.col("level") * F.col("odds") < most * STEPS
+    return h.groupBy("source").agg(F.max_by("level", F.when(holds, F.col("odds"))).alias("level"))
 
 
 def _rank(rest: Column, key: Column, row: Column) -> Column:
@@ -77,20 +122,28 @@ def pareto_cuts(rows: DataFrame, wanted: DataFrame, stratum: str = "source") ->
 
 
 def mix(sized: DataFrame, share: float = SHARE, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """Adds ``source_size, target, copies, taken`` to rows with ``source``, ``size``, ``key`` (the same for the same document) and ``row`` (unique). ``sized`` should be
+    """Adds ``source_size, target, expected, copies, taken`` to rows with ``source``, ``size``, ``key`` (the same for the same document) and ``row`` (unique). ``sized`` should be
     materialised: it is read once for the sizes, once for each digit of the cuts (after the first only what lies there), and once at last.
     """
-    totals = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes")
-    targets = materialize(source_targets(totals, share, weights, most), "targets").withColumnRenamed("source", "_t")
-    targets = targets.withColumn("_whole", F.coalesce(F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0))).withColumn("_rest", F.greatest(F.col("target") - F.col("_whole") * F.col("source_size"), F.lit(0.0)))
+    histogram = sized.groupBy("source", F.when(F.col("size") > 0, odds(F.col("size"))).alias("odds")).agg(F.sum("size").alias("words"))
+    histogram = materialize(histogram, "odds-histogram")
+    totals = materialize(histogram.groupBy("source").agg(F.sum("words").alias("source_size")), "source-sizes")
+    targets = materialize(source_targets(totals, share, weights, most), "targets")
+    levels = materialize(copy_levels(histogram.where("odds is not null"), targets, most), "levels")
+    targets = join_small(targets, levels.withColumnRenamed("source", "_l"), F.col("source").eqNullSafe(F.col("_l"))).select(F.col("source").alias("_t"), "source_size", "target", "level")
+    targets = materialize(targets, "targets-levels")
+    sure = join_small(histogram.where("odds is not null"), targets, F.col("source").eqNullSafe(F.col("_t")), "inner")
+    sure = sure.groupBy("_t", "target").agg(F.sum(F.floor(expected_copies(F.col("odds"), F.col("level"), most)) * F.col("words")).alias("_sure"))
+    wanted = sure.select(F.col("_t").alias("source"), (F.col("target") - F.col("_sure")).alias("rest")).where("rest > 0")
     joined = join_small(sized, targets, F.col("source").eqNullSafe(F.col("_t")))
-    p = F.coalesce(F.col("_rest") / F.when(F.col("source_size") > 0, F.col("source_size")), F.lit(0.0))
-    ranked = joined.withColumn("_rank", _rank(p, F.col("key"), F.col("row")))
-    wanted = targets.where("_rest > 0").select(F.col("_t").alias("source"), F.col("_rest").alias("rest"))
-    cuts = pareto_cuts(ranked.where("size > 0 and _rest > 0").select("source", F.col("_rank").alias("rank"), "size"), wanted).select(F.col("source").alias("_c"), "cut")
+    expected = F.when(F.col("size") > 0, expected_copies(odds(F.col("size")), F.col("level"), most)).otherwise(F.lit(0.0))
+    joined = joined.withColumn("expected", expected).withColumn("_whole", F.floor("expected")).withColumn("_p", F.col("expected") - F.col("_whole"))
+    ranked = joined.withColumn("_rank", _rank(F.col("_p"), F.col("key"), F.col("row")))
+    cuts = pareto_cuts(ranked.where("_p > 0").select("source", F.col("_rank").alias("rank"), "size"), wanted).select(F.col("source").alias("_c"), "cut")
     taken = join_small(ranked, cuts, F.col("source").eqNullSafe(F.col("_c")))
-    copies = (F.col("_whole") + F.coalesce((F.col("_rank") <= F.col("cut")).cast("long"), F.lit(0))).cast("long")
-    return taken.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("_t", "_whole", "_rest", "_rank", "_c", "cut")
+    drawn = F.coalesce(((F.col("_p") > 0) & (F.col("_rank") <= F.col("cut"))).cast("long"), F.lit(0))
+    copies = (F.col("_whole") + drawn).cast("long")
+    return taken.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("_t", "_whole", "_p", "_rank", "_c", "cut", "level")
 
 
 def mix_sources(docs: DataFrame) -> DataFrame:

@@ -32,6 +32,42 @@ def test_targets(spark, seed):
     assert got == pytest.approx(water(sizes))
 
 
+def slow_level(sizes, target, most=2.0):
+    """c by bisection."""
+    from math import floor
+
+    x = [max(1, floor(mixing.STEPS * s / (s + mixing.HALF))) / mixing.STEPS for s in sizes]
+    words = lambda c: sum(min(most, c * a) * s for a, s in zip(x, sizes))
+    lo, hi = 0.0, most * mixing.STEPS
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if words(mid) < target else (lo, mid)
+    return [min(most, lo * a) for a in x]
+
+
+def test_expected_copies_and_how_often_documents_are_taken(spark):
+    """Inclusion odds differ within a source; over many documents of a size the share that is taken is theirs."""
+    rng = np.random.default_rng(3)
+    rows = [(k, source, int(rng.choice([3, 20, 60, 300, 2000])), k) for source, n in (("a", 9000), ("b", 6000), ("c", 3000)) for k in range(n)]
+    sized = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "key long, source string, size long, one long, row long").withColumn("key", __import__("pyspark.sql.functions", fromlist=["xxhash64"]).xxhash64("source", "one"))
+    got = mixing.mix(sized).collect()
+    for source in "abc":
+        mine = [r for r in got if r.source == source]
+        want = slow_level([r.size for r in mine], mine[0].target)
+        assert [r.expected for r in mine] == pytest.approx(want, rel=1e-9)
+        assert len({round(e, 6) for e in want}) > 2
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 2000
+        for size in (3, 20, 60, 300, 2000):
+            of = [r for r in mine if r.size == size]
+            p = of[0].expected % 1
+            assert all(r.copies - int(r.expected) in (0, 1) for r in of)
+            assert np.mean([r.copies for r in of]) == pytest.approx(of[0].expected, abs=4 * (max(p * (1 - p), 1e-4) / len(of)) ** 0.5 + 0.01)
+
+
+def test_targets_of_many_sources(spark):
+    sizes = {f"s{k}": k * 37 % 1009 for k in range(3000)}
+    got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)).collect()}
+    assert got == pytest.approx(water(sizes))
 
 
 def test_op5(spark):
