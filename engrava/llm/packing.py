@@ -196,7 +196,7 @@ def pack_documents(docs: DataFrame, vocab: str = "byte_bpe_50k", end_id: int = 2
     first = materialize(held.select("part", "length", "n", (F.sum("n").over(before) - F.col("n")).alias("first")), "pieces-first")
     counts = {r.length: r.n for r in first.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = slots(plan_packing(counts, capacity), capacity)
-    ranks = pieces.join(first.drop("n"), ["part", "length"])
+    ranks = join_small(pieces, first.drop("n"), ["part", "length"], "inner")
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     out = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
     lo = np.searchsorted(table["length"], np.arange(capacity + 2))
