@@ -2,12 +2,24 @@ import numpy as np
 
 import corpus_pipeline
 from engrava.llm import mixing
+from engrava.llm.quality import THRESHOLD, fit_quality
+from engrava.llm.simhash import shingle_set
 from engrava.plans.storage import materialize
-from tests.llm.helpers import SF, awkward, clashing, docs_of
+from tests.llm.helpers import SF, awkward, clashing, components, docs_of
 from tests.llm.test_packing import check
 from tests.llm.test_tokens import plain
 
 
+def kept_by_brute_force(docs):
+    """The smallest doc_id of each group of documents whose sets of five-word shingles are connected by similarities of 0.8 or more."""
+    rows = [(r.doc_id, set(shingle_set(r.text, 5).tolist())) for r in docs.collect()]
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if (u := len(rows[a][1] | rows[b][1])) == 0 or len(rows[a][1] & rows[b][1]) >= 0.8 * u - 1e-9]
+    least = {}
+    for (doc_id, _), root in zip(rows, components(len(rows), pairs)):
+        least[root] = min(least.get(root, doc_id), doc_id)
+    return sorted(least.values())
+
+
 def test_every_stage_on_its_own_input(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
@@ -21,7 +33,11 @@ def test_every_stage_on_its_own_input(spark):
             assert not any(r[1] is None for r in after) and len(after) >= 0.98 * len(texts)
         if name == "near_duplicates":
             assert len({r[1] for r in after}) == len(after)
-            assert {r[1] for r in after} >= set() and min(r[0] for r in after) == min(r[0] for r in texts)
+            assert min(r[0] for r in after) == min(r[0] for r in texts)
+            assert sorted(r[0] for r in after) == kept_by_brute_force(before)
+        if name == "quality":
+            model = fit_quality(before, spark.read.parquet(f"{SF}/labels.parquet"))
+            assert sorted(r[0] for r in after) == sorted(r.doc_id for r in before.collect() if model.score([r.text])[0] >= THRESHOLD)
         if name == "mixture":
             assert sum(len((r[1] or "").encode().split()) for r in after) == sum(r.taken for r in mixing.mix_sources(before).collect())
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
