@@ -69,9 +69,9 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """Of a set of hashes a digest of the whole, its size, ``BANDS`` keys, each of ``ROWS`` minima, and ``SKETCH`` words with four bits of each minimum; all 0
-    for the empty set."""
-    out = np.zeros(2 + BANDS + SKETCH, np.uint64)
+    """Of a set of hashes a digest of the whole, its size, ``BANDS`` keys, each of ``ROWS`` minima, ``SKETCH`` words with four bits of each minimum, and
+    ``PARITY`` words of which each bit says whether an odd number of the hashes falls there; all 0 for the empty set."""
+    out = np.zeros(2 + BANDS + SKETCH + PARITY, np.uint64)
     if not len(hashes):
         return out
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
@@ -81,7 +81,9 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     out[2 : 2 + BANDS] = [xxhash.xxh64_intdigest(x.tobytes()) for x in least.reshape(BANDS, ROWS)]
     four = np.zeros(16 * SKETCH, np.uint64)
     four[: len(least)] = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60)
-    out[2 + BANDS :] = (four.reshape(SKETCH, 16) << (np.uint64(4) * np.arange(16, dtype=np.uint64))).sum(1, dtype=np.uint64)
+    out[2 + BANDS : 2 + BANDS + SKETCH] = (four.reshape(SKETCH, 16) << (np.uint64(4) * np.arange(16, dtype=np.uint64))).sum(1, dtype=np.uint64)
+    places = (hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - (64 * PARITY - 1).bit_length())
+    out[2 + BANDS + SKETCH :] = np.packbits(np.bincount(places.astype(np.int64), minlength=64 * PARITY).astype(np.uint8) & 1, bitorder="little").view("<u8")
     return out
 
 
@@ -191,7 +193,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
 
 #: For similarity of texts: of each set of shingles so many keys of so many minima. Two sets at 0.8 share none with a probability of (1 - 0.8 ** ROWS) ** BANDS, 1e-5.
 BANDS, ROWS = 38, 6
-SKETCH = -(-BANDS * ROWS // 16)
+SKETCH, PARITY = -(-BANDS * ROWS // 16), 16
 _MINIMA_AT_ONCE = 512
 _FACTORS, _SHIFTS = np.random.default_rng(1997).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[1], [0]], np.uint64)
 #: Bytes of bitmaps up to which they are broadcast: half a billion documents.
@@ -211,10 +213,10 @@ def similar_documents(tagged: DataFrame, text: str, rank: Column, words: int = 5
     Groups are what is connected by pairs whose sets of shingles have this Jaccard similarity. Equal sets are one node. Candidates share a key of
     minima and have sizes that allow the similarity; each is verified by the sets themselves, which are made for nodes with a candidate only. First
     each node of a key is held against the smallest one, then pairs of a key that this hasn't brought together, so a large group of near copies is not paired;
-    of these, the join itself leaves out those whose sketches are too far apart.
+    of these, the join itself leaves out those whose sketches are too far apart: sets of this similarity differ in few members, and in no more bits of parity.
     """
     nodes = tagged.groupBy("_keys").agg(F.min(rank).alias("rep"))
-    nodes = materialize(nodes.select(F.col("rep.row").alias("node"), "rep", F.col("_keys")[1].alias("size"), F.slice("_keys", 3, BANDS).alias("keys"), F.slice("_keys", 3 + BANDS, SKETCH).alias("sketch")), "shingle-sets")
+    nodes = materialize(nodes.select(F.col("rep.row").alias("node"), "rep", F.col("_keys")[1].alias("size"), F.slice("_keys", 3, BANDS).alias("keys"), F.slice("_keys", 3 + BANDS, SKETCH + PARITY).alias("sketch")), "shingle-sets")
     rows = nodes.where("size > 0").select("node", "size", F.posexplode("keys").alias("band", "key"))
     hubs = rows.groupBy("band", "key").agg(F.min(F.struct("node", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = materialize(rows.join(hubs.hint("merge"), ["band", "key"]), "met")
@@ -230,6 +232,8 @@ def similar_documents(tagged: DataFrame, text: str, rank: Column, words: int = 5
     grouped = materialize(grouped.join(nodes.select("node", "sketch"), "node"), "sketched")
     a, b = (grouped.select("band", "key", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "grp", "sketch")]) for x in ("src", "dst"))
     apart = (F.col("src") < F.col("dst")) & (F.col("grp_src") != F.col("grp_dst")) & fit(F.col("size_src"), F.col("size_dst"))
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col("sketch_src")[k].bitwiseXOR(F.col("sketch_dst")[k])) for k in range(SKETCH, SKETCH + PARITY)])
+    apart &= differ <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("size_src") + F.col("size_dst")) + 1e-9
     rest = a.join(b.hint("merge"), ["band", "key"]).where(apart & (_sketch_apart(F.col("sketch_src"), F.col("sketch_dst")) <= most_apart(similarity))).select("src", "dst").distinct()
     return group_nodes(nodes, stars.union(materialize(_alike(rest, sets, similarity), "alike"))).select(F.col("component_id.row").alias("_row")).distinct()
 

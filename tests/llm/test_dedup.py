@@ -96,7 +96,11 @@ def test_sketches_tell_how_many_minima_differ(spark):
         a, b = np.unique(pool[:200]), np.unique(np.concatenate([pool[: int(200 * share)], pool[500 : 700 - int(200 * share)]]))
         minima = [((np.multiply.outer(simhash._FACTORS, x) + simhash._SHIFTS[:, None]).min(1) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60) for x in (a, b)]
         want.append(int((minima[0] != minima[1]).sum()))
-        rows.append([simhash.band_keys(x)[2 + simhash.BANDS :].view(np.int64).tolist() for x in (a, b)])
+        both = [simhash.band_keys(x)[2 + simhash.BANDS :] for x in (a, b)]
+        parity = np.bitwise_count(both[0][simhash.SKETCH :] ^ both[1][simhash.SKETCH :]).sum()
+        d = len(np.setxor1d(a, b))
+        assert parity <= d and parity % 2 == d % 2 and parity >= 0.6 * d
+        rows.append([x.view(np.int64).tolist() for x in both])
     got = spark.createDataFrame(rows, "a array<long>, b array<long>").select(simhash._sketch_apart(F.col("a"), F.col("b")).alias("n")).collect()
     assert [r.n for r in got] == want and want[0] == 0 and want[-1] > simhash.most_apart(0.8)
 
