@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engrava.functions import text as T
 from engrava.operators import admission, clusters, extraction, graph, lifecycle, ranking, recall, retrieval, statistics, timeline
 from engrava.plans import views as V
 from engrava.plans.views import AS_OF
+from engrava.registry import ORACLE_SQL, QUERIES  # noqa: F401
+from engrava.registry import query as _query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 _ACTIVE = "superseded_by IS NULL AND state NOT IN ('retired', 'superseded')"
 _DAYS = f"(epoch(TIMESTAMP '{AS_OF}') - epoch(created_at)) / 86400.0"
 #: Age and decay of facts.
@@ -21,16 +18,6 @@ _AGED = f"aged AS (SELECT *, {_DAYS} AS days, confidence * exp(-decay_rate * {_D
 _TOKENS = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda t: length(t) >= 2)"
 
 
-def _query(name: str, sql: str | None = None, extra: str = ""):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = V.sql(sql, extra)
-        return f
-
-    return add
-
-
 # Admission, deduplication, writes
 
 
@@ -784,3 +771,6 @@ def _(s, d):
 @_query("normalize_chunks", None)
 def _(s, d):
     return recall.normalize_chunks(V.memories(s, d).select(F.col("id").cast("string").alias("path"), "content"))
+
+
+from engrava import queries_text  # noqa: E402, F401
