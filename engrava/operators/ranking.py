@@ -110,6 +110,14 @@ def infer_project(content: Column, rules: list[tuple[str, list[str]]], least: in
     return out
 
 
+def project_of_path(path: Column, rules: list[tuple[str, str]]) -> Column:
+    """The project of the first rule whose pattern a path holds, regardless of case and of which way its slashes lean; else empty."""
+    low, out = F.translate(F.lower(path), "\\", "/"), F.lit("")
+    for pattern, project in reversed(rules):
+        out = F.when(F.contains(low, F.lit(pattern.lower())), project).otherwise(out)
+    return out
+
+
 def best_per_triple(rows: DataFrame) -> DataFrame:
     """``id`` of the most confident fact of each lower-cased triple; of equals the first."""
     s, p, o = (F.lower(F.trim(F.col(c))) for c in ("subject", "predicate", "object"))

@@ -17,6 +17,9 @@ LITERALS = ["2024-02-30 noted", "12 March 2021", "July 4, 2020", "in June 2019",
 ANCHORS = ["2024-03-31", "2023-01-15", "", "2020-02-29"]
 
 
+NAMES = ["Ann Lee", "she", "\"Acme Corp.\"", "River Park", "42", "x", "Q", "they,", "  spaced   out ", "First Bank (the)", "", "ann lee", "topic of the day"]
+
+
 def _list(values: list[str]) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
@@ -35,7 +38,11 @@ def _columns(spark: bool) -> dict[str, str]:
  {p(["agent1", "Ann", ""], 2)} AS agent_name, {p(["irc", "mail", ""], 3)} AS channel, {p(["#irc", ""], 7)} AS channel_name, {p(["irc", "web", ""], 11)} AS surface, {p(["m1", ""], 13)} AS model,
  {p(["s1", "S2", ""], 4)} AS session_key, {p(["2024-01-05T10:00:00Z", ""], 17)} AS timestamp_start, o_orderdate AS imported_at, (o_orderkey % 97) / 97.0{"D" if spark else "::DOUBLE"} AS score FROM orders"""
     literals = f"""SELECT o_orderkey AS id, {p(LITERALS, 1)} AS literal, {p(ANCHORS, 5)} AS anchor FROM orders"""
-    return {"drafts": drafts, "notes": notes, "literals": literals}
+    alerts = f"""SELECT o_orderkey AS id, {p(["decay", "match", "conflict"], 1)} AS alert_type, {p(["info", "warning", "critical"], 2)} AS severity, {p(["agent1", "agent2", ""], 3)} AS agent_id,
+ o_orderkey % 4 = 0 AS acknowledged, o_orderkey % 25 AS watch_id, o_orderdate AS created_at FROM orders"""
+    names = f"""SELECT o_orderkey AS id, o_custkey AS memory_id, {p(NAMES, 1)} AS subject, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 11 END AS entity_id, {p(["location", "identity", "kv", "state"], 7)} AS fact_type, {p(PREDICATES, 3)} AS predicate,
+ {p(OBJECTS, 7)} AS object, (o_orderkey % 41) / 40.0{"D" if spark else "::DOUBLE"} AS confidence FROM orders"""
+    return {"drafts": drafts, "notes": notes, "literals": literals, "alerts": alerts, "names": names}
 
 
 def _view(name: str):
@@ -51,5 +58,9 @@ drafts = _view("drafts")
 notes = _view("notes")
 #: ``id, literal, anchor``.
 literals = _view("literals")
+#: ``id, alert_type, severity, agent_id, acknowledged, watch_id, created_at``.
+alerts = _view("alerts")
+#: ``id, memory_id, subject, entity_id, fact_type, predicate, object, confidence``: facts about things that have names, or pronouns.
+names = _view("names")
 #: The views for DuckDB, to be put among a query's common table expressions.
 SQL = {name: f"{name} AS ({text})" for name, text in _columns(False).items()}
