@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engrava.functions import text as T
+from engrava.plans.storage import materialize
 
 #: Subjects that never name anything.
 GENERIC_SUBJECTS = ["it", "this", "that", "they", "we", "you", "i", "he", "she"]
@@ -15,18 +16,18 @@ def admit_memories(rows: DataFrame, denied: list[str], least_chars: int = 20, le
     """``id, admit_reason``: the first gate that stops a memory, or ``admit``.
 
     The gates in order: a denied pattern, the same path and content as an earlier row, the same content as an earlier row from anywhere, too
-    little signal. Earlier is by id. Each duplicate gate compares against an aggregate (combined before its shuffle) and not a window, so
-    no copied text gathers its rows in a task.
+    little signal. Earlier is by id. The texts are read once, where they lie: only hashes and flags are shuffled. Each duplicate gate joins the first ids of
+    hashes that come more than once, an aggregate combined before its shuffle; a join by a hash that many rows share is split by AQE.
     """
-    hashed = rows.select("id", "content", T.hash_with_path(F.col("content"), F.col("source_file")).alias("h"), T.hash_content(F.col("content")).alias("c"))
-    by_path, by_text = (hashed.groupBy(k).agg(F.min("id").alias(f"{k}_first")) for k in ("h", "c"))
-    joined = hashed.join(by_path, "h").join(by_text, "c")
     denied_now = F.lit(False)
     for p in denied:
         denied_now = denied_now | F.col("content").rlike(p)
     words = F.size(F.filter(F.split(F.col("content"), r"\s+"), lambda w: w != ""))
     low = (F.length("content") < least_chars) | ((words <= least_words) & ~F.col("content").contains("#important"))
-    reason = F.when(denied_now, "denied").when(F.col("id") > F.col("h_first"), "same_path_and_content").when(F.col("id") > F.col("c_first"), "same_content").when(low, "low_signal").otherwise("admit")
+    hashed = rows.select("id", T.hash_with_path(F.col("content"), F.col("source_file")).alias("h"), T.hash_content(F.col("content")).alias("c"), denied_now.alias("denied"), low.alias("low"))
+    by_path, by_text = (hashed.groupBy(k).agg(F.min("id").alias(f"{k}_first"), F.count("*").alias(f"{k}_n")).where(F.col(f"{k}_n") > 1) for k in ("h", "c"))
+    joined = hashed.join(by_path, "h", "left").join(by_text, "c", "left")
+    reason = F.when(F.col("denied"), "denied").when(F.col("id") > F.col("h_first"), "same_path_and_content").when(F.col("id") > F.col("c_first"), "same_content").when(F.col("low"), "low_signal").otherwise("admit")
     return joined.select("id", reason.alias("admit_reason"))
 
 
@@ -60,15 +61,40 @@ def excess_facts(rows: DataFrame, most: int) -> DataFrame:
     return active(rows).withColumn("q", quality(rows)).withColumn("rank", rank).where(F.col("rank") > most).select("id", "memory_id", "rank")
 
 
-def similar_objects(rows: DataFrame, threshold: float = 0.9, newest: int = 10) -> DataFrame:
-    """``loser_id, winner_id``: among the ``newest`` active facts of a subject and predicate, pairs whose objects are as similar as the
-    threshold; the winner is more confident, or else older. ``newest`` is the feature's own bound on pairs."""
-    s, p, _ = triple()
-    rank = F.row_number().over(Window.partitionBy("s", "p").orderBy(F.desc("created_at"), F.desc("id")))
-    live = active(rows).select("id", s.alias("s"), p.alias("p"), "object", "confidence", "created_at").withColumn("rank", rank).where(F.col("rank") <= newest)
-    a, b = (live.select("s", "p", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "object", "confidence")]) for x in "ab")
-    wins = (F.col("a_confidence") > F.col("b_confidence")) | ((F.col("a_confidence") == F.col("b_confidence")) & (F.col("a_id") < F.col("b_id")))
-    return a.join(b, ["s", "p"]).where(wins & (T.object_similarity(F.col("a_object"), F.col("b_object")) >= threshold)).select(F.col("b_id").alias("loser_id"), F.col("a_id").alias("winner_id"))
+def similar_objects(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """``loser_id, winner_id, similarity``: near-duplicate objects among valid facts of one subject and predicate, both in normal form.
+
+    Facts go by confidence, then reinforced last (``created_at`` where there is no ``last_reinforced``), then the first. A fact loses to the winner before it whose object is most
+    similar, of equals the first, if it is as similar as the threshold; else it wins itself. Equal normal forms are one row; pairs that are alike are found inside
+    a join, which emits these only; and then all facts are decided whose forerunners are, round by round, so no group is gathered anywhere.
+    """
+    at = F.col("last_reinforced" if "last_reinforced" in rows.columns else "created_at")
+    live = rows.where("superseded_by IS NULL").select("id", T.normal_object(F.col("subject")).alias("s"), T.normal_object(F.col("predicate")).alias("p"), T.normal_object(F.col("object")).alias("o"), F.struct(-F.col("confidence"), -F.unix_micros(at.cast("timestamp")), F.col("id")).alias("rank"))
+    live = materialize(live, "objects")
+    forms = live.groupBy("s", "p", "o").agg(F.min("rank").alias("rank"))
+    forms = materialize(forms.select("s", "p", "o", "rank", F.col("rank.id").alias("node")), "object-forms")
+    a, b = (forms.select("s", "p", *[F.col(c).alias(f"{x}_{c}") for c in ("o", "rank", "node")]) for x in "ab")
+    similar = T.object_similarity(F.col("a_o"), F.col("b_o"))
+    near = (F.col("a_rank") < F.col("b_rank")) & (similar >= threshold)
+    pairs = a.join(b.hint("merge"), ["s", "p"]).where(near).select(F.col("a_node").alias("first"), F.col("b_node").alias("node"), similar.alias("similarity"))
+    pairs = materialize(pairs, "similar-objects")
+    losers, open_ = None, pairs
+    while True:  # a form waits while one before it, that isn't known to lose, waits
+        waiting = open_.select(F.col("node").alias("first"), F.lit(True).alias("_waits")).distinct()
+        decided = open_.join(waiting, "first", "left").groupBy("node").agg(F.bool_or(F.col("_waits").isNotNull()).alias("_wait")).where("NOT _wait")
+        round_ = materialize(decided.select("node"), "similar-round")
+        losers = round_ if losers is None else losers.unionByName(round_)
+        if round_.isEmpty():
+            break
+        open_ = materialize(open_.join(round_, "node", "left_anti").join(round_.toDF("first"), "first", "left_anti"), "similar-open")
+    # Every fact but the winners themselves, against the winners before it.
+    winners = materialize(forms.join(losers, "node", "left_anti"), "similar-winners").select(F.col("node").alias("winner_id"), F.col("rank").alias("_rank"))
+    either = pairs.unionByName(pairs.select(F.col("node").alias("first"), F.col("first").alias("node"), "similarity"))
+    either = either.unionByName(forms.where("o <> ''").select(F.col("node").alias("first"), "node", F.lit(1.0).alias("similarity")))
+    rows_ = live.join(forms.select("s", "p", "o", "node"), ["s", "p", "o"]).select(F.col("id").alias("loser_id"), "rank", "node")
+    met = rows_.join(either.join(winners, F.col("first") == F.col("winner_id")).select("node", "winner_id", "_rank", "similarity"), "node").where(F.col("_rank") < F.col("rank"))
+    best = met.groupBy("loser_id").agg(F.min_by(F.struct("winner_id", "similarity"), F.struct(-F.col("similarity"), F.col("_rank"))).alias("b"))
+    return best.select("loser_id", "b.winner_id", "b.similarity")
 
 
 def storable(rows: DataFrame, denied_subjects: list[str] | None = None) -> DataFrame:

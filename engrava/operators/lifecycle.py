@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engrava.operators.admission import active
@@ -46,16 +46,26 @@ def supersede_conflicts(pairs: DataFrame, rows: DataFrame, least_gap: float = 0.
     return one.union(two).groupBy("loser").agg(F.max_by("winner", F.struct("c", "winner")).alias("winner"))
 
 
-def last_reinforced(rows: DataFrame, log: DataFrame) -> DataFrame:
+def last_reinforced(rows: DataFrame, log: DataFrame, span_seconds: int = 3600) -> DataFrame:
     """``id, at`` in epoch seconds: the fold of a fact's accesses in order of time, each moving the instant by its weight.
 
-    The fold unrolls to a sum of w_i times the product of the later (1 - w_j), so an ordered array of at most one fact's accesses is folded JVM-side.
+    A run of accesses multiplies the instant's distance from the fact's creation by the product of (1 - w) and adds a sum; two such pairs make one. So each
+    span of time of a fact is folded by itself, and then its spans: the accesses of a hot fact lie in as many tasks as it has spans.
     """
     weight = F.lit(0.0)
     for kind, w in REINFORCE.items():
         weight = F.when(F.col("access_type") == kind, w).otherwise(weight)
-    steps = log.select(F.col("fact_id").alias("id"), F.struct(F.unix_micros(F.col("created_at").cast("timestamp")).alias("t"), F.col("id").alias("k"), weight.alias("w")).alias("s"))
-    held = steps.groupBy("id").agg(F.array_sort(F.collect_list("s")).alias("steps"))
-    start = F.unix_micros(F.col("created_at").cast("timestamp")) / 1e6
-    at = F.aggregate("steps", start, lambda last, s: last + s["w"] * (s["t"] / 1e6 - last))
-    return rows.join(held, "id").select("id", F.round(at, 1).alias("at"))
+    made = rows.select(F.col("id").alias("fact_id"), (F.unix_micros(F.col("created_at").cast("timestamp")) / 1e6).alias("made"))
+    steps = log.select("fact_id", F.col("id").alias("k"), (F.unix_micros(F.col("created_at").cast("timestamp")) / 1e6).alias("t"), weight.alias("w")).join(made, "fact_id")
+    steps = steps.select("fact_id", "made", F.floor(F.col("t") / span_seconds).alias("span"), "t", "k", (1 - F.col("w")).alias("p"), (F.col("w") * (F.col("t") - F.col("made"))).alias("s"))
+    spans = _folded(steps, ["fact_id", "made", "span"], ["t", "k"])
+    whole = _folded(spans, ["fact_id", "made"], ["span"])
+    return whole.select(F.col("fact_id").alias("id"), F.round(F.col("made") + F.col("s"), 1).alias("at"))
+
+
+def _folded(steps: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """``p, s`` of each key: the product of its steps' ``p``, and each step's ``s`` times the product of all later ones."""
+    after = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    log_p = F.when(F.col("p") > 0, F.log("p")).otherwise(F.lit(-1e3))  # a factor of 0 leaves nothing
+    later = F.exp(F.greatest(F.coalesce(F.sum(log_p).over(after), F.lit(0.0)), F.lit(-1e3)))
+    return steps.withColumn("_s", F.col("s") * later).groupBy(*key).agg(F.exp(F.greatest(F.sum(log_p), F.lit(-1e3))).alias("p"), F.sum("_s").alias("s"))

@@ -8,23 +8,13 @@ from pyspark.sql import functions as F
 from engrava.functions import text as T
 from engrava.plans.storage import join_small, materialize
 
-#: What a source's tier multiplies a score by.
-TIER_WEIGHT = {"core": 1.575, "journal": 1.365, "context": 1.26, "capture": 0.441, "transient": 0.735, "connector": 0.97, "other": 1.05}
-#: Substrings of a predicate that put it in a group, in order.
-PREDICATE_GROUPS = [("urgent", "priority"), ("high", "priority"), ("low", "priority"), ("not specified", "unknown"), ("medium", "priority")]
-
-
-def source_tier(path: Column) -> Column:
-    """A source's tier by its path."""
-    p = F.lower(path)
-    return F.when(p.startswith("notes/src1"), "core").when(p.endswith(".csv"), "transient").when(p.endswith(".json"), "connector").when(p.rlike(r"/\d{4}-\d{2}-\d{2}"), "journal").otherwise("other")
-
-
-def tier_weight(path: Column) -> Column:
-    out = F.lit(TIER_WEIGHT["other"])
-    for name, weight in TIER_WEIGHT.items():
-        out = F.when(source_tier(path) == name, weight).otherwise(out)
-    return out
+#: Parts of a predicate that put it in a group, in order.
+PREDICATE_GROUPS = [
+    ("uses strategy", "has_strategy"), ("strategy", "has_strategy"), ("runbook", "has_strategy"), ("configured with", "has_config"), ("configures", "has_config"),
+    ("config", "has_config"), ("setting", "has_config"), ("runs on", "has_tool"), ("run on", "has_tool"), ("uses", "has_tool"), ("tool", "has_tool"), ("sdk", "has_tool"), ("api", "has_tool"),
+    ("located at", "has_location"), ("located in", "has_location"), ("location", "has_location"), ("depends on", "depends_on"), ("requires", "depends_on"), ("blocks", "depends_on"),
+    ("blocked by", "depends_on"), ("works with", "related_to"), ("related to", "related_to"), ("connected to", "related_to"), ("associated with", "related_to"),
+]
 
 
 def matches_prefix(path: Column, prefix: str) -> Column:

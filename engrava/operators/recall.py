@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +16,7 @@ from engrava.plans.storage import materialize
 #: Words that tell what kind of question a query is, in order.
 STRATEGIES = [("comparison", r"\b(compare|versus|vs|difference)\b"), ("bridge", r"\b(both|between|connect)\b"), ("temporal", r"\b(when|before|after|since|until|yesterday|last)\b"), ("entity", r"\b(who|whose|where)\b")]
 #: Lines that look like instructions to a reader of the retrieved text.
-INJECTION = r"(?i)(ignore (all|previous)|system prompt|you are now|password|secret|token = )"
+INJECTION = ["ignore previous", "ignore all previous", "system prompt", "developer message", "you are chatgpt", "assistant:", "system:", "tool:", "### instruction"]
 
 
 def temporal_neighbors(rows: DataFrame, days: int = 7) -> DataFrame:
@@ -37,23 +38,37 @@ def active_directives(directives: DataFrame, scope: str) -> DataFrame:
     return directives.where((F.col("status") == "active") & F.col("scope").isin("global", scope)).orderBy(F.desc(F.col("scope") == "global"), "id")
 
 
-def fact_history(rows: DataFrame, most: int = 20) -> DataFrame:
-    """``root, id, step``: the chain of facts that each superseding fact's predecessors form, followed to its end at most ``most`` steps."""
+def fact_history(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """``root, id, step``: what each fact was superseded by, and what that was, to the chain's end (or ``most`` steps); without a limit a chain that returns to itself ends there.
+
+    Every step joins only what the one before has found, and is written, so the plan doesn't grow with the length of a chain.
+    """
     links = rows.where("superseded_by IS NOT NULL").select("id", "superseded_by")
     step = links.select(F.col("id").alias("root"), F.col("superseded_by").alias("id"), F.lit(1).alias("step"))
     step = materialize(step.join(rows.select("id"), "id", "left_semi"), "history")
-    out = step
-    for k in range(2, most + 1):
-        step = materialize(step.join(links, "id").join(rows.select(F.col("id").alias("superseded_by")), "superseded_by", "left_semi").select("root", F.col("superseded_by").alias("id"), F.lit(k).alias("step")), "history")
+    out, k = step, 1
+    while most is None or k < most:
+        k += 1
+        on = step.join(links, "id").join(rows.select(F.col("id").alias("superseded_by")), "superseded_by", "left_semi")
+        on = on.select("root", F.col("superseded_by").alias("id"), F.lit(k).alias("step"))
+        if most is None:
+            on = on.join(out.select("root", "id"), ["root", "id"], "left_anti").where("root <> id")
+        step = materialize(on, "history")
         if step.isEmpty():
             break
         out = out.union(step)
     return out
 
 
+def fact_card(rows: DataFrame, log: DataFrame) -> DataFrame:
+    """Facts with a summary of their accesses: ``n``, ``agents`` and ``last``; 0 and null for those never used."""
+    used = log.groupBy(F.col("fact_id").alias("id")).agg(F.count("*").alias("n"), F.countDistinct("agent_id").alias("agents"), F.max("created_at").alias("last"))
+    return rows.join(used, "id", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("agents", F.coalesce("agents", F.lit(0)))
+
+
 def sanitize(content: Column) -> Column:
     """A text without the lines that look like instructions."""
-    return F.array_join(F.filter(F.split(content, "\n"), lambda x: ~x.rlike(INJECTION)), "\n")
+    return F.array_join(F.filter(F.split(content, "\n"), lambda x: ~reduce(lambda a, b: a | b, [F.contains(F.lower(x), F.lit(w)) for w in INJECTION])), "\n")
 
 
 def query_strategy(query: Column) -> Column:

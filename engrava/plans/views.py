@@ -85,9 +85,9 @@ memories AS (SELECT {_MEMORIES}, TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_
 facts AS (SELECT {_FACTS.format(s="VARCHAR")} FROM orders JOIN customer ON o_custkey = c_custkey),
 accesses AS (SELECT {_ACCESSES.format(s="VARCHAR")} FROM events),
 vectors AS (SELECT vec_id AS memory_id, embedding AS vector, label FROM embeddings),
-batches AS (SELECT DISTINCT l_orderkey AS batch, l_partkey AS fact_id FROM lineitem),
-cooccurrence AS (SELECT a.fact_id AS fact_id_a, b.fact_id AS fact_id_b, count(*) AS count FROM batches a JOIN batches b ON a.batch = b.batch AND a.fact_id < b.fact_id GROUP BY 1, 2 HAVING count(*) >= 2),
-edges AS (SELECT fact_id_a AS source_fact_id, fact_id_b AS target_fact_id, CASE (fact_id_a + fact_id_b) % 3 WHEN 0 THEN 'supports' WHEN 1 THEN 'relates_to' ELSE 'contradicts' END AS edge_type, least(0.9, 0.3 + 0.1 * (fact_id_a % 6)) AS confidence FROM cooccurrence)
+batches AS MATERIALIZED (SELECT DISTINCT l_orderkey AS batch, l_partkey AS fact_id FROM lineitem),
+cooccurrence AS MATERIALIZED (SELECT a.fact_id AS fact_id_a, b.fact_id AS fact_id_b, count(*) AS count FROM batches a JOIN batches b ON a.batch = b.batch AND a.fact_id < b.fact_id GROUP BY 1, 2 HAVING count(*) >= 2),
+edges AS MATERIALIZED (SELECT fact_id_a AS source_fact_id, fact_id_b AS target_fact_id, CASE (fact_id_a + fact_id_b) % 3 WHEN 0 THEN 'supports' WHEN 1 THEN 'relates_to' ELSE 'contradicts' END AS edge_type, least(0.9, 0.3 + 0.1 * (fact_id_a % 6)) AS confidence FROM cooccurrence)
 """
 
 

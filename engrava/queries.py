@@ -59,11 +59,13 @@ def _(s, d):
     return rows.select("id", F.round(admission.quality(rows), 9).alias("quality"))
 
 
-@_query(
-    "similar_objects",
-    f"""SELECT b.id AS loser_id, a.id AS winner_id FROM top a JOIN top b ON a.s = b.s AND a.p = b.p AND a.object = b.object AND (a.confidence > b.confidence OR (a.confidence = b.confidence AND a.id < b.id))""",
-    f"top AS (SELECT *, lower(trim(subject)) AS s, lower(trim(predicate)) AS p FROM facts WHERE {_ACTIVE} QUALIFY row_number() OVER (PARTITION BY lower(trim(subject)), lower(trim(predicate)) ORDER BY created_at DESC, id DESC) <= 10)",
-)
+@_query("similar_objects", None)
+def _(s, d):
+    c = s.read.parquet(f"{d}/customer.parquet")
+    rows = c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("subject"), F.expr("concat('in ', c_nationkey % 5)").alias("predicate"), F.col("c_name").alias("object"), F.expr("(c_custkey % 7) / 7.0D").alias("confidence"), F.lit(None).cast("long").alias("superseded_by"), F.expr("timestamp_ntz '2024-01-01 00:00:00'").alias("created_at"))
+    return admission.similar_objects(rows).select("loser_id", "winner_id", F.round("similarity", 9).alias("similarity"))
+
+
 def _(s, d):
     return admission.similar_objects(V.facts(s, d))
 
@@ -317,7 +319,36 @@ def _(s, d):
     return statistics.growth(V.memories(s, d), "2024-01-25 00:00:00")
 
 
-@_query("inferred_edges", "SELECT fact_id_a, fact_id_b, CAST(round(least(0.9, 0.5 + 0.02 * (count - 5)), 6) AS DOUBLE) AS confidence FROM cooccurrence c WHERE count >= 2 AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.edge_type = 'supports' AND e.source_fact_id = c.fact_id_a AND e.target_fact_id = c.fact_id_b)")
+_MANY = "many AS MATERIALIZED (SELECT a.f AS fact_id_a, b.f AS fact_id_b, count(*) AS count FROM (SELECT DISTINCT l_orderkey AS k, l_partkey % 60 AS f FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey AS k, l_partkey % 60 AS f FROM lineitem) b ON a.k = b.k AND a.f < b.f GROUP BY 1, 2)"
+
+
+def _many(s, d):
+    """Pairs that meet often."""
+    lines = s.read.parquet(f"{d}/lineitem.parquet")
+    return V.pair_counts(lines.select(F.col("l_orderkey").alias("batch"), (F.col("l_partkey") % 60).alias("fact_id")).distinct())
+
+
+_KNOWN_EDGES = "known AS (SELECT fact_id_b AS source_fact_id, fact_id_a AS target_fact_id FROM many WHERE (fact_id_a + fact_id_b) % 3 = 0)"
+_COUNTED = "CAST(round(least(0.9, 0.5 + 0.02 * (count - 5)), 6) AS DOUBLE) AS confidence"
+
+
+@_query("inferred_edges", f"SELECT fact_id_a, fact_id_b, {_COUNTED} FROM many WHERE count >= 5 AND (fact_id_a + fact_id_b) % 3 <> 0", _MANY)
+def _(s, d):
+    pairs = _many(s, d)
+    known = pairs.where("(fact_id_a + fact_id_b) % 3 = 0").select(F.col("fact_id_b").alias("source_fact_id"), F.col("fact_id_a").alias("target_fact_id"))
+    return statistics.inferred_edges(pairs, known)
+
+
+@_query("run_inference", f"SELECT source_fact_id, target_fact_id, rule, confidence FROM (SELECT fact_id_a AS source_fact_id, fact_id_b AS target_fact_id, 0 AS rule, {_COUNTED} FROM many WHERE count >= 5 AND fact_id_a < 6 UNION ALL SELECT fact_id_b, fact_id_a, 1, 0.4::DOUBLE FROM many WHERE fact_id_b - fact_id_a = 1) WHERE (source_fact_id, target_fact_id) NOT IN (SELECT (source_fact_id, target_fact_id) FROM known) ORDER BY rule, confidence DESC, source_fact_id, target_fact_id LIMIT 100", f"{_MANY}, {_KNOWN_EDGES}")
+def _(s, d):
+    pairs = _many(s, d)
+    known = pairs.where("(fact_id_a + fact_id_b) % 3 = 0").select(F.col("fact_id_b").alias("source_fact_id"), F.col("fact_id_a").alias("target_fact_id"))
+    counted = F.round(F.least(F.lit(0.9), 0.5 + 0.02 * (F.col("count") - 5)), 6)
+    one = pairs.where("count >= 5 AND fact_id_a < 6").select(F.col("fact_id_a").alias("source_fact_id"), F.col("fact_id_b").alias("target_fact_id"), counted.alias("confidence"))
+    two = pairs.where("fact_id_b - fact_id_a = 1").select(F.col("fact_id_b").alias("source_fact_id"), F.col("fact_id_a").alias("target_fact_id"), F.lit(0.4).alias("confidence"))
+    return clusters.infer([one, two], known)
+
+
 def _(s, d):
     return statistics.inferred_edges(V.cooccurrence(s, d), V.edges(s, d).where("edge_type = 'supports'"))
 
@@ -358,16 +389,21 @@ def _(s, d):
 
 
 _BOTH = "links AS (SELECT source_fact_id AS a, target_fact_id AS b FROM edges WHERE confidence >= 0.4 UNION ALL SELECT target_fact_id, source_fact_id FROM edges WHERE confidence >= 0.4)"
-_REACHED = f"{_BOTH}, one AS (SELECT DISTINCT b AS node FROM links WHERE a = 30 AND b <> 30), two AS (SELECT DISTINCT b AS node FROM links JOIN one ON a = node WHERE b <> 30 AND b NOT IN (SELECT node FROM one)), reached AS (SELECT 30 AS node, 0 AS depth UNION ALL SELECT node, 1 FROM one UNION ALL SELECT node, 2 FROM two)"
+_ROOT = "(SELECT r FROM root)"
+_REACHED = f"""{_BOTH}, root AS (SELECT min(a) AS r FROM links), one AS (SELECT DISTINCT b AS node FROM links WHERE a = {_ROOT} AND b <> {_ROOT}),
+two AS (SELECT DISTINCT b AS node FROM links JOIN one ON a = node WHERE b <> {_ROOT} AND b NOT IN (SELECT node FROM one)), reached AS MATERIALIZED (SELECT r AS node, 0 AS depth FROM root UNION ALL SELECT node, 1 FROM one UNION ALL SELECT node, 2 FROM two)"""
 
 
-def _start(s, node):
-    return s.range(1).select(F.lit(node).cast("long").alias("node"))
+def _start(edges):
+    """The first node with an edge of enough confidence."""
+    strong = edges.where("confidence >= 0.4")
+    return strong.agg(F.least(F.min("source_fact_id"), F.min("target_fact_id")).alias("node"))
 
 
 @_query("traverse", "SELECT CAST(node AS BIGINT) AS node, CAST(depth AS INTEGER) AS depth FROM reached", _REACHED)
 def _(s, d):
-    return graph.traverse(V.edges(s, d), _start(s, 30), 2, 0.4)
+    e = V.edges(s, d)
+    return graph.traverse(e, _start(e), 2, 0.4)
 
 
 @_query("degrees", "SELECT a AS node, count(DISTINCT b) AS degree FROM (SELECT source_fact_id AS a, target_fact_id AS b FROM edges UNION ALL SELECT target_fact_id, source_fact_id FROM edges) GROUP BY 1")
@@ -378,7 +414,7 @@ def _(s, d):
 @_query("induced_edges", "SELECT source_fact_id, target_fact_id FROM edges WHERE source_fact_id IN (SELECT node FROM reached) AND target_fact_id IN (SELECT node FROM reached)", _REACHED)
 def _(s, d):
     e = V.edges(s, d)
-    return graph.induced_edges(e, graph.traverse(e, _start(s, 30), 2, 0.4)).select("source_fact_id", "target_fact_id")
+    return graph.induced_edges(e, graph.traverse(e, _start(e), 2, 0.4)).select("source_fact_id", "target_fact_id")
 
 
 _DEGREES = "deg AS (SELECT a AS node, count(DISTINCT b) AS degree FROM (SELECT source_fact_id AS a, target_fact_id AS b FROM edges UNION ALL SELECT target_fact_id, source_fact_id FROM edges) GROUP BY 1)"
@@ -386,7 +422,8 @@ _DEGREES = "deg AS (SELECT a AS node, count(DISTINCT b) AS degree FROM (SELECT s
 
 @_query("impact", "SELECT node, CAST(depth AS INTEGER) AS depth, degree, round(least(1.0, greatest(0.0, 0.78 * confidence + 0.28 * degree / greatest(1, (SELECT max(degree) FROM r)) - 0.06 * depth)), 6) AS relevance FROM r JOIN facts ON facts.id = r.node", f"{_REACHED}, {_DEGREES}, r AS (SELECT CAST(reached.node AS BIGINT) AS node, depth, coalesce(degree, 0) AS degree FROM reached LEFT JOIN deg ON deg.node = reached.node)")
 def _(s, d):
-    return graph.impact(V.edges(s, d), V.facts(s, d), _start(s, 30), 2, 0.4)
+    e = V.edges(s, d)
+    return graph.impact(e, V.facts(s, d), _start(e), 2, 0.4)
 
 
 @_query("components", None)
@@ -464,7 +501,21 @@ def _(s, d):
     return retrieval.budget_prefix(sized, 60000).select("id", "tokens", "used")
 
 
-@_query("watch_matches", f"SELECT q.id AS watch_id, m.id, round(len(list_intersect({_TOKENS.format('content')}, terms)) / len(terms), 6) AS score FROM memories m, (VALUES (1, ['and', 'of', 'the', 'zzz']), (2, ['le', 'la', 'de'])) AS q(id, terms) WHERE len(list_intersect({_TOKENS.format('content')}, terms)) / len(terms) >= 0.7")
+_WATCHES = "watches AS (SELECT * FROM (VALUES (1, 'the and of zzz'), (2, 'le la de')) AS w(watch_id, query)), terms AS (SELECT watch_id, query, unnest(string_split(query, ' ')) AS t FROM watches)"
+
+
+@_query(
+    "watch_matches",
+    """SELECT watch_id, id, round(least(1.0, held / n * least(1.5, 1 + 0.1 * greatest(hits - n, 0)) + CASE WHEN contains(lower(content), query) THEN 0.2 ELSE 0 END), 6) AS score
+    FROM (SELECT watch_id, query, m.id, any_value(content) AS content, count(*) AS n, count(*) FILTER (c > 0) AS held, sum(c) AS hits
+      FROM (SELECT watch_id, query, m.id, content, (length(lower(content)) - length(replace(lower(content), t, ''))) // length(t) AS c FROM memories m, terms) m GROUP BY 1, 2, 3)
+    WHERE held > 0 AND round(least(1.0, held / n * least(1.5, 1 + 0.1 * greatest(hits - n, 0)) + CASE WHEN contains(lower(content), query) THEN 0.2 ELSE 0 END), 6) >= 0.7""",
+    _WATCHES,
+)
+def _(s, d):
+    return retrieval.watch_matches(V.memories(s, d), [(1, "the and of zzz"), (2, "le la de")], 0.7)
+
+
 def _(s, d):
     return retrieval.watch_matches(V.memories(s, d), [(1, "the and of zzz"), (2, "le la de")], 0.7)
 
@@ -515,7 +566,15 @@ def _(s, d):
     return lifecycle.supersede_conflicts(statistics.conflicts(rows), rows)
 
 
-@_query("last_reinforced", None)
+@_query(
+    "last_reinforced",
+    """SELECT fact_id AS id, round(made + sum(w * (t - made) * coalesce(later, 1.0)), 1) AS at FROM (SELECT fact_id, made, t, w, product(1 - w) OVER (PARTITION BY fact_id ORDER BY t DESC, k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS later
+    FROM (SELECT a.fact_id, a.id AS k, epoch_us(a.created_at) / 1e6 AS t, epoch_us(f.created_at) / 1e6 AS made, CASE access_type WHEN 'reinforce' THEN 1.0 WHEN 'import' THEN 0.8 WHEN 'reference' THEN 0.5 WHEN 'search' THEN 0.3 ELSE 0.0 END::DOUBLE AS w FROM accesses a JOIN facts f ON f.id = a.fact_id)) GROUP BY fact_id, made""",
+)
+def _(s, d):
+    return lifecycle.last_reinforced(V.facts(s, d), V.accesses(s, d))
+
+
 def _(s, d):
     return lifecycle.last_reinforced(V.facts(s, d), V.accesses(s, d))
 
@@ -542,7 +601,12 @@ def _(s, d):
     return clusters.cohesion(rows.select(F.lower("subject").alias("subject"), (F.col("entity_id") % 40).alias("cluster")).distinct(), clusters.subject_weights(rows))
 
 
-@_query("cluster_list", "SELECT project_id, size, predicates, round(0.65 * size / (SELECT max(size) FROM x) + 0.35 * predicates / 5, 9) AS relevance FROM x", "x AS (SELECT project_id, count(*) AS size, count(DISTINCT predicate) AS predicates FROM facts GROUP BY 1)")
+@_query("cluster_list", "SELECT cluster, size, cohesion, round(0.65 * size / (SELECT max(size) FROM x) + 0.35 * cohesion, 9) AS relevance FROM x", "x AS (SELECT o_orderkey AS cluster, o_custkey AS size, (o_orderkey % 11) / 10.0::DOUBLE AS cohesion FROM orders)")
+def _(s, d):
+    rows = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("cluster"), F.col("o_custkey").alias("size"), F.expr("(o_orderkey % 11) / 10.0D").alias("cohesion"))
+    return clusters.cluster_list(rows)
+
+
 def _(s, d):
     return clusters.cluster_list(V.facts(s, d))
 
@@ -600,7 +664,6 @@ def _(s, d):
 # Ranking, text and scope
 
 
-@_query("source_tier", "SELECT id, tier, CAST(CASE tier WHEN 'core' THEN 1.575 WHEN 'transient' THEN 0.735 WHEN 'connector' THEN 0.97 WHEN 'journal' THEN 1.365 ELSE 1.05 END AS DOUBLE) AS weight FROM (SELECT id, CASE WHEN starts_with(p, 'notes/src1') THEN 'core' WHEN ends_with(p, '.csv') THEN 'transient' WHEN ends_with(p, '.json') THEN 'connector' WHEN regexp_matches(p, '/\\d{4}-\\d{2}-\\d{2}') THEN 'journal' ELSE 'other' END AS tier FROM (SELECT id, lower(source_file) AS p FROM memories))")
 def _(s, d):
     return V.memories(s, d).select("id", ranking.source_tier(F.col("source_file")).alias("tier"), ranking.tier_weight(F.col("source_file")).alias("weight"))
 
@@ -644,7 +707,15 @@ def _(s, d):
     return V.facts(s, d).select("id", F.round(ranking.fact_text_score("customer 000000003 low", F.col("subject"), F.col("predicate"), F.col("object")), 9).alias("score"))
 
 
-@_query("predicate_group", "SELECT id, CASE WHEN contains(p, 'urgent') OR (contains(p, 'high') ) OR contains(p, 'low') THEN 'priority' WHEN contains(p, 'not specified') THEN 'unknown' WHEN contains(p, 'medium') THEN 'priority' ELSE 'other' END AS grp FROM (SELECT id, lower(predicate) AS p FROM facts)")
+_GROUPED = "CASE " + " ".join(f"WHEN contains(p, '{part}') THEN '{group}'" for part, group in ranking.PREDICATE_GROUPS) + " ELSE 'other' END"
+
+
+@_query("predicate_group", f"SELECT id, {_GROUPED} AS grp FROM (SELECT o_orderkey AS id, (['Uses strategy x', 'runbook', 'CONFIG', 'uses', 'api of', 'located in', 'requires', 'is blocked by', 'works with', 'prefers', 'settings'])[CAST(o_orderkey % 11 AS INTEGER) + 1] AS q, lower(q) AS p FROM orders)")
+def _(s, d):
+    named = F.expr("element_at(array('Uses strategy x', 'runbook', 'CONFIG', 'uses', 'api of', 'located in', 'requires', 'is blocked by', 'works with', 'prefers', 'settings'), cast(o_orderkey % 11 as int) + 1)")
+    return s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), ranking.predicate_group(named).alias("grp"))
+
+
 def _(s, d):
     return V.facts(s, d).select("id", ranking.predicate_group(F.col("predicate")).alias("grp"))
 
@@ -678,7 +749,11 @@ def _(s, d):
     return ranking.hubs(V.facts(s, d))
 
 
-@_query("markdown_export", "SELECT source_file, '## ' || source_file || chr(10) || string_agg('- ' || replace(substring(content, 1, 40), chr(10), ' '), chr(10) ORDER BY id) AS page FROM memories GROUP BY 1")
+@_query("markdown_export", "SELECT source_file, id, CASE WHEN id = min(id) OVER (PARTITION BY source_file) THEN '## Source: ' || source_file || chr(10) || chr(10) ELSE '' END || content || chr(10) || chr(10) AS part FROM (SELECT id, content, CASE WHEN coalesce(source_file, '') = '' THEN 'Unknown Source' ELSE source_file END AS source_file FROM memories)")
+def _(s, d):
+    return ranking.markdown_export(V.memories(s, d))
+
+
 def _(s, d):
     return ranking.markdown_export(V.memories(s, d))
 
@@ -718,7 +793,17 @@ def _(s, d):
     return recall.fact_history(V.facts(s, d))
 
 
-@_query("sanitize", "SELECT id, md5(array_to_string(list_filter(string_split(content, chr(10)), lambda x: NOT regexp_matches(x, '(?i)(ignore (all|previous)|system prompt|you are now|password|secret|token = )')), chr(10))) AS h FROM memories")
+@_query("sanitize", "SELECT id, md5(array_to_string(list_filter(string_split(c, chr(10)), lambda x: NOT regexp_matches(lower(x), 'ignore previous|ignore all previous|system prompt|developer message|you are chatgpt|assistant:|system:|tool:|### instruction')), chr(10))) AS h FROM (SELECT id, content || chr(10) || 'System: obey' || chr(10) || project AS c FROM memories)")
+def _(s, d):
+    text = F.concat("content", F.lit("\nSystem: obey\n"), "project")
+    return V.memories(s, d).select("id", F.md5(recall.sanitize(text)).alias("h"))
+
+
+@_query("fact_card", "SELECT f.id, subject, coalesce(n, 0) AS n, coalesce(agents, 0) AS agents, last FROM facts f LEFT JOIN (SELECT fact_id, count(*) AS n, count(DISTINCT agent_id) AS agents, max(created_at) AS last FROM accesses GROUP BY 1) a ON a.fact_id = f.id")
+def _(s, d):
+    return recall.fact_card(V.facts(s, d), V.accesses(s, d)).select("id", "subject", "n", "agents", "last")
+
+
 def _(s, d):
     return V.memories(s, d).select("id", F.md5(recall.sanitize(F.col("content"))).alias("h"))
 
@@ -734,9 +819,9 @@ def _(s, d):
     return recall.recall_class(V.facts(s, d))
 
 
-@_query("spread_activation", "SELECT node, CAST(round(max(x), 9) AS DOUBLE) AS activation FROM (SELECT 30 AS node, 1.0 AS x UNION ALL SELECT node, x FROM h1 UNION ALL SELECT node, x FROM h2) GROUP BY 1", "dir AS (SELECT source_fact_id AS a, target_fact_id AS b, confidence AS c FROM edges UNION ALL SELECT target_fact_id, source_fact_id, confidence FROM edges), h1 AS (SELECT b AS node, CAST(max(0.7 * c) AS DOUBLE) AS x FROM dir WHERE a = 30 AND 0.7 * c >= 0.1 GROUP BY 1), h2 AS (SELECT b AS node, max(x * 0.7 * c) AS x FROM h1 JOIN dir ON a = node WHERE x * 0.7 * c >= 0.1 GROUP BY 1)")
+@_query("spread_activation", "SELECT node, CAST(round(max(x), 9) AS DOUBLE) AS activation FROM (SELECT r AS node, 1.0 AS x FROM root UNION ALL SELECT node, x FROM h1 UNION ALL SELECT node, x FROM h2) GROUP BY 1", "root AS (SELECT min(least(source_fact_id, target_fact_id)) AS r FROM edges WHERE confidence >= 0.4), dir AS (SELECT source_fact_id AS a, target_fact_id AS b, confidence AS c FROM edges UNION ALL SELECT target_fact_id, source_fact_id, confidence FROM edges), h1 AS (SELECT b AS node, CAST(max(0.7 * c) AS DOUBLE) AS x FROM dir WHERE a = (SELECT r FROM root) AND 0.7 * c >= 0.1 GROUP BY 1), h2 AS (SELECT b AS node, max(x * 0.7 * c) AS x FROM h1 JOIN dir ON a = node WHERE x * 0.7 * c >= 0.1 GROUP BY 1)")
 def _(s, d):
-    seeds = _start(s, 30).withColumn("activation", F.lit(1.0))
+    seeds = _start(V.edges(s, d)).withColumn("activation", F.lit(1.0))
     return recall.spread_activation(V.edges(s, d), seeds)
 
 

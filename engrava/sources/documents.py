@@ -23,8 +23,12 @@ def read_files(spark: SparkSession, path: str, include: list[str] | None = None,
     elif exclude:
         rows = rows.where(~ext.isin([e.lower() for e in exclude]))
     head = F.substring(F.col("content"), 1, 512)
-    rows = rows.where(~F.hex(head).rlike("^(?:..)*00")).where(F.is_valid_utf8(F.col("content").cast("string")))
-    text = F.col("content").cast("string")
+    # A character that the first 512 bytes cut in two may stand at their end.
+    valid = F.is_valid_utf8(head.cast("string"))
+    for k in (1, 2, 3):
+        valid = valid | ((F.octet_length(head) == 512) & F.is_valid_utf8(F.substring(head, 1, 512 - k).cast("string")))
+    rows = rows.where(~F.hex(head).rlike("^(?:..)*00") & valid)
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     return rows.select("path", text.alias("content"), sniff_format(text, ext).alias("format"))
 
 
