@@ -858,4 +858,4 @@ def _(s, d):
     return recall.normalize_chunks(V.memories(s, d).select(F.col("id").cast("string").alias("path"), "content"))
 
 
-from engrava import queries_search, queries_text  # noqa: E402, F401
+from engrava import queries_search, queries_store, queries_text  # noqa: E402, F401
