@@ -5,25 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from engrava.plans.storage import materialize
+from engrava.plans.storage import join_small, materialize, scratch
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(node, component)`` for each node with an edge; the component is its smallest node.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): each round is two aggregations to the minimum (combined before
-    the shuffle) and two joins on the node, which AQE splits for hub nodes; the number of rounds grows with the logarithm of the
-    longest path. Each round is written to the shared folder, so the lineage stays short. Self-loops and nulls are dropped, repeated
+    the shuffle) and two joins on the node. What a join brings to a node is written first: few rows are broadcast, and beyond that both sides of the merge
+    join have a shuffle of their own, so AQE splits hub nodes. The number of rounds grows with the logarithm of the longest path. Each round is written to the shared folder, so the lineage stays short. Self-loops and nulls are dropped, repeated
     and reversed edges count once; an empty edge table gives no rows.
     """
     e = edges.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).where("a <> b").distinct()
-    e = materialize(e, "cc")
-    state = _digest(e)
-    while state[0]:
-        e = materialize(_small_star(_large_star(e)), "cc")
-        old, state = state, _digest(e)
-        if state == old:
-            break
+    spark = e.sparkSession
+    with scratch(spark):
+        e = materialize(e, "cc")
+        state, old = _digest(e), None
+        while state[0] and state != old:
+            with scratch(spark):
+                e = materialize(_small_star(_large_star(e)), "cc", keep=True)
+            old, state = state, _digest(e)
+        e = materialize(e, "components", keep=True)
     nodes = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
@@ -34,14 +36,14 @@ def _digest(e: DataFrame) -> tuple:
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    out = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "cc-least")
+    out = join_small(both.where("b > a"), least, "a", "inner").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return out.where("a <> b").distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("a").agg(F.min("b").alias("m"))
-    joined = e.join(least, "a")
+    least = materialize(e.groupBy("a").agg(F.min("b").alias("m")), "cc-least")
+    joined = join_small(e, least, "a", "inner")
     out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
     return out.where("a <> b").distinct()
 
@@ -79,7 +81,10 @@ def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def impact(edges: DataFrame, facts: DataFrame, start: DataFrame, depth: int = 2, least_confidence: float = 0.0) -> DataFrame:
     """``node, depth, degree, relevance`` of what is reached: 0.78 of the confidence, 0.28 of the share of the largest degree, 0.06 less a step."""
-    reached = materialize(traverse(edges, start, depth, least_confidence).join(degrees(edges), "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), "impact")
+    found = materialize(traverse(edges, start, depth, least_confidence), "impact-reached")
+    near = undirected(edges).join(found.select(F.col("node").alias("a")), "a", "left_semi")  # degrees of what was reached only
+    counted = near.groupBy(F.col("a").alias("node")).agg(F.countDistinct("b").alias("degree"))
+    reached = materialize(found.join(counted, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), "impact")
     top = reached.agg(F.greatest(F.max("degree"), F.lit(1)).alias("top"))
     scored = reached.join(facts.select(F.col("id").alias("node"), "confidence"), "node").crossJoin(F.broadcast(top))
     relevance = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.78 * F.col("confidence") + 0.28 * F.col("degree") / F.col("top") - 0.06 * F.col("depth")))

@@ -43,9 +43,8 @@ def flatten(rows: DataFrame, value: str = "value", deepest: int = 32) -> DataFra
         deeper = marked.where("kind LIKE 'OBJECT<%' OR kind LIKE 'ARRAY<%'").select("id", "path", "v")
         if deeper.isEmpty():
             return out
-        deeper.createOrReplaceTempView("_flatten")
         name = "CASE WHEN e.key IS NULL THEN concat(path, '[', e.pos, ']') WHEN path = '' THEN e.key ELSE concat(path, '.', e.key) END"
-        open_ = rows.sparkSession.sql(f"SELECT id, {name} AS path, e.value AS v FROM _flatten, LATERAL variant_explode(v) AS e")
+        open_ = rows.sparkSession.sql(f"SELECT id, {name} AS path, e.value AS v FROM {{deeper}}, LATERAL variant_explode(v) AS e", deeper=deeper)
     return out.unionByName(open_.select("id", "path", F.to_json("v").alias("value")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from engrava.functions import text as T
+from engrava.plans.storage import materialize
 
 #: What each memory class multiplies a score by, and each tier of source.
 CLASS_BOOST = {"rule": 1.30, "decision": 1.25, "preference": 1.20, "identity": 1.15, "status": 1.0, "scratch": 0.90}
@@ -15,11 +15,13 @@ K1, B = 1.2, 0.75
 def bm25(rows: DataFrame, query: str, limit: int | None = None) -> DataFrame:
     """``id, score`` of memories that hold a query term: Okapi BM25 over lower-case tokens, scaled by tanh to 0..1.
 
-    Counts are taken in each row, so a text is never exploded; the statistics are one row, and terms are constants of the plan.
+    Without an index (``keyword.index`` has one): texts are read once, their tokens counted by pattern where they lie, and only these counts are kept for the statistics, one row, and the scores.
     """
-    terms = sorted(set(query.lower().split()))
-    words = T.tokens(F.col("content"))
-    counted = rows.select("id", words.alias("w")).select("id", F.size("w").alias("len"), *[_occurrences(t).alias(f"tf{k}") for k, t in enumerate(terms)])
+    terms = sorted({t for t in query.lower().split() if len(t) > 1})
+    low = F.lower("content")
+    length = F.regexp_count(low, F.lit("[a-z0-9]{2,}")).alias("len")
+    counted = rows.select("id", length, *[F.regexp_count(low, F.lit(f"(?<![a-z0-9]){t}(?![a-z0-9])")).alias(f"tf{k}") for k, t in enumerate(terms)])
+    counted = materialize(counted, "bm25")
     stats = counted.agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"), *[F.count(F.when(F.col(f"tf{k}") > 0, 1)).alias(f"df{k}") for k in range(len(terms))])
     joined = counted.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
@@ -31,10 +33,6 @@ def bm25(rows: DataFrame, query: str, limit: int | None = None) -> DataFrame:
     return out.orderBy(F.desc("score"), "id").limit(limit) if limit else out
 
 
-def _occurrences(term: str) -> Column:
-    return F.size(F.filter("w", lambda x: x == F.lit(term)))
-
-
 def cosine_top(vectors: DataFrame, query_id: int, k: int = 10, least: float = 0.0) -> DataFrame:
     """The ``k`` vectors closest to one of the table's own, by exact cosine; equal scores by id."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -43,17 +41,17 @@ def cosine_top(vectors: DataFrame, query_id: int, k: int = 10, least: float = 0.
     return scored.where(F.col("cosine") >= least).withColumn("cosine", F.round("cosine", 6)).orderBy(F.desc("cosine"), "memory_id").limit(k)
 
 
-def rank_fusion(channels: list[tuple[DataFrame, float]], k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of ``(id, score)`` rankings: the sum of weight over k + rank; who is missing from a channel ranks after its last."""
-    parts = []
-    for n, (rows, weight) in enumerate(channels):
-        rank = F.row_number().over(Window.orderBy(F.desc("score"), "id"))  # channels are top-k lists
-        parts.append(rows.select("id", rank.alias("rank"), F.lit(n).alias("channel"), F.lit(weight).alias("weight")))
-    ids = parts[0].select("id")
-    for p in parts[1:]:
-        ids = ids.union(p.select("id"))
-    fused = ids.distinct()
-    total = F.lit(0.0)
+def rank_fusion(channels: list[tuple[DataFrame, float]], k: int = 60, most: int = 1000) -> DataFrame:
+    """Reciprocal rank fusion of ``(id, score)`` rankings: the sum of weight over k + rank; who is missing from a channel ranks after its last.
+
+    A channel is a list of its ``most`` best results. Each is made once, and what is fused are these lists.
+    """
+    parts, fused = [], None
+    for rows, _ in channels:
+        top = materialize(rows.orderBy(F.desc("score"), "id").limit(most).select("id", "score"), "channel")
+        parts.append(top.select("id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank")))
+        fused = parts[-1].select("id") if fused is None else fused.union(parts[-1].select("id"))
+    fused, total = fused.distinct(), F.lit(0.0)
     for n, p in enumerate(parts):
         size = p.agg((F.count("*") + 1).alias(f"last{n}"))
         fused = fused.join(p.select("id", F.col("rank").alias(f"rank{n}")), "id", "left").crossJoin(F.broadcast(size))

@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,13 +47,33 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{_folders[app]}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage and fixes what non-deterministic columns hold."""
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage and fixes what non-deterministic columns hold.
+
+    Within ``scratch`` it goes with the block, unless it is to ``keep``: then with the block around, if any.
+    """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    if len(_blocks) > keep:
+        _blocks[-1 - keep].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_blocks: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialised in this block are deleted at its end. What outlives the block must be materialised with ``keep`` in it, and read nothing else of it."""
+    _blocks.append([])
+    try:
+        yield
+    finally:
+        for path in _blocks.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a broadcast of ``small`` only if a count shows at most ``rows`` rows; else an ordinary shuffled join. ``small`` should be materialised."""
     if small.limit(rows + 1).count() <= rows:

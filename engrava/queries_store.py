@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from engrava.operators import importing, subjects, writes
+from engrava.operators import importing, subjects, vectors, writes
 from engrava.plans import drafts as D
 from engrava.plans import views as V
 from engrava.registry import query
@@ -214,3 +214,19 @@ _VALUES = ", ".join(f"('{f}', {i}::DOUBLE, {c}::DOUBLE)" for f, i, c in _MODEL)
 def _(s, d):
     model = s.createDataFrame(_MODEL, "feature string, idf double, coef double")
     return importing.keep_scores(D.notes(s, d).select("id", F.col("content").alias("text")), model, -0.3).select("id", F.round("score", 9).alias("score"))
+
+
+# Approximate vectors
+
+
+@query("vector_neighbours", None)
+def _(s, d):
+    """The ten closest vectors of every twentieth one, by the index; tests hold its recall."""
+    rows = V.embeddings(s, d).select(F.col("memory_id").alias("id"), "vector")
+    return vectors.search(vectors.index(rows, 64), rows.where("id % 20 = 0"))
+
+
+@query("vector_neighbours_exact", "SELECT query_id, id, round(cosine, 6) AS cosine FROM (SELECT a.memory_id AS query_id, b.memory_id AS id, round(list_cosine_similarity(a.vector::DOUBLE[], b.vector::DOUBLE[]), 9) AS cosine FROM vectors a JOIN vectors b ON a.memory_id <> b.memory_id WHERE a.memory_id % 20 = 0) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) <= 10")
+def _(s, d):
+    rows = V.embeddings(s, d).select(F.col("memory_id").alias("id"), "vector")
+    return vectors.brute(rows, rows.where("id % 20 = 0"), 64).select("query_id", "id", F.round("cosine", 6).alias("cosine"))
