@@ -20,6 +20,8 @@ from engrava.plans.storage import fresh_path, materialize
 
 #: Ids that a task searches at once.
 BLOCK_IDS = 1 << 18
+#: Blocks in a run of the prefix scan.
+RUN = 4096
 #: Ends a document: the largest 16-bit number, which is no vocabulary's id, so no text yields it.
 END_ID = (1 << 16) - 1
 
@@ -67,8 +69,14 @@ def scan_flat_files(files: DataFrame, end_id: int, dtype: str = "<u2", block_ids
     schema = pa.schema([("file_no", pa.int64()), ("block", pa.int32()), ("n", pa.int64()), ("last", pa.int64()), ("ends", pa.list_(pa.int64()))])
     spread = blocks.repartition("file_no", "block").mapInArrow(search, "file_no long, block int, n long, last long, ends array<long>")
     seen = materialize(spread, "scan")
-    before = Window.partitionBy("file_no").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    stitched = seen.select("file_no", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("docs_before"), F.coalesce(F.max("last").over(before), F.lit(-1)).alias("prev_end"))
+    # The scan goes over runs of blocks, and within each run: a file's blocks lie in as many tasks as it has runs.
+    runs = seen.select("file_no", "block", F.expr(f"block div {RUN}").alias("run"), "n", "last")
+    earlier = Window.partitionBy("file_no").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    sums = runs.groupBy("file_no", "run").agg(F.sum("n").alias("n"), F.max("last").alias("last")).select("file_no", "run", F.sum("n").over(earlier).alias("run_docs"), F.max("last").over(earlier).alias("run_end"))
+    before = Window.partitionBy("file_no", "run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = runs.select("file_no", "block", "run", F.sum("n").over(before).alias("docs"), F.max("last").over(before).alias("end")).join(sums, ["file_no", "run"])
+    zero, none = F.lit(0), F.lit(-1)
+    stitched = inside.select("file_no", "block", (F.coalesce("docs", zero) + F.coalesce("run_docs", zero)).alias("docs_before"), F.coalesce("end", "run_end", none).alias("prev_end"))
     ends = seen.join(stitched, ["file_no", "block"])
     starts = F.expr("concat(array(prev_end), slice(ends, 1, greatest(size(ends) - 1, 0)))")
     rows = ends.where("n > 0").select("file_no", "docs_before", F.posexplode(F.arrays_zip(F.col("ends").alias("e"), starts.alias("s"))).alias("k", "p"))

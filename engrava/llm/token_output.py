@@ -1,7 +1,7 @@
 """Token-ID output: Simple-8b word-aligned coding of documents' ids into files, and the way back.
 
-A file holds ``_HEAD``, the 64-bit code words of its blocks of ``BLOCK`` ids, and a footer: the word offset of each block, each
-document's id, whether it is null, and its number of ids. A code word's upper four bits select how many ids of which width its lower 60 bits hold
+A file is packs, one after another. A pack holds ``_HEAD``, the 64-bit code words of its blocks of ``BLOCK`` ids, and a footer: the word offset of each block,
+each document's id, whether it is null, and its number of ids. A code word's upper four bits select how many ids of which width its lower 60 bits hold
 (Anh and Moffat, 2010). Selector 0 is the escape: the next word is one id of 60 to 64 bits as it is. Every block starts a new word,
 so blocks can be decoded alone, by the offsets, all words of a selector at once.
 """
@@ -116,7 +116,7 @@ def decode(words: np.ndarray) -> np.ndarray:
 
 
 def pack_file(doc_ids: list, parts: list[bytes]) -> bytes:
-    """A file of the documents' ids, given as little-endian unsigned 32-bit integers."""
+    """A pack of the documents' ids, given as little-endian unsigned 32-bit integers."""
     words, offsets = encode(np.frombuffer(b"".join(parts), "<u4"))
     sizes = np.array([len(p) // 4 for p in parts], "<u8")
     nulls = np.array([d is None for d in doc_ids], np.uint8)
@@ -125,21 +125,24 @@ def pack_file(doc_ids: list, parts: list[bytes]) -> bytes:
     return b"".join([head, words.astype("<u8").tobytes(), offsets.astype("<u8").tobytes(), ids.tobytes(), sizes.tobytes(), nulls.tobytes()])
 
 
-def unpack_file(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
-    """Document ids, their numbers of token ids, and all token ids."""
-    magic, _, blocks, n_words, n_docs, _, _ = _HEAD.unpack_from(data)
-    if magic != b"S8B1":
-        raise ValueError("not a Simple-8b token file")
-    at = _HEAD.size
-    words = np.frombuffer(data, "<u8", n_words, at)
-    at += 8 * (n_words + blocks)
-    ids, sizes = np.frombuffer(data, "<i8", n_docs, at), np.frombuffer(data, "<u8", n_docs, at + 8 * n_docs)
-    nulls = np.frombuffer(data, np.uint8, n_docs, at + 16 * n_docs)
-    return [None if x else int(i) for i, x in zip(ids, nulls)], sizes.astype(np.int64), decode(words)
+def unpack_file(data: bytes) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Of each pack document ids, their numbers of token ids, and all token ids."""
+    at = 0
+    while at < len(data):
+        magic, _, blocks, n_words, n_docs, _, _ = _HEAD.unpack_from(data, at)
+        if magic != b"S8B1":
+            raise ValueError("not a Simple-8b token file")
+        at += _HEAD.size
+        words = np.frombuffer(data, "<u8", n_words, at)
+        at += 8 * (n_words + blocks)
+        ids, sizes = np.frombuffer(data, "<i8", n_docs, at), np.frombuffer(data, "<u8", n_docs, at + 8 * n_docs)
+        nulls = np.frombuffer(data, np.uint8, n_docs, at + 16 * n_docs)
+        at += 17 * n_docs
+        yield [None if x else int(i) for i, x in zip(ids, nulls)], sizes.astype(np.int64), decode(words)
 
 
 def read_block(data: bytes, block: int) -> np.ndarray:
-    """The ids of one block of a file, decoded alone by its offset."""
+    """The ids of one block of a pack, decoded alone by its offset."""
     _, _, blocks, n_words, *_ = _HEAD.unpack_from(data)
     offsets = [*np.frombuffer(data, "<u8", blocks, _HEAD.size + 8 * n_words).astype(int), n_words]
     return decode(np.frombuffer(data, "<u8", offsets[block + 1] - offsets[block], _HEAD.size + 8 * offsets[block]))
@@ -175,22 +178,26 @@ def read_token_files(manifest: DataFrame, digest: bool = False) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), last])
     out = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "start", "n_tokens")] + [T.StructField("ids_crc32", T.LongType()) if digest else T.StructField("ids", T.ArrayType(T.LongType()))])
 
+    def rows(doc_ids: list, sizes: np.ndarray, ids: np.ndarray, first: int) -> Iterator[pa.RecordBatch]:
+        stops = np.cumsum(sizes)
+        if digest:
+            raw = memoryview(ids.astype("<u4").tobytes())
+            values = pa.array([zlib.crc32(raw[4 * (b - n) : 4 * b]) for b, n in zip(stops.tolist(), sizes.tolist())], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(stops - sizes + first), pa.array(sizes), values], schema=schema)
+            return
+        for k in range(0, len(sizes), 256):  # ids are wide: few documents a batch
+            b, n = stops[k : k + 256], sizes[k : k + 256]
+            lo = int(b[0] - n[0])
+            values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], b - lo]), pa.int32()), pa.array(ids[lo : int(b[-1])].astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids[k : k + 256], pa.int64()), pa.array(b - n + first), pa.array(n), values], schema=schema)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tidied(batches, tokenizing=True):
             for path, first in zip(batch.column("path").to_pylist(), batch.column("first").to_pylist()):
-                doc_ids, sizes, ids = unpack_file(read_range(path))
-                stops = np.cumsum(sizes)
-                give_back()
-                if digest:
-                    raw = memoryview(ids.astype("<u4").tobytes())
-                    values = pa.array([zlib.crc32(raw[4 * (b - n) : 4 * b]) for b, n in zip(stops.tolist(), sizes.tolist())], pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(stops - sizes + first), pa.array(sizes), values], schema=schema)
-                    continue
-                for k in range(0, len(sizes), 256):  # ids are wide: few documents a batch
-                    b, n = stops[k : k + 256], sizes[k : k + 256]
-                    lo = int(b[0] - n[0])
-                    values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], b - lo]), pa.int32()), pa.array(ids[lo : int(b[-1])].astype(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids[k : k + 256], pa.int64()), pa.array(b - n + first), pa.array(n), values], schema=schema)
+                for doc_ids, sizes, ids in unpack_file(read_range(path)):
+                    yield from rows(doc_ids, sizes, ids, first)
+                    first += len(ids)
+                    give_back()
 
     files = materialize(file_starts(manifest).select("path", "first"), "s8b-files")
     tasks = max(1, -(-files.count() // 4), files.sparkSession.sparkContext.defaultParallelism)  # some files to each task

@@ -149,3 +149,42 @@ def test_special_tokens_in_texts(spark):
 def test_op3_on_an_empty_table(spark, tmp_path):
     docs_of(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     assert token_counts.op3_separator_scan(spark, str(tmp_path)).count() == 0
+
+
+def test_files_of_several_packs():
+    rng = np.random.default_rng(4)
+    parts = [rng.integers(0, 50_000, rng.integers(0, 40)).astype("<u4").tobytes() for _ in range(40)]
+    data = b"".join(token_output.pack_file(list(range(k, k + 10)), parts[k : k + 10]) for k in range(0, 40, 10))
+    got = list(token_output.unpack_file(data))
+    assert [d for ids, _, _ in got for d in ids] == list(range(40))
+    assert np.concatenate([ids for _, _, ids in got]).astype("<u4").tobytes() == b"".join(parts)
+
+
+def test_a_writer_packs_and_closes_files(tmp_path, monkeypatch):
+    """Writers run in worker processes, so one is run here by itself: packs of a few ids, in many files or in one."""
+    import pyspark
+
+    from engrava.llm import files
+
+    class Frame:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, write, _):
+            return write
+
+    monkeypatch.setattr(files, "PACK_IDS", 50)
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: type("C", (), {"partitionId": lambda self: 3})()))
+    monkeypatch.setattr(files.F, "col", lambda c: type("X", (), {"cast": lambda self, _: self})())
+    ids = lambda texts: [np.arange(len(t), dtype="<u4").tobytes() for t in texts.to_pylist()]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "text": ["x" * (k % 17) for k in range(60)]})
+    for limit, least in ((1, 5), (1 << 30, 1)):
+        monkeypatch.setattr(files, "FILE_BYTES", limit)
+        rows = [r for b in files.write_documents(Frame(), f"file://{tmp_path}/{limit}", ids, token_output.pack_file, "s8b")(iter([batch])) for r in b.to_pylist()]
+        assert len(rows) >= least and sum(r["n_docs"] for r in rows) == 60
+        read = [x for r in rows for x in token_output.unpack_file(files.read_range(r["path"]))]
+        assert [d for doc_ids, _, _ in read for d in doc_ids] == list(range(60)) and [int(n) for _, sizes, _ in read for n in sizes] == [k % 17 for k in range(60)]
+        placed = [r for b in files.write_documents(Frame(), f"file://{tmp_path}/{limit}p", ids, lambda _, parts: b"".join(parts), "bin", per_document=True)(iter([batch])) for r in b.to_pylist()]
+        assert [r["doc_id"] for r in placed] == list(range(60))
+        for no in {r["file_no"] for r in placed}:
+            assert [r["ordinal"] for r in placed if r["file_no"] == no] == list(range(sum(r["file_no"] == no for r in placed)))
