@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words whose ids a worker keeps, and bytes of text split at once.
-KEPT_WORDS, BYTES = 450_000, 2 << 20
+KEPT_WORDS, BYTES = 450_000, 4 << 20
 #: Words that the library is asked for at once: what it returns takes some hundred bytes a token.
 _ASKED = 1 << 14
 #: Where splitting at single spaces and line ends isn't what the byte-level pattern does: a space before a line end, runs of three, of two at the end, and all
@@ -65,13 +66,16 @@ class WordTokenizer:
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids one after another, and the number of each word's."""
         # Joined by a mark that the patterns always set apart, words cost half as much; such as could join with it are done alone.
-        alone = [k for k, w in enumerate(words) if w.strip(" ") == "" or self.mark.strip(" ") in w]
-        if not alone and len(words) > 1:
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        core, joined = self.mark.strip(" "), self.mark.join(words)
+        between = f"{self.mark}{joined}{self.mark}"
+        blank = any(f"{self.mark}{w}{self.mark}" in between for w in ("", " ")) or between.count(core) != len(words) + 1
+        if not blank and len(words) > 1:
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.flatnonzero(ids == self.mark_id)
             if len(cuts) == len(words) - 1:
                 return np.delete(ids, cuts), np.diff(cuts, prepend=-1, append=len(ids)) - 1
-        elif alone and len(alone) < len(words):
+        alone = [k for k, w in enumerate(words) if w.strip(" ") == "" or core in w] if blank else []
+        if alone and len(alone) < len(words):
             lone = set(alone)
             rest = [k for k in range(len(words)) if k not in lone]
             parts: list = [None] * len(words)
@@ -90,8 +94,7 @@ class WordTokenizer:
         """Each word's row of the table; new ones are added."""
         if len(self.row) > KEPT_WORDS:
             self._forget(KEPT_WORDS // 2)
-        get = self.row.get
-        rows = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        rows = np.fromiter(map(self.row.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(rows < 0)
         self.seen[rows[rows >= 0]] += 1
         if not len(missing):
