@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from engrava.llm.workers import tidied
 from engrava.operators.graph import connected_components
-from engrava.plans.storage import materialize
+from engrava.plans.storage import materialize, scratch
 
 BITS, SEGMENTS = 64, 2
 #: Words in a shingle and differing bits: the contract's query, and the general default.
@@ -215,27 +215,30 @@ def similar_documents(tagged: DataFrame, text: str, rank: Column, words: int = 5
     each node of a key is held against the smallest one, then pairs of a key that this hasn't brought together, so a large group of near copies is not paired;
     of these, the join itself leaves out those whose sketches are too far apart: sets of this similarity differ in few members, and in no more bits of parity.
     """
-    nodes = tagged.groupBy("_keys").agg(F.min(rank).alias("rep"))
-    nodes = materialize(nodes.select(F.col("rep.row").alias("node"), "rep", F.col("_keys")[1].alias("size"), F.slice("_keys", 3, BANDS).alias("keys"), F.slice("_keys", 3 + BANDS, SKETCH + PARITY).alias("sketch")), "shingle-sets")
-    rows = nodes.where("size > 0").select("node", "size", F.posexplode("keys").alias("band", "key"))
-    hubs = rows.groupBy("band", "key").agg(F.min(F.struct("node", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = materialize(rows.join(hubs.hint("merge"), ["band", "key"]), "met")
-    fit = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
-    sets = _keep_rows(tagged, materialize(met.select(F.col("node").alias("_row")).distinct(), "candidates"))
-    sets = materialize(sets.select(F.col("_row").alias("node"), _longs(F.col(text), lambda t: shingle_set(t, words)).alias("hashes")), "sets")
-    first = met.where((F.col("node") != F.col("hub.node")) & fit(F.col("size"), F.col("hub.size"))).select(F.col("hub.node").alias("src"), F.col("node").alias("dst")).distinct()
-    stars = materialize(_alike(first, sets, similarity), "stars")
-    groups = connected_components(stars).select("node", F.col("component").alias("grp"))
-    grouped = met.drop("hub").join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
-    mixed = grouped.groupBy("band", "key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("band", "key")
-    grouped = materialize(grouped.join(mixed.hint("merge"), ["band", "key"], "left_semi"), "grouped")
-    grouped = materialize(grouped.join(nodes.select("node", "sketch"), "node"), "sketched")
-    a, b = (grouped.select("band", "key", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "grp", "sketch")]) for x in ("src", "dst"))
-    apart = (F.col("src") < F.col("dst")) & (F.col("grp_src") != F.col("grp_dst")) & fit(F.col("size_src"), F.col("size_dst"))
-    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col("sketch_src")[k].bitwiseXOR(F.col("sketch_dst")[k])) for k in range(SKETCH, SKETCH + PARITY)])
-    apart &= differ <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("size_src") + F.col("size_dst")) + 1e-9
-    rest = a.join(b.hint("merge"), ["band", "key"]).where(apart & (_sketch_apart(F.col("sketch_src"), F.col("sketch_dst")) <= most_apart(similarity))).select("src", "dst").distinct()
-    return group_nodes(nodes, stars.union(materialize(_alike(rest, sets, similarity), "alike"))).select(F.col("component_id.row").alias("_row")).distinct()
+    with scratch(tagged.sparkSession):
+        nodes = tagged.groupBy("_keys").agg(F.min(rank).alias("rep"))
+        nodes = materialize(nodes.select(F.col("rep.row").alias("node"), "rep", F.col("_keys")[1].alias("size"), F.slice("_keys", 3, BANDS).alias("keys"), F.slice("_keys", 3 + BANDS, SKETCH + PARITY).alias("sketch")), "shingle-sets")
+        rows = nodes.where("size > 0").select("node", "size", F.posexplode("keys").alias("band", "key"))
+        hubs = rows.groupBy("band", "key").agg(F.min(F.struct("node", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+        hubs = materialize(hubs, "hubs")  # so that the join below shuffles both sides, and AQE can split a key
+        met = materialize(rows.join(hubs.hint("merge"), ["band", "key"]), "met")
+        fit = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
+        sets = _keep_rows(tagged, materialize(met.select(F.col("node").alias("_row")).distinct(), "candidates"))
+        sets = materialize(sets.select(F.col("_row").alias("node"), _longs(F.col(text), lambda t: shingle_set(t, words)).alias("hashes")), "sets")
+        first = met.where((F.col("node") != F.col("hub.node")) & fit(F.col("size"), F.col("hub.size"))).select(F.col("hub.node").alias("src"), F.col("node").alias("dst")).distinct()
+        stars = materialize(_alike(first, sets, similarity), "stars")
+        groups = connected_components(stars).select("node", F.col("component").alias("grp"))
+        grouped = met.drop("hub").join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
+        mixed = grouped.groupBy("band", "key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("band", "key")
+        mixed = materialize(mixed, "mixed")
+        grouped = materialize(grouped.join(mixed.hint("merge"), ["band", "key"], "left_semi").join(nodes.select("node", "sketch"), "node"), "grouped")
+        a, b = (grouped.select("band", "key", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "grp", "sketch")]) for x in ("src", "dst"))
+        apart = (F.col("src") < F.col("dst")) & (F.col("grp_src") != F.col("grp_dst")) & fit(F.col("size_src"), F.col("size_dst"))
+        differ = reduce(lambda x, y: x + y, [F.bit_count(F.col("sketch_src")[k].bitwiseXOR(F.col("sketch_dst")[k])) for k in range(SKETCH, SKETCH + PARITY)])
+        apart &= differ <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("size_src") + F.col("size_dst")) + 1e-9
+        rest = a.join(b.hint("merge"), ["band", "key"]).where(apart & (_sketch_apart(F.col("sketch_src"), F.col("sketch_dst")) <= most_apart(similarity))).select("src", "dst").distinct()
+        kept = group_nodes(nodes, stars.union(materialize(_alike(rest, sets, similarity), "alike"))).select(F.col("component_id.row").alias("_row")).distinct()
+        return materialize(kept, "kept", keep=True)
 
 
 def _keep_rows(tagged: DataFrame, kept: DataFrame) -> DataFrame:
@@ -261,7 +264,7 @@ def dedup_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     doc_id, text = (f"c{cols.index(c)}" for c in ("doc_id", "text"))
     tagged = materialize(inner.withColumn("_keys", _longs(F.col(text), lambda t: band_keys(shingle_set(t, words)))).withColumn("_row", F.monotonically_increasing_id()), "tagged")
     rank = F.struct(F.col(doc_id).isNull().alias("late"), F.col(doc_id).cast("long").alias("doc_id"), F.col("_row").alias("row"))
-    kept = materialize(similar_documents(tagged, text, rank, words, similarity), "kept")
+    kept = similar_documents(tagged, text, rank, words, similarity)
     out = _keep_rows(tagged, kept).select(*[f"c{k}" for k in range(len(cols))])
     return out.toDF(*cols)
 
