@@ -5,8 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Patterns of facts that are found wherever they stand.
-PATTERNS = {"date": r"\b(\d{4}-\d{2}-\d{2})\b", "email": r"\b([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})\b", "ip": r"\b(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\b", "number": r"\b(\d{6,})\b"}
+_MONTH = "January|February|March|April|May|June|July|August|September|October|November|December"
+# Fixed values.
+#: Patterns of facts that are found wherever they stand.
+PATTERNS = {
+    "iso_date": r"\b(\d{4}-\d{2}-\d{2}(?:T\d{2}:\d{2}:\d{2}(?:\.\d{3})?(?:Z|[+-]\d{2}:\d{2})?)?)\b",
+    "natural_date": rf"\b((?:{_MONTH})(?:\s+\d{{1,2}})?(?:,?\s+\d{{4}})?)\b",
+    "email": r"\b([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})\b",
+    "phone": r"\b(\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4})\b",
+    "international_phone": r"(\+\d{1,3}[-.\s]?\(?\d{1,4}\)?[-.\s]?\d{1,4}[-.\s]?\d{1,4}[-.\s]?\d{0,9})\b",
+}
+#: Shapes of lines that state a key and a value, in order.
+KEY_VALUE = [
+    r"^[-*•]\s+\*\*([^*:]+):\*\*\s*(.+)$", r"^\*\*([^*:]+):\*\*\s*(.+)$", r"^[-*•]\s+([^:]+):\s*(.+)$", r"^([^:]+):\s*(.+)$", r"^([^→]+)\s*→\s*(.+)$", r"^([^=]+)\s*=\s*(.+)$", r"^([^—]+)\s*—\s*(.+)$",
+]
+_WHO = r"(?i)^\s*([a-z][a-z0-9'._ -]{0,80})\s+"
+#: Sentences that state something: pattern, the type of fact, its confidence.
+SENTENCES = {
+    "preference": (_WHO + r"(prefers?|likes?|dislikes?|wants?)\s+(.+)$", "preference", 0.86),
+    "decision": (r"(?i)^\s*(?:we\s+)?(decided|decide|chose|choose|selected|select|approved)\s+(?:to\s+)?(.+)$", "decision", 0.84),
+    "engaged": (_WHO + r"is\s+engaged\s+to\s+([a-z][a-z0-9'._ -]{0,80})\s*[.!]?\s*$", "relationship", 0.9),
+    "related": (_WHO + r"is\s+([a-z][a-z0-9'._ -]{0,80})'?s\s+(fianc[eé]e|manager|partner|spouse|wife|husband)\s*$", "relationship", 0.88),
+    "state": (_WHO + r"is\s+(running|active|inactive|idle|blocked|online|offline|down|up)(?:\s+on\s+port\s+(\d+))?(?:[.!])?\s*$", "state", 0.87),
+    "location": (_WHO + r"(?:is at|is in|located in|based in)\s+(.+?)(?:[.!])?\s*$", "location", 0.86),
+}
 
 
 def regex_facts(rows: DataFrame) -> DataFrame:
@@ -17,11 +39,39 @@ def regex_facts(rows: DataFrame) -> DataFrame:
 
 
 def key_values(rows: DataFrame) -> DataFrame:
-    """``id, line, key, value`` of lines like ``key: value`` or ``key = value``, bullets and bold marks dropped; lines count from 1."""
-    lines = rows.select("id", F.posexplode(F.split("content", "\n")).alias("at", "text"))
-    pattern = r"^\s*[-*]?\s*\**([A-Za-z][A-Za-z0-9 _]{0,39})\**\s*[:=]\s+(\S.*)$"
-    hit = lines.where(F.col("text").rlike(pattern))
-    return hit.select("id", (F.col("at") + 1).alias("line"), F.trim(F.regexp_extract("text", pattern, 1)).alias("key"), F.trim(F.regexp_extract("text", pattern, 2)).alias("value"))
+    """``id, line, key, value`` of lines of a key and a value, by the first of ``KEY_VALUE`` that fits, both trimmed and without bold marks, neither empty; lines count from 1."""
+    lines = rows.select("id", F.posexplode(F.split("content", "\n")).alias("at", "text")).withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
+    pair = F.lit(None)
+    for p in reversed(KEY_VALUE):
+        both = F.struct(*[F.regexp_replace(F.regexp_extract("text", p, k), r"^[\s*]+|[\s*]+$", "").alias(n) for k, n in ((1, "key"), (2, "value"))])
+        pair = F.when(F.col("text").rlike(p), both).otherwise(pair)
+    return lines.select("id", (F.col("at") + 1).alias("line"), pair.alias("p")).select("id", "line", "p.key", "p.value").where("key <> '' AND value <> ''")
+
+
+def sentences(rows: DataFrame, subject: str = "decision") -> DataFrame:
+    """``id, line, subject, predicate, object, fact_type, confidence`` of lines that state a preference, decision, relationship, state or place, by the first pattern that fits.
+
+    Lines with ``:``, ``=``, an arrow or a dash are left to ``key_values``. A decision's subject is ``subject``.
+    """
+    lines = rows.select("id", F.posexplode(F.split("content", "\n")).alias("at", "text")).withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
+    got = lambda name, k: F.trim(F.regexp_extract("text", SENTENCES[name][0], k))
+    plain = lambda c: F.regexp_replace(c, r"[.; ]+$", "")
+    port = got("state", 3)
+    parts = {
+        "preference": (got("preference", 1), F.lower(got("preference", 2)), plain(got("preference", 3))),
+        "decision": (F.lit(subject), F.lower(got("decision", 1)), plain(got("decision", 2))),
+        "engaged": (got("engaged", 1), F.lit("engaged_to"), got("engaged", 2)),
+        "related": (got("related", 1), F.lower(got("related", 3)), got("related", 2)),
+        "state": (got("state", 1), F.lit("status"), F.when(port == "", F.lower(got("state", 2))).otherwise(F.concat(F.lower(got("state", 2)), F.lit(" on port "), port))),
+        "location": (got("location", 1), F.lit("location"), plain(got("location", 2))),
+    }
+    found = F.lit(None)
+    for name in reversed(SENTENCES):
+        pattern, kind, confidence = SENTENCES[name]
+        fact = F.struct(*[c.alias(n) for c, n in zip(parts[name], ("subject", "predicate", "object"))], F.lit(kind).alias("fact_type"), F.lit(confidence).alias("confidence"))
+        found = F.when(F.col("text").rlike(pattern), fact).otherwise(found)
+    free = lines.where("text <> ''").where(~F.col("text").rlike("[:=→—]"))
+    return free.select("id", (F.col("at") + 1).alias("line"), found.alias("f")).where("f IS NOT NULL").select("id", "line", "f.*")
 
 
 def paragraphs(rows: DataFrame) -> DataFrame:

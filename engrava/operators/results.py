@@ -215,3 +215,25 @@ def profile_results(facts: DataFrame, query: str, entities: list[int], text_scor
     best = scored.select("memory_id", "id", F.round(score, 9).alias("score")).groupBy("memory_id").agg(F.max_by(F.struct("score", "id"), F.struct("score", -F.col("id"))).alias("b"))
     return best.select("memory_id", "b.score", F.col("b.id").alias("fact_id"))
 
+
+
+def search_facts(facts: DataFrame, memories: DataFrame, text_score: Column, least: float, limit: int) -> DataFrame:
+    """``id, score``: the ``limit`` best facts by their text's score, what their memory's source weighs, and a quarter of their confidence; of equals the later. Scores below ``least`` go before these."""
+    joined = facts.withColumn("_text", text_score).where(F.col("_text") >= least).join(memories.select(F.col("id").alias("memory_id"), "source_file"), "memory_id")
+    unit = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("confidence")))
+    score = F.col("_text") * source_weight(F.col("source_file")) * (0.75 + 0.25 * unit)
+    return joined.select("id", F.round(score, 9).alias("score")).orderBy(F.desc("score"), F.desc("id")).limit(limit)
+
+
+def ranked(found: DataFrame, notes: DataFrame, query: str, confidence: DataFrame | None = None, agent: str = "", channel: str = "", session: str = "", limit: int = 10) -> DataFrame:
+    """``id, score, rank``: a keyword search's results (``id, score``) through all stages, the ``limit`` best; of equals the first by id.
+
+    In order: what isn't wrapped or of low signal (unless nothing else is left), the noise penalty, the source's weight, boosts for the asker's own metadata, and the effective confidence.
+    """
+    rows = notes.drop("score").join(found.select("id", "score"), "id")
+    rows = capture_penalty(suppress_low_signal(suppress_wrappers(rows), query))
+    rows = metadata_boosts(rows.withColumn("score", F.col("score") * source_weight(F.col("source_file"))), agent, channel, session)
+    if confidence is not None:
+        rows = confidence_decay(rows, confidence)
+    top = rows.select("id", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # a list of ``limit``

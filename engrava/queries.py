@@ -523,14 +523,47 @@ def _(s, d):
 # Extraction and chunking
 
 
-@_query("regex_facts", " UNION ALL ".join(f"SELECT id, '{k}' AS kind, v AS value, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(content, '{p}', 1)) AS v FROM memories) GROUP BY id, v" for k, p in extraction.PATTERNS.items()))
+_CONTACTS = """said AS (SELECT id, content || chr(10) || CASE id % 5 WHEN 0 THEN 'call +49 30 1234567 or (555) 123-4567' WHEN 1 THEN 'by 2024-03-09T10:00:00Z, or March 5, 2021' WHEN 2 THEN 'write to Ann.Lee@mail.example.org, 555.123.4567'
+ WHEN 3 THEN 'in June 2020 and on 2024-01-01' ELSE 'nothing' END AS content FROM memories)"""
+
+
+def _said(s, d):
+    extra = F.expr("CASE id % 5 WHEN 0 THEN 'call +49 30 1234567 or (555) 123-4567' WHEN 1 THEN 'by 2024-03-09T10:00:00Z, or March 5, 2021' WHEN 2 THEN 'write to Ann.Lee@mail.example.org, 555.123.4567' WHEN 3 THEN 'in June 2020 and on 2024-01-01' ELSE 'nothing' END")
+    return V.memories(s, d).select("id", F.concat("content", F.lit("\n"), extra).alias("content"))
+
+
+@_query("regex_facts", " UNION ALL ".join(f"SELECT id, '{k}' AS kind, v AS value, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(content, '{p}', 1)) AS v FROM said) GROUP BY id, v" for k, p in extraction.PATTERNS.items()), _CONTACTS)
+def _(s, d):
+    return extraction.regex_facts(_said(s, d))
+
+
+_KV_LINES = ["- **Owner:** Ann", "**Due:** soon", "* city: Rome", "host: db1: main", "old → new", "size = 5", "lunch — noon", "no pair here", ": empty", "key:"]
+_KV_WANT = [("Owner", "Ann"), ("Due", "soon"), ("city", "Rome"), ("host", "db1: main"), ("old", "new"), ("size", "5"), ("lunch", "noon"), None, None, None]
+_SENTENCE_LINES = ["Ann Lee prefers dark mode.", "We decided to ship it;", "Bob is engaged to Ann Lee.", "Eve is Bob's manager", "The API is running on port 80.", "db is down", "The office is based in Rome.", "Nothing to see", "x prefers: y", "chose rust"]
+_SENTENCE_WANT = [("Ann Lee", "prefers", "dark mode", "preference"), ("decision", "decided", "ship it", "decision"), ("Bob", "engaged_to", "Ann Lee.", "relationship"), ("Eve", "manager", "Bob'", "relationship"), ("The API", "status", "running on port 80", "state"), ("db", "status", "down", "state"), ("The office is", "location", "Rome", "location"), None, None, ("decision", "chose", "rust", "decision")]
+
+
+def _rotated(s, d, lines):
+    """Each order with one of the lines, between two others."""
+    at = ", ".join("'" + x.replace("'", "\\'") + "'" for x in lines)
+    return s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("first\n  "), F.expr(f"element_at(array({at}), cast(o_orderkey % {len(lines)} as int) + 1)"), F.lit("\nlast")).alias("content"))
+
+
+def _wanted(want, columns):
+    """The twin: what is to be found in each line, by the order's key."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({k}, {', '.join(map(quoted, w))})" for k, w in enumerate(want) if w)
+    return f"SELECT o_orderkey AS id, CAST(2 AS INTEGER) AS line, {', '.join(columns)} FROM orders JOIN (VALUES {rows}) AS t(k, {', '.join(columns)}) ON k = o_orderkey % {len(want)}"
+
+
+@_query("key_values", _wanted(_KV_WANT, ["key", "value"]))
 def _(s, d):
-    return extraction.regex_facts(V.memories(s, d))
+    return extraction.key_values(_rotated(s, d, _KV_LINES))
 
 
-@_query("key_values", "SELECT id, CAST(k AS INTEGER) AS line, trim(regexp_extract(t, '^\\s*[-*]?\\s*\\**([A-Za-z][A-Za-z0-9 _]{0,39})\\**\\s*[:=]\\s+(\\S.*)$', 1)) AS key, trim(regexp_extract(t, '^\\s*[-*]?\\s*\\**([A-Za-z][A-Za-z0-9 _]{0,39})\\**\\s*[:=]\\s+(\\S.*)$', 2)) AS value FROM (SELECT id, unnest(string_split(content, chr(10))) AS t, generate_subscripts(string_split(content, chr(10)), 1) AS k FROM memories) WHERE regexp_matches(t, '^\\s*[-*]?\\s*\\**([A-Za-z][A-Za-z0-9 _]{0,39})\\**\\s*[:=]\\s+(\\S.*)$')")
+@_query("sentences", _wanted(_SENTENCE_WANT, ["subject", "predicate", "object", "fact_type"]))
 def _(s, d):
-    return extraction.key_values(V.memories(s, d))
+    return extraction.sentences(_rotated(s, d, _SENTENCE_LINES)).drop("confidence")
 
 
 @_query("paragraphs", "SELECT id, CAST(k - 1 AS INTEGER) AS position, trim(t) AS text, CAST(1 + coalesce(sum(2 + length(t) - length(replace(t, chr(10), ''))) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS first_line FROM (SELECT conv_id * 1000 + turn AS id, unnest(string_split(replace(text, '.' || chr(10), '.' || chr(10) || chr(10)), chr(10) || chr(10))) AS t, generate_subscripts(string_split(replace(text, '.' || chr(10), '.' || chr(10) || chr(10)), chr(10) || chr(10)), 1) AS k FROM conversations) QUALIFY trim(t) <> ''")

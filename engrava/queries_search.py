@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from engrava.operators import entities, keyword, listing, ranking, results, statistics
+from engrava.operators import entities, exports, keyword, listing, ranking, results, statistics
 from engrava.plans import drafts as D
 from engrava.plans import views as V
 from engrava.plans.views import AS_OF
@@ -353,3 +353,68 @@ def _(s, d):
 @query("entity_profiles", "SELECT entity_id, string_agg('- ' || predicate || ': ' || object, chr(10) ORDER BY confidence DESC, id) AS profile FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY confidence DESC, id) AS r FROM names WHERE id % 7 <> 0) WHERE r <= 20 GROUP BY 1", D.SQL["names"])
 def _(s, d):
     return entities.profiles(D.names(s, d).withColumn("superseded_by", F.expr("CASE WHEN id % 7 = 0 THEN id END")), 20)
+
+
+# The stages together, searches of facts, exports
+
+
+_WEIGHT = f"CASE WHEN {_P} = '' THEN 1.0 ELSE CASE {_TIER} WHEN 'core' THEN 1.575 WHEN 'journal' THEN 1.365 WHEN 'context' THEN 1.26 WHEN 'capture' THEN 0.441 WHEN 'transient' THEN 0.735 ELSE CASE WHEN {_CONNECTOR} THEN 0.97 ELSE 1.05 END END END::DOUBLE"
+
+
+@query(
+    "search_stages",
+    f"""SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM (SELECT n.id, round(score * {_WEIGHT} * CASE WHEN lower(agent_id) = 'agent1' THEN 1.08 ELSE 1 END::DOUBLE * (0.8 + 0.2 * coalesce(e, 1.0)), 9) AS score
+    FROM notes n LEFT JOIN (SELECT memory_id, avg(confidence) AS e FROM facts GROUP BY 1) c ON c.memory_id = n.id WHERE n.id % 3 = 0 AND NOT ({_CAPTURED} AND {_WRAPPER}) AND NOT {_LOW} ORDER BY score DESC, n.id LIMIT 25)""",
+    _NOTES,
+)
+def _(s, d):
+    notes = D.notes(s, d)
+    mean = V.facts(s, d).groupBy("memory_id").agg(F.avg("confidence").alias("effective"))
+    return results.ranked(notes.where("id % 3 = 0").select("id", "score"), notes, "what was decided", mean, agent="agent1", limit=25)
+
+
+@query(
+    "search_facts",
+    f"""SELECT f.id, round(t * {_WEIGHT} * (0.75 + 0.25 * least(1.0, confidence)), 9) AS score FROM (SELECT *, (CASE WHEN contains(lower(subject), '000001') THEN 0.6 ELSE 0.1 END + CASE predicate WHEN '1-URGENT' THEN 0.3 ELSE 0.0 END)::DOUBLE AS t FROM facts) f
+    JOIN notes ON notes.id = f.memory_id WHERE t >= 0.3 ORDER BY score DESC, f.id DESC LIMIT 30""",
+    _NOTES,
+)
+def _(s, d):
+    text = F.when(F.lower("subject").contains("000001"), 0.6).otherwise(0.1) + F.when(F.col("predicate") == "1-URGENT", 0.3).otherwise(0.0)
+    return results.search_facts(V.facts(s, d), D.notes(s, d), text, 0.3, 30)
+
+
+_TOPICS = {"work": ["status", "host"], "people": ["ann", "bob"]}
+_NAMED_DRAFTS = f"{D.SQL['drafts']}, named AS (SELECT trim(subject) AS subject, object, CASE WHEN regexp_matches(lower(subject || ' ' || predicate || ' ' || object), 'status|host') THEN 'work' WHEN regexp_matches(lower(subject || ' ' || predicate || ' ' || object), 'ann|bob') THEN 'people' ELSE 'general' END AS topic FROM drafts WHERE strlen(trim(subject)) BETWEEN 2 AND 40 AND NOT regexp_matches(trim(subject), '^[0-9./$~\\\\]') AND lower(trim(subject)) <> 'unknown'), idx AS (SELECT subject, count(*) AS refs, string_agg(DISTINCT topic, ',' ORDER BY topic) AS topics FROM named GROUP BY 1)"
+
+
+def _entity_index(s, d):
+    return exports.entity_index(D.drafts(s, d), _TOPICS, blocked=["UNKNOWN", "spear"], allowed=["Spear"], longest=40)
+
+
+@query("entity_index", "SELECT subject, refs, topics FROM idx", _NAMED_DRAFTS)
+def _(s, d):
+    return _entity_index(s, d)
+
+
+_HUBS = "hubs AS (SELECT *, CASE WHEN regexp_matches(subject, '^[A-Z][a-z]+ [A-Z][a-z]+$') THEN 'person' ELSE 'concept' END AS kind FROM idx WHERE refs >= CASE WHEN subject = 'message 12' THEN 1 WHEN regexp_matches(subject, '^[A-Z][a-z]+ [A-Z][a-z]+$') THEN 3 ELSE 90 END)"
+
+
+def _hubs_of(s, d):
+    kind = F.when(F.col("subject").rlike("^[A-Z][a-z]+ [A-Z][a-z]+$"), "person").otherwise("concept")
+    return exports.select_hubs(_entity_index(s, d), kind, 3, 90, allowed=["message 12"])
+
+
+@query("entity_hubs", "SELECT subject, refs, topics, kind FROM hubs", f"{_NAMED_DRAFTS}, {_HUBS}")
+def _(s, d):
+    return _hubs_of(s, d)
+
+
+@query("pruned_hubs", "SELECT subject FROM hubs h WHERE kind <> 'concept' OR len(string_split(topics, ',')) + (SELECT count(DISTINCT o.subject) FROM named n JOIN hubs o ON o.subject <> n.subject AND contains(n.object, o.subject) WHERE n.subject = h.subject) >= 4", f"{_NAMED_DRAFTS}, {_HUBS}")
+def _(s, d):
+    return exports.prune_weak(_hubs_of(s, d), D.drafts(s, d), 4).select("subject")
+
+
+@query("graph_lines", "SELECT 'node' AS kind, '{\"id\":' || id || ',\"predicate\":\"' || predicate || '\"}' AS json FROM facts WHERE id < 200 UNION ALL SELECT 'edge', '{\"source_fact_id\":' || source_fact_id || ',\"target_fact_id\":' || target_fact_id || '}' FROM edges WHERE edge_type = 'supports'")
+def _(s, d):
+    return exports.graph_lines(V.facts(s, d).where("id < 200").select("id", "predicate"), V.edges(s, d).where("edge_type = 'supports'").select("source_fact_id", "target_fact_id"))

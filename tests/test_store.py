@@ -57,3 +57,16 @@ def test_flatten_and_front_matter(spark):
 
     found = [r.f for r in texts.select(importing.front_matter(F.col("t")).alias("f")).collect()]
     assert (found[0].metadata, found[0].body.strip()) == ({"k": "2"}, "body") and found[1].body == "---\nk: 1\nno end" and found[2].body == "" and found[3].body is None
+
+
+def test_exported_facts_are_whole_and_in_order(spark, tmp_path):
+    from engrava.operators import exports
+    from engrava.plans import views
+
+    rows = views.facts(spark, "/root/testdata/sf0.001")
+    exports.write_facts(rows, f"{tmp_path}/csv")
+    back = spark.read.option("header", True).csv(f"{tmp_path}/csv")
+    assert back.columns == exports.FACT_COLUMNS and back.count() == rows.count()
+    exports.write_facts(rows, f"{tmp_path}/json", "json")
+    ids = [r.id for r in spark.read.json(f"{tmp_path}/json").orderBy("id").collect()]
+    assert ids == sorted(r.id for r in rows.select("id").collect())
