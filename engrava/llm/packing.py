@@ -21,7 +21,8 @@ from engrava.llm.tokens import VOCABULARIES, vocabulary, word_tokenizer
 from engrava.llm.workers import tidied
 from engrava.plans.storage import join_small, materialize
 
-CAPACITY = 1024
+#: Tokens in a sequence, and bytes of text split at once.
+CAPACITY, SPLIT_BYTES = 1024, 2 << 20
 
 
 class _Lengths:
@@ -167,7 +168,7 @@ def tokenize_pieces(docs: DataFrame, vocab: str = "byte_bpe_50k", end_id: int =
         part, tokenizer, ranks = TaskContext.get().partitionId(), word_tokenizer(vocabulary(name), spaced), [0] * (capacity + 1)
         for batch in tidied((c for b in batches for c in in_slices(b)), tokenizing=True):
             rows = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.batch(batch.column("text"))):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.batch(batch.column("text"), SPLIT_BYTES)):
                 raw = memoryview(ids + end)
                 n = len(raw) // 4
                 stops = range(n - (n - 1) // capacity * capacity, n + 1, capacity)
