@@ -601,15 +601,15 @@ def _(s, d):
 
 @_query(
     "last_reinforced",
-    """SELECT fact_id AS id, round(made + sum(w * (t - made) * coalesce(later, 1.0)), 1) AS at FROM (SELECT fact_id, made, t, w, product(1 - w) OVER (PARTITION BY fact_id ORDER BY t DESC, k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS later
+    """SELECT fact_id AS id, round(made + sum(w * (t - made) * coalesce(later, 1.0)), 1) AS reinforced FROM (SELECT fact_id, made, t, w, product(1 - w) OVER (PARTITION BY fact_id ORDER BY t DESC, k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS later
     FROM (SELECT a.fact_id, a.id AS k, epoch_us(a.created_at) / 1e6 AS t, epoch_us(f.created_at) / 1e6 AS made, CASE access_type WHEN 'reinforce' THEN 1.0 WHEN 'import' THEN 0.8 WHEN 'reference' THEN 0.5 WHEN 'search' THEN 0.3 ELSE 0.0 END::DOUBLE AS w FROM accesses a JOIN facts f ON f.id = a.fact_id)) GROUP BY fact_id, made""",
 )
 def _(s, d):
-    return lifecycle.last_reinforced(V.facts(s, d), V.accesses(s, d))
+    return lifecycle.last_reinforced(V.facts(s, d), V.accesses(s, d)).withColumnRenamed("at", "reinforced")
 
 
 def _(s, d):
-    return lifecycle.last_reinforced(V.facts(s, d), V.accesses(s, d))
+    return lifecycle.last_reinforced(V.facts(s, d), V.accesses(s, d)).withColumnRenamed("at", "reinforced")
 
 
 # Clusters, inference, alerts
