@@ -32,9 +32,9 @@ SENTENCES = {
 
 
 def regex_facts(rows: DataFrame) -> DataFrame:
-    """``id, kind, value, n``: every match of each pattern, counted."""
+    """``id, kind, value, n``: every match of each pattern, without blanks at its ends, counted."""
     found = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all("content", F.lit(p), 1).alias("values")) for k, p in PATTERNS.items()])
-    each = rows.select("id", F.explode(found).alias("f")).select("id", "f.kind", F.explode("f.values").alias("value"))
+    each = rows.select("id", F.explode(found).alias("f")).select("id", "f.kind", F.explode("f.values").alias("value")).withColumn("value", F.trim("value"))
     return each.groupBy("id", "kind", "value").agg(F.count("*").alias("n"))
 
 

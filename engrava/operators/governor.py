@@ -105,7 +105,7 @@ def governed(rows: DataFrame, most: int = 10, captured: bool = False) -> DataFra
     limits = {"least_object": 6} if captured else {}
     live = rows.where(~is_noise(F.col("subject"), F.col("predicate"), F.col("object"), captured=captured, **limits))
     key = [F.lower(F.trim(c)).alias(f"_{c}") for c in ("subject", "predicate", "object")]
-    score = quality(*(F.col(c) for c in ("confidence", "fact_type", "subject", "predicate", "object", "method")))
+    score = F.round(quality(*(F.col(c) for c in ("confidence", "fact_type", "subject", "predicate", "object", "method"))), 9)  # sums that differ in their last bits only are equal
     best = live.groupBy("memory_id", *key).agg(F.min_by(F.struct("id", score.alias("q")), F.struct(-F.col("confidence"), F.col("id"))).alias("b"))
     ranked = best.select("b.id", "memory_id", F.row_number().over(Window.partitionBy("memory_id").orderBy(F.desc("b.q"), "b.id")).alias("rank"))
     return ranked.where(F.col("rank") <= most) if most else ranked

@@ -532,7 +532,7 @@ def _said(s, d):
     return V.memories(s, d).select("id", F.concat("content", F.lit("\n"), extra).alias("content"))
 
 
-@_query("regex_facts", " UNION ALL ".join(f"SELECT id, '{k}' AS kind, v AS value, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(content, '{p}', 1)) AS v FROM said) GROUP BY id, v" for k, p in extraction.PATTERNS.items()), _CONTACTS)
+@_query("regex_facts", " UNION ALL ".join(f"SELECT id, '{k}' AS kind, v AS value, count(*) AS n FROM (SELECT id, trim(v) AS v FROM (SELECT id, unnest(regexp_extract_all(content, '{p}', 1)) AS v FROM said)) GROUP BY id, v" for k, p in extraction.PATTERNS.items()), _CONTACTS)
 def _(s, d):
     return extraction.regex_facts(_said(s, d))
 
