@@ -35,7 +35,11 @@ def normal_object(value: Column) -> Column:
 
 def object_similarity(a: Column, b: Column) -> Column:
     """The larger of token Jaccard and normalised Levenshtein of the normal forms; 1 if these are equal, 0 if either is empty."""
-    x, y = normal_object(a), normal_object(b)
+    return normal_similarity(normal_object(a), normal_object(b))
+
+
+def normal_similarity(x: Column, y: Column) -> Column:
+    """``object_similarity`` of normal forms."""
     p, q = F.array_distinct(F.split(x, " ")), F.array_distinct(F.split(y, " "))
     jaccard = F.size(F.array_intersect(p, q)) / F.size(F.array_union(p, q))
     edit = 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y))

@@ -86,7 +86,8 @@ def paragraphs(rows: DataFrame) -> DataFrame:
 def where(rows: DataFrame, clauses: list[str]) -> DataFrame:
     """Rows that meet all clauses of the small predicate language: ``= != > < >= <=``, ``~`` (contains), ``exists(field)``.
 
-    Numbers compare as numbers, all else as trimmed lower-case text; a clause on an unknown field holds for no row.
+    Numbers compare as numbers, all else as trimmed lower-case text; a clause on an unknown field holds for no row,
+    nor does one that compares numbers with what is none.
     """
     for clause in clauses:
         rows = rows.where(_clause(rows, clause))
@@ -110,7 +111,10 @@ def _clause(rows: DataFrame, clause: str) -> Column:
     if op == "~":
         return F.contains(F.lower(F.col(name).cast("string")), F.lit(value.lower()))
     if kind in ("bigint", "int", "double", "float"):
-        left, right = F.col(name).cast("double"), F.lit(float(value))
+        try:
+            left, right = F.col(name).cast("double"), F.lit(float(value))
+        except ValueError:
+            return F.lit(False)
     else:
         left, right = F.lower(F.trim(F.col(name).cast("string"))), F.lit(value.lower())
     return {"=": left == right, "!=": left != right, ">": left > right, "<": left < right, ">=": left >= right, "<=": left <= right}[op]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engrava.plans import ranks
 from engrava.plans.storage import materialize
 
 #: What each memory class multiplies a score by, and each tier of source.
@@ -41,15 +42,16 @@ def cosine_top(vectors: DataFrame, query_id: int, k: int = 10, least: float = 0.
     return scored.where(F.col("cosine") >= least).withColumn("cosine", F.round("cosine", 6)).orderBy(F.desc("cosine"), "memory_id").limit(k)
 
 
-def rank_fusion(channels: list[tuple[DataFrame, float]], k: int = 60, most: int = 1000) -> DataFrame:
+def rank_fusion(channels: list[tuple[DataFrame, float]], k: int = 60, most: int | None = None) -> DataFrame:
     """Reciprocal rank fusion of ``(id, score)`` rankings: the sum of weight over k + rank; who is missing from a channel ranks after its last.
 
-    A channel is a list of its ``most`` best results. Each is made once, and what is fused are these lists.
+    A channel is a list of results, of its ``most`` best if that is given. Each is made once, and what is fused are these lists.
     """
     parts, fused = [], None
     for rows, _ in channels:
-        top = materialize(rows.orderBy(F.desc("score"), "id").limit(most).select("id", "score"), "channel")
-        parts.append(top.select("id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank")))
+        rows = rows.select("id", "score")
+        top = ranks.numbered(rows.orderBy(F.desc("score"), "id").limit(most) if most else rows, "rank", [F.desc("score"), F.col("id")])
+        parts.append(top.select("id", (F.col("rank") + 1).alias("rank")))
         fused = parts[-1].select("id") if fused is None else fused.union(parts[-1].select("id"))
     fused, total = fused.distinct(), F.lit(0.0)
     for n, p in enumerate(parts):
@@ -81,9 +83,11 @@ def class_boost(memory_class: Column) -> Column:
 
 
 def recency_boost(at: Column, as_of: Column) -> Column:
-    """1.10 for today, 1.05 for the last week, 1.02 for the last month, else 1."""
-    days = F.datediff(as_of, at)
-    return F.when(days < 1, 1.10).when(days < 7, 1.05).when(days < 30, 1.02).otherwise(1.0)
+    """1.10 for the day of ``as_of`` and later, 1.05 after the same hour of midnight a week before, 1.02 after that of the same day of the month before (which runs on into the next
+    month where it has no such day), else 1; 1 for a null time."""
+    today = F.date_trunc("day", as_of)
+    month = F.date_add(F.trunc(F.add_months(today, -1), "month"), F.dayofmonth(today) - 1)
+    return F.when(at >= today, 1.10).when(at > F.date_sub(today, 7).cast("timestamp_ntz"), 1.05).when(at > month.cast("timestamp_ntz"), 1.02).otherwise(1.0)
 
 
 def memory_confidence(facts: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engrava.functions import text as T
+from engrava.plans import ranks
 
 
 def added(table: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -50,10 +51,10 @@ def deleted_by(table: DataFrame, column: str, values: DataFrame) -> DataFrame:
 
 
 def numbered(table: DataFrame, new: DataFrame, id_: str = "id") -> DataFrame:
-    """The table and new rows (events, ledger entries, accesses) with ids after its highest, in the order in which they lie."""
+    """The table and new rows (events, ledger entries, accesses) with the ids after its highest, without a gap, in the order in which they lie."""
     highest = table.agg(F.coalesce(F.max(id_), F.lit(0)).alias("_max"))
-    rows = new.withColumn("_n", F.monotonically_increasing_id()).crossJoin(F.broadcast(highest))
-    return table.unionByName(rows.withColumn(id_, (F.col("_max") + 1 + F.col("_n")).cast("long")).select(*table.columns))
+    rows = ranks.numbered(new, "_place").crossJoin(F.broadcast(highest))
+    return table.unionByName(rows.withColumn(id_, (F.col("_max") + 1 + F.col("_place")).cast("long")).select(*table.columns))
 
 
 def counted(counters: DataFrame, deltas: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,22 +55,26 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    if len(_blocks) > keep:
-        _blocks[-1 - keep].append(path)
+    blocks = _blocks.get()
+    if len(blocks) > keep:
+        blocks[-1 - keep].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_blocks: list[list[str]] = []
+#: Paths of the open blocks, innermost last, of the thread or task that opened them: another's tables never go with them.
+_blocks: ContextVar[tuple[list[str], ...]] = ContextVar("blocks", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that are materialised in this block are deleted at its end. What outlives the block must be materialised with ``keep`` in it, and read nothing else of it."""
-    _blocks.append([])
+    paths: list[str] = []
+    token = _blocks.set((*_blocks.get(), paths))
     try:
         yield
     finally:
-        for path in _blocks.pop():
+        _blocks.reset(token)
+        for path in paths:
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 

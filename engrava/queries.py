@@ -66,10 +66,6 @@ def _(s, d):
     return admission.similar_objects(rows).select("loser_id", "winner_id", F.round("similarity", 9).alias("similarity"))
 
 
-def _(s, d):
-    return admission.similar_objects(V.facts(s, d))
-
-
 @_query("storable_facts", "SELECT id FROM facts WHERE lower(subject) NOT IN ('customer#000000001', 'it') AND NOT regexp_matches(object, '^[0-9.]+$')")
 def _(s, d):
     return admission.storable(V.facts(s, d), ["customer#000000001", "it"]).select("id")
@@ -482,9 +478,9 @@ def _(s, d):
     return V.memories(s, d).select("id", retrieval.class_boost(F.col("memory_class")).alias("boost"))
 
 
-@_query("recency_boost", "SELECT id, CAST(CASE WHEN d < 1 THEN 1.10 WHEN d < 7 THEN 1.05 WHEN d < 30 THEN 1.02 ELSE 1.0 END AS DOUBLE) AS boost FROM (SELECT id, date_diff('day', CAST(imported_at AS DATE), DATE '2024-01-28') AS d FROM memories)")
+@_query("recency_boost", "SELECT id, CAST(CASE WHEN imported_at >= TIMESTAMP '2024-01-28' THEN 1.10 WHEN imported_at > TIMESTAMP '2024-01-21' THEN 1.05 WHEN imported_at > TIMESTAMP '2023-12-28' THEN 1.02 ELSE 1.0 END AS DOUBLE) AS boost FROM memories")
 def _(s, d):
-    return V.memories(s, d).select("id", retrieval.recency_boost(F.col("imported_at"), F.lit("2024-01-28").cast("date")).cast("double").alias("boost"))
+    return V.memories(s, d).select("id", retrieval.recency_boost(F.col("imported_at"), F.lit("2024-01-28 11:00:00").cast("timestamp_ntz")).cast("double").alias("boost"))
 
 
 @_query("memory_confidence", f"SELECT memory_id, round(avg(confidence), 6) AS confidence, round(avg(effective), 6) AS effective FROM aged WHERE {_ACTIVE} GROUP BY 1", _AGED)
@@ -516,10 +512,6 @@ def _(s, d):
     return retrieval.watch_matches(V.memories(s, d), [(1, "the and of zzz"), (2, "le la de")], 0.7)
 
 
-def _(s, d):
-    return retrieval.watch_matches(V.memories(s, d), [(1, "the and of zzz"), (2, "le la de")], 0.7)
-
-
 # Extraction and chunking
 
 
@@ -891,4 +883,4 @@ def _(s, d):
     return recall.normalize_chunks(V.memories(s, d).select(F.col("id").cast("string").alias("path"), "content"))
 
 
-from engrava import queries_search, queries_store, queries_text  # noqa: E402, F401
+from engrava import queries_index, queries_search, queries_store, queries_text  # noqa: E402, F401

@@ -149,7 +149,7 @@ def _(s, d):
 @query("log_events", "SELECT id, agent_id FROM accesses UNION ALL SELECT (SELECT max(id) FROM accesses) + row_number() OVER (ORDER BY id), 'new' FROM accesses WHERE id % 100 = 0")
 def _(s, d):
     rows = V.accesses(s, d).select("id", "agent_id")
-    return writes.numbered(rows, rows.where("id % 100 = 0").coalesce(1).select(F.lit("new").alias("agent_id")))
+    return writes.numbered(rows, rows.where("id % 100 = 0").select(F.lit("new").alias("agent_id")))
 
 
 @query("count_denied", "SELECT agent_id AS key, CAST(count(*) AS BIGINT) AS value FROM accesses GROUP BY 1 UNION ALL SELECT 'denied', 3")
