@@ -140,10 +140,11 @@ class LanguageModel:
 def fit_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel | None:
     """Fit on at most ``per_language`` texts of each language, of documents outside the held-out fold; None if there are none.
 
-    Rows with a null doc_id, lang or text, or without a letter, teach nothing; repeated rows count as they come. The driver gets the sample's texts only.
+    Rows with a null doc_id, lang or text, or without a letter, teach nothing; of several rows of a doc_id in a language the least text counts. Languages are the ``VALUES``
+    commonest at most. The driver gets the sample's texts only, ``SAMPLE_BYTES`` at most.
     """
     rows = docs.where((fold("doc_id", 3) != 1) & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").isNotNull())
-    found = [(r.text, r.lang) for r in bounded_sample(rows.select("doc_id", "lang", "text"), "lang", "doc_id", per_language).collect() if _letter(r.text)]
+    found = [(r.text, r.lang) for r in bounded_sample(rows.select("doc_id", "lang", "text"), "lang", "doc_id", per_language, "text").collect() if _letter(r.text)]
     return LanguageModel(*map(list, zip(*sorted(found, key=lambda x: (x[1], x[0]))))) if found else None
 
 

@@ -146,14 +146,15 @@ class ByteNetwork:
 def fit_quality(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> ByteNetwork | None:
     """Fit on at most ``per_label`` texts of each label, of documents outside the held-out fold; None if there are none.
 
-    Null labels and doc_ids teach nothing; of several labels of a document the lowest counts. The sample is even in its labels; the
-    bias is then moved to the labels' true odds, so that scores are probabilities. The driver gets the sample's texts only.
+    Null labels and doc_ids teach nothing; of several labels of a document the lowest counts, of several rows of a doc_id the least text. The sample is even in its
+    labels; the bias is then moved to the labels' true odds, so that scores are probabilities. The driver gets the sample's texts only, ``SAMPLE_BYTES`` at most.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").where(fold("doc_id", 5) != 0)
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     odds = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     chosen = bounded_sample(known, "quality", "doc_id", per_label)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").collect()  # at most per_label rows of each label
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # at most per_label of each label
+    rows = bounded_sample(texts, "quality", "doc_id", per_label, "text").select("doc_id", "text", "quality").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r.doc_id, r.text or ""))

@@ -1,11 +1,12 @@
 """Quality rules, by document and by host.
 
 Each document is held against fixed rules on its whole text: base rules, which it must pass, and soft ones. Failures of either are added up
-by host, and hosts' failure rates are shrunk towards all hosts' with a beta prior fitted to them. The shrunk rate gives the host's verdict:
+by host, and hosts' failure rates are shrunk towards all hosts' with a beta prior fitted to them. A host's verdict rests on its posterior: its shrunk rate, and the
+probability ``worse`` that its rate is over the pooled one (the posterior's tail, in the logistic form of the normal one).
 
-- ``condemned``, if it is over ``HOST_RATE`` and the pooled rate: all its documents go;
-- ``trusted``, if it is under the pooled rate by more than ``BETTER`` standard deviations of the prior: its documents are excused the soft rules;
-- else ``ordinary``: its documents must pass the soft rules, too.
+- A host is condemned if its rate is over ``HOST_RATE`` and it is worse with a probability of ``SURE``: all its documents go.
+- Else its documents must pass the soft rules as strictly as the host calls for: their limits are multiplied by ``LEEWAY`` to the power 1 - 2 ``worse``, so that documents of the
+  worst hosts must keep to 4/5 of the limits, those of the best to 5/4, and those of hosts like all others to the limits themselves.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 from engrava.llm.workers import tidied
 from engrava.plans.storage import join_small, materialize
 
-HOST_RATE, BETTER = 0.5, 1.0
+HOST_RATE, SURE, LEEWAY = 0.5, 0.95, 1.25
+#: Hosts are never taken to be more alike than this part of the variance of a rate; 1.702 makes the logistic curve that of the normal distribution.
+ALIKE, LOGISTIC = 1e-3, 1.702
 _words = re.compile("[^\x20\x09-\x0d]+").findall
 _word = re.compile("[^\x20\x09-\x0d]").search
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -74,35 +77,36 @@ def text_counts(text: Column) -> Column:
 
 #: The base rules, and the soft ones.
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
-SOFT_FAILED = "10 * n_symbols > n_words OR 2 * n_dup_lines > n_words OR word_chars > 12 * n_words OR word_chars < 2 * n_words"
+SOFT_FAILED = "10 * n_symbols > {0} * n_words OR 2 * n_dup_lines > {0} * n_words OR word_chars > 12 * {0} * n_words OR word_chars * {0} < 2 * n_words"
 
 
 def host_rates(counted: DataFrame, host: str = "host") -> DataFrame:
-    """``host, n_docs, n_failed, rate, verdict`` of rows with a boolean ``failed``; ``rate`` is the posterior mean under a beta prior with the hosts'
-    pooled mean and, from the moments of the beta-binomial, their spread. Hosts that differ no more than chance are all given the pooled
-    mean, nearly. A null host is one host."""
+    """``host, n_docs, n_failed, rate, worse, factor, condemned`` of rows with a boolean ``failed``; ``rate`` is the posterior mean under a beta prior with the hosts'
+    pooled mean and, from the moments of the beta-binomial, their spread; ``factor`` is what the limits of the soft rules are multiplied by. A null host is one host."""
     hosts = materialize(counted.groupBy(host).agg(F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed")), "hosts")
     total = hosts.agg(F.sum("n_docs").alias("n"), F.count("*").alias("h"), (F.sum("n_failed") / F.sum("n_docs")).alias("m"), F.sum(F.col("n_docs").cast("double") * F.col("n_docs")).alias("sq"), F.sum(F.col("n_failed").cast("double") * F.col("n_failed") / F.col("n_docs")).alias("sk"))
     spread = F.expr("(sk - n * m * m - m * (1 - m) * (h - 1)) / (m * (1 - m) * (n - sq / n - (h - 1)))")
-    rho = F.least(F.greatest(F.coalesce(F.when(F.expr("m > 0 and m < 1 and n - sq / n > h - 1"), spread), F.lit(1e-6)), F.lit(1e-6)), F.lit(0.999))
+    rho = F.least(F.greatest(F.coalesce(F.when(F.expr("m > 0 and m < 1 and n - sq / n > h - 1"), spread), F.lit(ALIKE)), F.lit(ALIKE)), F.lit(0.999))
     prior = total.select("m", (1 / rho - 1).alias("weight"))  # one row
-    rated = hosts.crossJoin(F.broadcast(prior)).select(host, "n_docs", "n_failed", "m", F.expr("sqrt(m * (1 - m) / (weight + 1))").alias("sd"), F.expr("(n_failed + weight * m) / (n_docs + weight)").alias("rate"))
-    verdict = F.expr(f"CASE WHEN rate > greatest({HOST_RATE}D, m) THEN 'condemned' WHEN rate < m - {BETTER}D * sd THEN 'trusted' ELSE 'ordinary' END")
-    return rated.select(host, "n_docs", "n_failed", "rate", verdict.alias("verdict"))
+    rated = hosts.crossJoin(F.broadcast(prior)).select(host, "n_docs", "n_failed", "m", "weight", F.expr("(n_failed + weight * m) / (n_docs + weight)").alias("rate"))
+    worse = F.expr(f"CASE WHEN rate > 0 AND rate < 1 THEN 1 / (1 + exp(-{LOGISTIC}D * (rate - m) / sqrt(rate * (1 - rate) / (n_docs + weight + 1)))) ELSE 0.5D END")
+    rated = rated.withColumn("worse", F.round(worse, 9))
+    return rated.select(host, "n_docs", "n_failed", "rate", "worse", F.expr(f"pow({LEEWAY}D, 1 - 2 * worse)").alias("factor"), F.expr(f"rate > {HOST_RATE}D AND worse >= {SURE}D").alias("condemned"))
 
 
 def judge_documents(docs: DataFrame, host: str = "source") -> DataFrame:
-    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host, host_rate, host_verdict, kept``, one row per row.
+    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, soft_failed, host, host_rate, host_worse, host_condemned, kept``, one row per row.
 
     Texts are read once, where they lie; only counts are shuffled, added up by host before. Null and empty texts have no words and fail;
-    an empty table gives no rows; extra columns are ignored.
+    texts of any length are read whole; an empty table gives no rows; extra columns are ignored. ``soft_failed`` is by the limits that the host calls for.
     """
     c = docs.select("doc_id", F.col(host).alias("host"), text_counts(F.col("text")).alias("c")).select("doc_id", "host", *(f"c.{x}" for x in COUNTS))
-    counted = materialize(c.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("soft_failed", F.expr(SOFT_FAILED)).withColumn("failed", F.expr("base_failed OR soft_failed")), "counted")
-    rates = materialize(host_rates(counted).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"), F.col("verdict").alias("host_verdict")), "rates")
+    counted = materialize(c.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("soft_failed", F.expr(SOFT_FAILED.format("1"))).withColumn("failed", F.expr("base_failed OR soft_failed")), "counted")
+    rates = materialize(host_rates(counted).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"), F.col("worse").alias("host_worse"), "factor", F.col("condemned").alias("host_condemned")), "rates")
     judged = join_small(counted, rates, F.col("host").eqNullSafe(F.col("_host")))
-    kept = F.expr("NOT base_failed AND host_verdict <> 'condemned' AND (NOT soft_failed OR host_verdict = 'trusted')")
-    return judged.select("doc_id", *COUNTS, "base_failed", "soft_failed", "host", "host_rate", "host_verdict", kept.alias("kept"))
+    judged = judged.withColumn("soft_failed", F.expr(SOFT_FAILED.format("factor")))
+    kept = F.expr("NOT base_failed AND NOT host_condemned AND NOT soft_failed")
+    return judged.select("doc_id", *COUNTS, "base_failed", "soft_failed", "host", "host_rate", "host_worse", "host_condemned", kept.alias("kept"))
 
 
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,9 +129,11 @@ soft AS (SELECT *, 10 * n_symbols > n_words OR 2 * n_dup_lines > n_words OR word
 failing AS (SELECT *, base_failed OR soft_failed AS failed FROM soft),
 hosts AS (SELECT source, count(*) AS n, sum(CAST(failed AS INT)) AS k FROM failing GROUP BY source),
 total AS (SELECT sum(n) AS n, count(*) AS h, sum(k) / sum(n) AS m, sum(n::DOUBLE * n) AS sq, sum(k::DOUBLE * k / n) AS sk FROM hosts),
-prior AS (SELECT m, 1 / least(greatest(coalesce(CASE WHEN m > 0 AND m < 1 AND n - sq / n > h - 1 THEN (sk - n * m * m - m * (1 - m) * (h - 1)) / (m * (1 - m) * (n - sq / n - (h - 1))) END, 1e-6), 1e-6), 0.999) - 1 AS weight FROM total),
-rated AS (SELECT source, m, sqrt(m * (1 - m) / (weight + 1)) AS sd, (k + weight * m) / (n + weight) AS rate FROM hosts CROSS JOIN prior)
+prior AS (SELECT m, 1 / least(greatest(coalesce(CASE WHEN m > 0 AND m < 1 AND n - sq / n > h - 1 THEN (sk - n * m * m - m * (1 - m) * (h - 1)) / (m * (1 - m) * (n - sq / n - (h - 1))) END, 1e-3), 1e-3), 0.999) - 1 AS weight FROM total),
+rated AS (SELECT source, n, m, weight, (k + weight * m) / (n + weight) AS rate FROM hosts CROSS JOIN prior),
+tails AS (SELECT source, rate, round(CASE WHEN rate > 0 AND rate < 1 THEN 1 / (1 + exp(-1.702 * (rate - m) / sqrt(rate * (1 - rate) / (n + weight + 1)))) ELSE 0.5 END, 9) AS worse FROM rated),
+limits AS (SELECT source, rate, worse, pow(1.25::DOUBLE, 1 - 2 * worse) AS f FROM tails)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND rate <= greatest(0.5, m) AND (NOT soft_failed OR rate < m - sd) AS kept
-FROM failing JOIN rated ON failing.source IS NOT DISTINCT FROM rated.source
+  NOT base_failed AND NOT (rate > 0.5 AND worse >= 0.95) AND NOT (10 * n_symbols > f * n_words OR 2 * n_dup_lines > f * n_words OR word_chars > 12 * f * n_words OR word_chars * f < 2 * n_words) AS kept
+FROM failing JOIN limits ON failing.source IS NOT DISTINCT FROM limits.source
 """
