@@ -5,6 +5,8 @@ Each view is one projection, so filters and column choices on it still reach the
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,5 +94,6 @@ edges AS MATERIALIZED (SELECT fact_id_a AS source_fact_id, fact_id_b AS target_f
 
 
 def sql(query: str, extra: str = "") -> str:
-    """A DuckDB query over the views; ``extra`` has further expressions."""
-    return f"WITH {SQL_VIEWS.strip()}{', ' + extra.strip() if extra else ''}\n{query.strip()}"
+    """A DuckDB query over the views; ``extra`` has further expressions. One with a list of columns may refer to itself."""
+    recursive = "RECURSIVE " if re.search(r"\w+\([\w, ]+\) AS \(", extra) else ""
+    return f"WITH {recursive}{SQL_VIEWS.strip()}{', ' + extra.strip() if extra else ''}\n{query.strip()}"

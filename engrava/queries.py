@@ -407,7 +407,7 @@ def _(s, d):
     return graph.degrees(V.edges(s, d))
 
 
-@_query("induced_edges", "SELECT source_fact_id, target_fact_id FROM edges WHERE source_fact_id IN (SELECT node FROM reached) AND target_fact_id IN (SELECT node FROM reached)", _REACHED)
+@_query("induced_edges", "SELECT source_fact_id, target_fact_id FROM reached x JOIN edges ON source_fact_id = x.node JOIN reached y ON target_fact_id = y.node", _REACHED)
 def _(s, d):
     e = V.edges(s, d)
     return graph.induced_edges(e, graph.traverse(e, _start(e), 2, 0.4)).select("source_fact_id", "target_fact_id")
@@ -883,4 +883,4 @@ def _(s, d):
     return recall.normalize_chunks(V.memories(s, d).select(F.col("id").cast("string").alias("path"), "content"))
 
 
-from engrava import queries_index, queries_search, queries_store, queries_text  # noqa: E402, F401
+from engrava import queries_channels, queries_context, queries_index, queries_search, queries_store, queries_text  # noqa: E402, F401
