@@ -6,6 +6,7 @@ themselves only for phrases and for the substring search that follows when no te
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from typing import NamedTuple
@@ -58,18 +59,31 @@ def parse(query: str) -> Query:
     return Query(list(dict.fromkeys(w for w in must if len(w) > 1)), [p for p in phrases if p], list(dict.fromkeys(without)), list(dict.fromkeys(prefixes)))
 
 
-def index(rows: DataFrame, buckets: int = 64, files: int = 16) -> Index:
+#: Texts for each bucket of terms, and the most buckets.
+TEXTS, BUCKETS = 20_000, 1024
+
+
+def buckets_for(texts: int) -> int:
+    """A power of two that grows with the corpus, 16 at least."""
+    return min(BUCKETS, max(16, 1 << math.ceil(math.log2(max(1, texts / TEXTS)))))
+
+
+def index(rows: DataFrame, buckets: int | None = None, files: int | None = None) -> Index:
     """Postings of ``id, content``. A text's tokens are made once; its postings are counted with partial sums and written in folders by bucket, each in as many
-    files, so that a term of a third of all texts is no task's alone. Both numbers should grow with the corpus."""
+    files, so that a term of a third of all texts is no task's alone. Both numbers grow with the corpus unless they are given."""
     spark = rows.sparkSession
+    buckets = buckets or buckets_for(rows.count())
+    files = files or buckets
     words = rows.select("id", T.tokens(F.col("content")).alias("w"))
     counted = words.select("id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
     path = fresh_path(spark, "postings")
     counted.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")).repartition("bucket", F.pmod(F.col("id"), F.lit(files))).write.partitionBy("bucket").parquet(path)
-    sizes = fresh_path(spark, "postings-totals")
-    words.agg(F.count("*").alias("docs"), F.avg(F.size("w")).alias("average")).write.parquet(sizes)
     schema = counted.select("id", "term", "length", "tf").schema.add("bucket", IntegerType())
-    return Index(spark.read.schema(schema).parquet(path), spark.read.schema("docs long, average double").parquet(sizes), buckets)
+    postings = spark.read.schema(schema).parquet(path)
+    sizes = fresh_path(spark, "postings-totals")
+    docs = rows.agg(F.count("*").alias("docs"))  # texts aren't split again: their lengths are the sums of their terms
+    postings.agg(F.sum("tf").alias("words")).crossJoin(F.broadcast(docs)).select("docs", F.when(F.col("docs") > 0, F.coalesce("words", F.lit(0)) / F.col("docs")).alias("average")).write.parquet(sizes)
+    return Index(postings, spark.read.schema("docs long, average double").parquet(sizes), buckets)
 
 
 def _scores(found: Index, terms: list[str], prefixes: list[str]) -> DataFrame:

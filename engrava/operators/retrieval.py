@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engrava.plans import ranks
-from engrava.plans.storage import materialize
+from engrava.plans.storage import join_small, materialize
 
 #: What each memory class multiplies a score by, and each tier of source.
 CLASS_BOOST = {"rule": 1.30, "decision": 1.25, "preference": 1.20, "identity": 1.15, "status": 1.0, "scratch": 0.90}
@@ -95,9 +95,10 @@ def memory_confidence(facts: DataFrame) -> DataFrame:
     return facts.groupBy("memory_id").agg(F.round(F.avg("confidence"), 6).alias("confidence"), F.round(F.avg("effective"), 6).alias("effective"))
 
 
-def budget_prefix(ranked: DataFrame, budget: int) -> DataFrame:
-    """The longest prefix of a ranked top-k list whose tokens stay within the budget."""
-    used = F.sum("tokens").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+def budget_prefix(ranked: DataFrame, budget: int, by: str = "query_id") -> DataFrame:
+    """The longest prefix of each query's ranked list whose tokens stay within the budget; one list if there is no such column."""
+    lists = Window.partitionBy(by) if by in ranked.columns else Window.partitionBy(F.lit(1))
+    used = F.sum("tokens").over(lists.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     return ranked.withColumn("used", used).where(F.col("used") <= budget)
 
 
@@ -111,8 +112,55 @@ def watch_score(content: Column, query: Column) -> Column:
     return F.when(held > 0, F.least(F.lit(1.0), share + F.when(F.contains(text, phrase), 0.2).otherwise(0.0))).otherwise(0.0)
 
 
-def watch_matches(rows: DataFrame, watches: list[tuple[int, str]], threshold: float) -> DataFrame:
-    """``watch_id, id, score``: which standing queries each new memory meets."""
-    table = rows.sparkSession.createDataFrame(watches, "watch_id long, query string")
-    scored = rows.select("id", "content").crossJoin(F.broadcast(table)).select("watch_id", "id", F.round(watch_score(F.col("content"), F.col("query")), 6).alias("score"))
-    return scored.where(F.col("score") >= threshold)
+def _grams(letters: str, n: int) -> Column:
+    """All runs of ``n`` letters of a text whose letters are a column: an expression there would be worked out anew for every run."""
+    at = F.sequence(F.lit(0), F.size(letters) - n)
+    return F.when(F.size(letters) >= n, F.transform(at, lambda k: F.concat(*[F.get(letters, k + i) for i in range(n)]))).otherwise(F.array().cast("array<string>"))
+
+
+def watch_index(watches: DataFrame, threshold: float, texts: DataFrame | None = None) -> DataFrame:
+    """``watch_id, query, gram``: runs of up to three letters of which a text must hold one to meet a watch (``watch_id, query``) by ``threshold``.
+
+    A text that meets it holds so many of its terms that it holds one of any few of them; of these, the rarest, each is told by its rarest run. How rare runs are is told by the
+    watches, and by ``texts`` (``content``) if they are given, one in 64; whatever they say, nothing is missed.
+    """
+    if threshold <= 0:
+        raise ValueError("every text meets every watch")
+    terms = F.filter(F.split(F.lower("query"), r"\s+"), lambda t: t != "")
+    each = watches.select("watch_id", "query", terms.alias("terms")).where(F.size("terms") > 0)
+    least = F.greatest(F.lit(1), F.ceil((threshold - 0.2 - 1e-6) / 1.5 * F.size("terms")))
+    each = each.select("watch_id", "query", (F.size("terms") - least + 1).alias("keep"), F.posexplode("terms").alias("at", "term"))
+    letters = F.filter(F.split("term", ""), lambda c: c != "")
+    size = F.least(F.lit(3), F.size("letters"))
+    grams = each.withColumn("letters", letters).withColumn("grams", F.when(size == 3, _grams("letters", 3)).when(size == 2, _grams("letters", 2)).otherwise(F.col("letters")))
+    grams = materialize(grams.select("watch_id", "query", "keep", "at", F.explode(F.array_distinct("grams")).alias("gram")), "watch-grams")
+    seen = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    if texts is not None:
+        some = _text_grams(texts.where(F.pmod(F.xxhash64("content"), F.lit(64)) == 0).select(F.lit(0).alias("id"), "content"), [1, 2, 3]).select("gram")
+        seen = seen.select("gram", F.lit(0).alias("n")).unionByName(join_small(some, grams.select("gram").distinct(), "gram", "left_semi").withColumn("n", F.lit(1))).groupBy("gram").agg(F.sum("n").alias("n"))
+    rarest = grams.join(seen, "gram").groupBy("watch_id", "query", "keep", "at").agg(F.min(F.struct("n", F.negative(F.length("gram")).alias("short"), "gram")).alias("best"))
+    rank = F.row_number().over(Window.partitionBy("watch_id").orderBy("best", "at"))
+    return rarest.withColumn("rank", rank).where(F.col("rank") <= F.col("keep")).select("watch_id", "query", F.col("best.gram").alias("gram")).distinct()
+
+
+def _text_grams(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """``id, gram``: the distinct runs of letters of each text (``id, content``), of some sizes."""
+    letters = rows.select("id", F.filter(F.split(F.lower("content"), ""), lambda c: c != "").alias("letters"))
+    return letters.select("id", F.explode(F.array_distinct(F.flatten(F.array(*[_grams("letters", n) for n in sizes])))).alias("gram"))
+
+
+def watch_matches(rows: DataFrame, watches: DataFrame | list[tuple[int, str]], threshold: float) -> DataFrame:
+    """``watch_id, id, score``: which standing queries (``watch_id, query``) each new memory (``id, content``) meets.
+
+    A memory is held against those watches only of which it has a rare run of letters (``watch_index``), which is broadcast if it is small.
+    """
+    spark = rows.sparkSession
+    table = watches if isinstance(watches, DataFrame) else spark.createDataFrame(watches, "watch_id long, query string")
+    index = materialize(watch_index(table, threshold, rows), "watch-index")
+    sizes = sorted(r.n for r in index.select(F.length("gram").alias("n")).distinct().collect())  # 1, 2, 3
+    if not sizes:
+        return spark.createDataFrame([], "watch_id long, id long, score double")
+    held = _text_grams(rows.select("id", "content"), sizes)
+    met = join_small(held, index.select("gram", "watch_id"), "gram", "inner").select("id", "watch_id").distinct()
+    scored = met.join(rows.select("id", "content"), "id").join(table.select("watch_id", "query"), "watch_id")
+    return scored.select("watch_id", "id", F.round(watch_score(F.col("content"), F.col("query")), 6).alias("score")).where(F.col("score") >= threshold)

@@ -13,19 +13,11 @@ from pyspark.sql import functions as F
 
 from engrava.functions import text as T
 from engrava.operators import keyword, vectors
+from engrava.operators.keyword import buckets_for
 from engrava.plans import versions
 from engrava.plans.storage import materialize, scratch
 from engrava.plans.versions import Version
 
-#: Texts for each bucket of terms, and the most buckets; rewritten at a compaction as the index has grown.
-TEXTS, BUCKETS = 20_000, 1024
-
-
-def buckets_for(texts: int) -> int:
-    """A power of two, 16 at least."""
-    return min(BUCKETS, max(16, 1 << math.ceil(math.log2(max(1, texts / TEXTS)))))
-
-
 def _replaced(spark: SparkSession, old: Version, ids: DataFrame) -> DataFrame:
     """``id`` of those that the index holds."""
     held = versions.live(spark, old, "texts")
@@ -71,7 +63,7 @@ def open_keyword(spark: SparkSession, path: str, number: int | None = None) -> k
 
 
 def compact_keyword(spark: SparkSession, old: Version) -> Version:
-    """One segment of the live rows, in as many buckets as their number asks for."""
+    """One segment of the live rows, in as many buckets as their number now asks for."""
     texts, postings = versions.live(spark, old, "texts"), versions.live(spark, old, "postings")
     if texts is None:
         return old

@@ -123,3 +123,20 @@ def test_exploration_with_a_hub(spark):
     assert {tuple(r) for r in between.select("root", "source_fact_id", "target_fact_id", "edge_type", "confidence").collect()} == edges_want
     named = {r.subject for r in context.connected_subjects(nodes, f).where(F.col("root") == 1).collect()}
     assert " S0" not in named and named
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.3, 1.0, 0.05])
+def test_watches_by_their_index(spark, threshold):
+    from engrava.operators import retrieval
+
+    rng = random.Random(11)
+    words = ["alpha", "Beta", "é", "ab", "gam", "xyz", "the", "aaaa", "q"]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 8))) if k else None) for k in range(60)]
+    watches = [(k, " ".join(rng.choice([*words, "zzz", "lph", "ta x"]) for _ in range(rng.randint(1, 4)))) for k in range(40)] + [(90, ""), (91, "  ")]
+    df, table = spark.createDataFrame(rows, "id long, content string"), spark.createDataFrame(watches, "watch_id long, query string")
+    score = F.round(retrieval.watch_score(F.col("content"), F.col("query")), 6)
+    want = df.crossJoin(table).select("watch_id", "id", score.alias("score")).where(F.col("score") >= threshold)
+    got = retrieval.watch_matches(df, table, threshold)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and not want.isEmpty()
+    plan = got._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
