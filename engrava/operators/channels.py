@@ -110,7 +110,7 @@ def temporal_boost(results: DataFrame, times: DataFrame, queries: DataFrame) ->
     met = overlapping(queries.select(F.col("query_id").alias("id"), "start", "end"), mine).distinct().toDF("query_id", "id").withColumn("_met", F.lit(True))
     joined = results.join(has, results.id == has.memory_id, "left").join(met, ["query_id", "id"], "left").join(queries.select("query_id", F.lit(True).alias("_asks")), "query_id", "left")
     factor = F.when(F.col("named"), 1.08).otherwise(1.0) * F.when(F.col("dated"), 1.05).otherwise(1.0) * F.when(F.col("_met"), 1.20).otherwise(1.0)
-    return joined.withColumn("score", F.round(F.col("score") * F.when(F.col("_asks"), factor).otherwise(1.0), 9)).select(*results.columns)
+    return joined.withColumn("score", F.round(F.col("score") * F.when(F.col("_asks"), factor).otherwise(1.0), 6)).select(*results.columns)
 
 
 def bridge_facts(facts: DataFrame, asked: DataFrame) -> DataFrame:

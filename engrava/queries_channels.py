@@ -73,7 +73,7 @@ def _(s, d):
 
 
 @query("temporal_boost", f"""SELECT query_id, r.id, round(r.score * CASE WHEN EXISTS (SELECT 1 FROM asking q WHERE q.query_id = r.query_id AND q."start" IS NOT NULL) THEN CASE WHEN named THEN 1.08 ELSE 1.0 END * CASE WHEN dated THEN 1.05 ELSE 1.0 END
-  * CASE WHEN EXISTS (SELECT 1 FROM timed t JOIN asking q ON q.query_id = r.query_id AND t."start" <= q."end" AND t."end" >= q."start" WHERE t.memory_id = r.id) THEN 1.2 ELSE 1.0 END ELSE 1.0 END::DOUBLE, 9) AS score
+  * CASE WHEN EXISTS (SELECT 1 FROM timed t JOIN asking q ON q.query_id = r.query_id AND t."start" <= q."end" AND t."end" >= q."start" WHERE t.memory_id = r.id) THEN 1.2 ELSE 1.0 END ELSE 1.0 END::DOUBLE, 6) AS score
   FROM (SELECT o_custkey % 25 AS query_id, o_custkey AS id, max(o_totalprice / 400000.0)::DOUBLE AS score FROM orders GROUP BY 1, 2) r
   JOIN (SELECT memory_id, bool_or("start" IS NOT NULL) AS named, bool_or(anchor IS NOT NULL) AS dated FROM timed GROUP BY 1) m ON m.memory_id = r.id""", _TIMED)
 def _(s, d):
