@@ -149,18 +149,28 @@ def _text_grams(rows: DataFrame, sizes: list[int]) -> DataFrame:
     return letters.select("id", F.explode(F.array_distinct(F.flatten(F.array(*[_grams("letters", n) for n in sizes])))).alias("gram"))
 
 
+#: Runs of letters that a text is searched for one by one.
+FEW_RUNS = 256
+
+
 def watch_matches(rows: DataFrame, watches: DataFrame | list[tuple[int, str]], threshold: float) -> DataFrame:
     """``watch_id, id, score``: which standing queries (``watch_id, query``) each new memory (``id, content``) meets.
 
-    A memory is held against those watches only of which it has a rare run of letters (``watch_index``), which is broadcast if it is small.
+    A memory is held against those watches only of which it has a rare run of letters (``watch_index``). Up to ``FEW_RUNS`` of these are looked for in the text one by one; beyond it
+    the text's own runs are joined with them, broadcast if they are small.
     """
     spark = rows.sparkSession
     table = watches if isinstance(watches, DataFrame) else spark.createDataFrame(watches, "watch_id long, query string")
     index = materialize(watch_index(table, threshold, rows), "watch-index")
-    sizes = sorted(r.n for r in index.select(F.length("gram").alias("n")).distinct().collect())  # 1, 2, 3
-    if not sizes:
+    few = [r.gram for r in index.select("gram").distinct().limit(FEW_RUNS + 1).collect()]
+    if not few:
         return spark.createDataFrame([], "watch_id long, id long, score double")
-    held = _text_grams(rows.select("id", "content"), sizes)
+    if len(few) <= FEW_RUNS:
+        low = rows.select("id", F.lower("content").alias("low"))
+        held = low.select("id", F.explode(F.filter(F.array(*map(F.lit, sorted(few))), lambda g: F.contains(F.col("low"), g))).alias("gram"))
+    else:
+        sizes = sorted(r.n for r in index.select(F.length("gram").alias("n")).distinct().collect())  # 1, 2, 3
+        held = _text_grams(rows.select("id", "content"), sizes)
     met = join_small(held, index.select("gram", "watch_id"), "gram", "inner").select("id", "watch_id").distinct()
     scored = met.join(rows.select("id", "content"), "id").join(table.select("watch_id", "query"), "watch_id")
     return scored.select("watch_id", "id", F.round(watch_score(F.col("content"), F.col("query")), 6).alias("score")).where(F.col("score") >= threshold)

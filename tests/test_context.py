@@ -126,9 +126,11 @@ def test_exploration_with_a_hub(spark):
 
 
 @pytest.mark.parametrize("threshold", [0.7, 0.3, 1.0, 0.05])
-def test_watches_by_their_index(spark, threshold):
+def test_watches_by_their_index(spark, threshold, monkeypatch):
     from engrava.operators import retrieval
 
+    monkeypatch.setattr(retrieval, "FEW_RUNS", 256 if threshold > 0.5 else 2)
+
     rng = random.Random(11)
     words = ["alpha", "Beta", "é", "ab", "gam", "xyz", "the", "aaaa", "q"]
     rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 8))) if k else None) for k in range(60)]
