@@ -31,9 +31,16 @@ SENTENCES = {
 }
 
 
+def _ascii(pattern: str) -> str:
+    """A pattern whose word boundaries and blanks are ASCII's, whatever Java version matches it: Java's own boundary also stands between some marks and letters, and its blanks hold the vertical tab."""
+    word, blank = "[0-9A-Za-z_]", r"\t\n\f\r "
+    edge = f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))"
+    return pattern.replace(r"\b", edge).replace(r"[-.\s]", f"[-.{blank}]").replace(r"\s", f"[{blank}]")
+
+
 def regex_facts(rows: DataFrame) -> DataFrame:
-    """``id, kind, value, n``: every match of each pattern, without blanks at its ends, counted."""
-    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all("content", F.lit(p), 1).alias("values")) for k, p in PATTERNS.items()])
+    """``id, kind, value, n``: every match of each pattern, without blanks at its ends, counted. Words end where ASCII letters, digits and ``_`` do, so a date next to an accented letter is found."""
+    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all("content", F.lit(_ascii(p)), 1).alias("values")) for k, p in PATTERNS.items()])
     each = rows.select("id", F.explode(found).alias("f")).select("id", "f.kind", F.explode("f.values").alias("value")).withColumn("value", F.trim("value"))
     return each.groupBy("id", "kind", "value").agg(F.count("*").alias("n"))
 
