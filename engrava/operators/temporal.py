@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engrava.plans.storage import join_small, materialize
+
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 _NAME = "(" + "|".join(m.capitalize() for m in MONTHS) + ")"
 _ASKS = r"(?i)\b(when|date|dated|day|week|month|year|yesterday|today|tomorrow|last week|next week|last month|next month)\b"
@@ -106,6 +108,13 @@ def normalize(literal: Column, anchor: Column) -> Column:
     return F.coalesce(_cases(pairs), forms[2])
 
 
+def normalized(rows: DataFrame, form: str = "f") -> DataFrame:
+    """``rows`` (``literal, anchor``) with their normal forms. Each distinct pair of texts is read once, however often it comes; a join brings its form to the rows."""
+    keyed = rows.withColumn("_anchor", F.coalesce("anchor", F.lit("")))
+    pairs = materialize(keyed.select("literal", "_anchor").distinct().withColumn(form, normalize(F.col("literal"), F.col("_anchor"))), "time-forms")
+    return join_small(keyed, pairs, ["literal", "_anchor"], "left").select(*rows.columns, form)
+
+
 def summary(form: Column) -> Column:
     """The value, or the range; empty if there is neither."""
     whole = F.when(form["end"].isNotNull() & (form["start"] != form["end"]), F.concat(form["start"], F.lit(".."), form["end"])).otherwise(form["start"])

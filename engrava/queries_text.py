@@ -131,7 +131,7 @@ _LITERALS = f"{D.SQL['literals']}, {_BASE}"
 
 
 def _normal(s, d):
-    return D.literals(s, d).select("id", "literal", temporal.normalize(F.col("literal"), F.col("anchor")).alias("f"))
+    return temporal.normalized(D.literals(s, d)).select("id", "literal", "f")
 
 
 @query("normalized_times", "SELECT id, f[1] AS kind, f[2] AS value, f[3] AS start, f[4] AS stop, f[5] AS precision, f[6] AS resolution FROM forms", _LITERALS)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from engrava.operators import clusters, extraction, meetings, recall, vectors
+from engrava.operators import clusters, extraction, meetings, recall, temporal, vectors
 from engrava.plans import views
 from engrava.queries import QUERIES
 
@@ -112,3 +112,12 @@ def test_search_compares_blocks_and_keeps_ties_by_id(spark):
         got = vectors.search(vectors.index(table, 4, tables=2, bits=1), table, 7, block=block)
         assert {tuple(r) for r in got.collect()} == exact
     assert "CoGroupsInArrow" in got._jdf.queryExecution().toString()
+
+
+def test_each_literal_is_normalized_once(spark):
+    pairs = [("yesterday", "2024-03-31"), ("12 March 2021", None), ("12 March 2021", ""), (None, ""), ("no time", "2024-03-31")]
+    rows = spark.createDataFrame([(k, *pairs[k % 5]) for k in range(50)], "id long, literal string, anchor string")
+    want = {r.id: r.f for r in rows.select("id", temporal.normalize(F.col("literal"), F.col("anchor")).alias("f")).collect()}
+    got = temporal.normalized(rows)
+    assert {r.id: r.f for r in got.collect()} == want and want[0].value == "2024-03-30" and want[1].value == "2021-03-12"
+    assert "regexp_extract" not in got._jdf.queryExecution().optimizedPlan().toString()
