@@ -121,3 +121,16 @@ def test_each_literal_is_normalized_once(spark):
     got = temporal.normalized(rows)
     assert {r.id: r.f for r in got.collect()} == want and want[0].value == "2024-03-30" and want[1].value == "2021-03-12"
     assert "regexp_extract" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_edges_are_found_once_for_all_hops(spark):
+    seen = spark.sparkContext.accumulator(0)
+    table = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0)], "source_fact_id long, target_fact_id long, confidence double").coalesce(1)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    got = recall.spread_activation(table.mapInArrow(count, table.schema), spark.createDataFrame([(1, 1.0)], "node long, activation double"))
+    assert {r.node: r.activation for r in got.collect()} == {1: 1.0, 2: 0.7, 3: 0.49} and seen.value == 2
