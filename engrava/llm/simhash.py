@@ -5,7 +5,8 @@ one segment (Norouzi et al., 2012), so each looks up half the small Hamming ball
 to look up) in a table of all segments, and what it meets is verified over all 64 bits inside the join. Equal fingerprints are one row before, so copies are never paired; and
 as distinct fingerprints within r bits of one are at most a constant number, links can't outgrow the fingerprints.
 
-The pipeline's documents are compared by the Jaccard similarity of their sets of shingles; MinHash keys find the candidates.
+The pipeline's documents are compared by the Jaccard similarity of their sets of shingles. Candidates are what multi-index hashing brings together, of the fingerprints of these
+sets, and, as sets at the least similarity lie far beyond its radius, what shares a MinHash key.
 """
 
 from __future__ import annotations
@@ -46,7 +47,12 @@ def _shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = 42) -> int:
     """64 bits. A bit is 1 if set in over half the hashes of the shingles, repeats included; without words all are 0."""
-    hashes, total = _shingle_hashes(text, words, seed), np.zeros(BITS, np.int64)
+    return _majority(_shingle_hashes(text, words, seed))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
+    total = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), _AT_ONCE):
         total += np.unpackbits(hashes[at : at + _AT_ONCE].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
@@ -87,6 +93,11 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_keys(hashes: np.ndarray) -> np.ndarray:
+    """``band_keys`` and last the fingerprint of the set, in which no shingle counts twice."""
+    return np.append(band_keys(hashes), np.uint64(_majority(hashes)))
+
+
 def _sketch_apart(a: Column, b: Column) -> Column:
     """Minima whose four bits differ."""
     def words(k: int) -> Column:
@@ -207,25 +218,36 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return common.where(F.col("common") >= F.lit(similarity) * (F.col("n") - F.col("common")) - 1e-9).select("src", "dst")
 
 
+def fingerprint_stars(nodes: DataFrame) -> DataFrame:
+    """``src, dst`` of nodes (``node, print``): each with the smallest of its group, of those connected by fingerprints (signed longs) within ``RADIUS``. Found by multi-index hashing
+    as in ``near_duplicates``; a row for each node at most, however large a group is."""
+    prints = materialize(nodes.groupBy("print").agg(F.min("node").alias("rep")).select(F.col("print").alias("node"), "rep"), "set-fingerprints")
+    groups = materialize(group_nodes(prints, links(prints, ["node"], SEGMENTS, segment_reach(SEGMENTS, RADIUS), RADIUS)), "fingerprint-groups")
+    met = nodes.select("print", F.col("node").alias("dst")).join(groups.select(F.col("node").alias("print"), F.col("component_id").alias("src")).hint("merge"), "print")
+    return met.where("src <> dst").select("src", "dst")
+
+
 def similar_documents(tagged: DataFrame, text: str, rank: Column, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``_row`` of one row of ``tagged`` (with ``_keys``, its ``band_keys``) for each group: the one with the smallest ``rank``.
+    """``_row`` of one row of ``tagged`` (with ``_keys``, its ``set_keys``) for each group: the one with the smallest ``rank``.
 
-    Groups are what is connected by pairs whose sets of shingles have this Jaccard similarity. Equal sets are one node. Candidates share a key of
-    minima and have sizes that allow the similarity; each is verified by the sets themselves, which are made for nodes with a candidate only. First
-    each node of a key is held against the smallest one, then pairs of a key that this hasn't brought together, so a large group of near copies is not paired;
+    Groups are what is connected by pairs whose sets of shingles have this Jaccard similarity. Equal sets are one node. Candidates are brought together by
+    multi-index hashing of their fingerprints, or share a key of minima and have sizes that allow the similarity; each is verified by the sets themselves, which are made for nodes with a candidate only. First
+    each node of a key, or of a group by fingerprints, is held against the smallest one, then pairs of a key that this hasn't brought together, so a large group of near copies is not paired;
     of these, the join itself leaves out those whose sketches are too far apart: sets of this similarity differ in few members, and in no more bits of parity.
     """
     with scratch(tagged.sparkSession):
         nodes = tagged.groupBy("_keys").agg(F.min(rank).alias("rep"))
-        nodes = materialize(nodes.select(F.col("rep.row").alias("node"), "rep", F.col("_keys")[1].alias("size"), F.slice("_keys", 3, BANDS).alias("keys"), F.slice("_keys", 3 + BANDS, SKETCH + PARITY).alias("sketch")), "shingle-sets")
+        nodes = materialize(nodes.select(F.col("rep.row").alias("node"), "rep", F.col("_keys")[1].alias("size"), F.slice("_keys", 3, BANDS).alias("keys"), F.slice("_keys", 3 + BANDS, SKETCH + PARITY).alias("sketch"), F.element_at("_keys", -1).alias("print")), "shingle-sets")
         rows = nodes.where("size > 0").select("node", "size", F.posexplode("keys").alias("band", "key"))
         hubs = rows.groupBy("band", "key").agg(F.min(F.struct("node", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
         hubs = materialize(hubs, "hubs")  # so that the join below shuffles both sides, and AQE can split a key
         met = materialize(rows.join(hubs.hint("merge"), ["band", "key"]), "met")
         fit = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
-        sets = _keep_rows(tagged, materialize(met.select(F.col("node").alias("_row")).distinct(), "candidates"))
+        near = materialize(fingerprint_stars(nodes.where("size > 0")), "fingerprint-stars")
+        candidates = met.select("node").union(near.select("src")).union(near.select("dst")).distinct()
+        sets = _keep_rows(tagged, materialize(candidates.select(F.col("node").alias("_row")), "candidates"))
         sets = materialize(sets.select(F.col("_row").alias("node"), _longs(F.col(text), lambda t: shingle_set(t, words)).alias("hashes")), "sets")
-        first = met.where((F.col("node") != F.col("hub.node")) & fit(F.col("size"), F.col("hub.size"))).select(F.col("hub.node").alias("src"), F.col("node").alias("dst")).distinct()
+        first = met.where((F.col("node") != F.col("hub.node")) & fit(F.col("size"), F.col("hub.size"))).select(F.col("hub.node").alias("src"), F.col("node").alias("dst")).union(near).distinct()
         stars = materialize(_alike(first, sets, similarity), "stars")
         groups = connected_components(stars).select("node", F.col("component").alias("grp"))
         grouped = met.drop("hub").join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
@@ -262,7 +284,7 @@ def dedup_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     cols = docs.columns
     inner = docs.toDF(*[f"c{k}" for k in range(len(cols))])
     doc_id, text = (f"c{cols.index(c)}" for c in ("doc_id", "text"))
-    tagged = materialize(inner.withColumn("_keys", _longs(F.col(text), lambda t: band_keys(shingle_set(t, words)))).withColumn("_row", F.monotonically_increasing_id()), "tagged")
+    tagged = materialize(inner.withColumn("_keys", _longs(F.col(text), lambda t: set_keys(shingle_set(t, words)))).withColumn("_row", F.monotonically_increasing_id()), "tagged")
     rank = F.struct(F.col(doc_id).isNull().alias("late"), F.col(doc_id).cast("long").alias("doc_id"), F.col("_row").alias("row"))
     kept = similar_documents(tagged, text, rank, words, similarity)
     out = _keep_rows(tagged, kept).select(*[f"c{k}" for k in range(len(cols))])

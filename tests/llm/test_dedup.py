@@ -215,3 +215,31 @@ def test_dedup_holds_both_sides_of_the_similarity(spark):
     rows = [rows[k] for k in rng.permutation(len(rows))]
     got = simhash.dedup_documents(docs_of(spark, rows)).collect()
     assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows if i >= 5000 or i % 10 != 1)
+
+
+def test_the_pipelines_candidates_come_by_fingerprints_too(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    texts = []
+    for _ in range(40):  # a text, and one with its last word changed
+        base = [f"w{k}" for k in rng.integers(0, 5000, 600)]
+        texts += [base, [*base[:-1], "changed"]]
+    sets = [simhash.shingle_set(" ".join(t), 5) for t in texts]
+    prints = [int(simhash.set_keys(x)[-1]) for x in sets]
+    assert prints[0] == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in sets[0]) > len(sets[0]))
+    least = components(len(prints), [(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= simhash.RADIUS])
+    nodes = spark.createDataFrame([(k, f - (1 << 64) if f >> 63 else f) for k, f in enumerate(prints)], "node long, print long")
+    got = {(r.src, r.dst) for r in simhash.fingerprint_stars(nodes).collect()}
+    assert got == {(c, k) for k, c in enumerate(least) if c != k} and len(got) > 20
+    # The stage finds by fingerprints alone what these bring together, if no two sets share a key.
+    monkeypatch.setattr(simhash, "_longs", lambda text, of, longs=simhash._longs: longs(text, lambda t: _without_keys(of(t))))
+    kept = simhash.dedup_documents(docs_of(spark, [(k, " ".join(t)) for k, t in enumerate(texts)])).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({*range(len(texts))} - {d for _, d in got})
+
+
+def _without_keys(longs):
+    """Of ``set_keys`` the keys of minima are made the set's own; other arrays stay."""
+    if len(longs) != 3 + simhash.BANDS + simhash.SKETCH + simhash.PARITY:
+        return longs
+    out = longs.copy()
+    out[2 : 2 + simhash.BANDS] = longs[0] + np.arange(simhash.BANDS, dtype=np.uint64)
+    return out
