@@ -48,12 +48,13 @@ def _impact(tf: Column, length: Column, average: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
-def _scored(hits: DataFrame, weights: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``query_id, id, score, held`` of the texts of some blocks (``query_id, block``)."""
-    met = weights.join(blocks, "query_id").join(hits, ["term", "block"])
-    slot = met.groupBy("query_id", "id", "slot").agg(F.sum("tf").alias("tf"), F.first("length").alias("length"), F.first("idf").alias("idf"), F.first("average").alias("average"), F.first("slots").alias("slots"))
-    one = F.col("idf") * _impact(F.col("tf"), F.col("length"), F.col("average"))
-    return slot.groupBy("query_id", "id").agg(F.round(F.tanh(F.sum(one) / SCALE), 9).alias("score"), F.count("*").alias("held"), F.first("slots").alias("slots"))
+def _scored(hits: DataFrame, weights: DataFrame, blocks: DataFrame, average: float) -> DataFrame:
+    """``query_id, id, score, held`` of the texts of some blocks (``query_id, block``): what meets is shuffled once, by query and text, for both sums."""
+    asked = materialize(weights.join(blocks, "query_id"), "asked-blocks")
+    met = join_small(hits, asked, ["no", "block"], "inner").select("query_id", "id", "slot", "idf", "tf", "length").repartition("query_id", "id")
+    slot = met.groupBy("query_id", "id", "slot").agg(F.sum("tf").alias("tf"), F.first("length").alias("length"), F.first("idf").alias("idf"))
+    one = F.col("idf") * _impact(F.col("tf"), F.col("length"), F.lit(average))
+    return slot.groupBy("query_id", "id").agg(F.round(F.tanh(F.sum(one) / SCALE), 9).alias("score"), F.count("*").alias("held"))
 
 
 def search_all(found: Index, rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -67,30 +68,35 @@ def search_all(found: Index, rows: DataFrame, queries: DataFrame, k: int = 10) -
         asked = materialize(parsed(queries), "asked")
         slots = materialize(_slots(found, asked), "slots")
         terms = slots.select("term").union(asked.where("kind = 'without'").select("term")).where("term IS NOT NULL").distinct()
-        terms = materialize(terms.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(found.buckets)).cast("int")), "asked-terms")
+        terms = materialize(terms.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(found.buckets)).cast("int")).withColumn("no", F.monotonically_increasing_id()), "asked-terms")
         total = found.totals.first()
         blocks = 1 + (total.docs or 0) // BLOCK
-        hits = join_small(found.postings, terms, ["bucket", "term"], "inner").select("term", "id", "tf", "length", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+        hits = join_small(found.postings, terms, ["bucket", "term"], "inner").select("no", "id", "tf", "length", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
         hits = materialize(hits, "hits")
-        plain = hits.groupBy("term").agg(F.count("*").alias("df")).withColumnRenamed("term", "slot")
-        wide = slots.where("endswith(slot, '*')").select("slot", "term").distinct().join(hits, "term").groupBy("slot").agg(F.count_distinct("id").alias("df"))
+        slots = materialize(slots.join(terms.select("term", "no"), "term", "left").select("query_id", "slot", "no"), "numbered-slots")
+        plain = hits.groupBy("no").agg(F.count("*").alias("df")).join(terms, "no").select(F.col("term").alias("slot"), "df")
+        wide = slots.where("endswith(slot, '*')").select("slot", "no").distinct().join(hits, "no").groupBy("slot").agg(F.count_distinct("id").alias("df"))
         idf = F.log(1 + (F.lit(total.docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weights = slots.join(plain.unionByName(wide), "slot").join(slots.groupBy("query_id").agg(F.count_distinct("slot").alias("slots")), "query_id")
-        weights = materialize(weights.select("query_id", "slot", "term", "slots", idf.alias("idf"), F.lit(total.average).alias("average")), "weights")
-        bounds = hits.groupBy("term", "block").agg(F.max(_impact(F.col("tf"), F.col("length"), F.lit(total.average))).alias("most"))
-        of_slot = weights.join(bounds, "term").groupBy("query_id", "block", "slot").agg(F.sum(F.col("idf") * F.col("most")).alias("bound"), F.first("slots").alias("slots"))
-        bounds = materialize(of_slot.groupBy("query_id", "block").agg(F.tanh(F.sum("bound") / SCALE).alias("bound"), F.count("*").alias("held"), F.first("slots").alias("slots")), "bounds")
-        gone = hits.join(asked.where("kind = 'without'").select("query_id", "term"), "term").select("query_id", "id")
+        wanted = materialize(slots.groupBy("query_id").agg(F.count_distinct("slot").alias("slots")), "wanted")
+        place = F.dense_rank().over(Window.partitionBy("query_id").orderBy("slot"))
+        weights = materialize(slots.withColumn("place", place).join(plain.unionByName(wide), "slot").select("query_id", F.col("place").alias("slot"), "no", idf.alias("idf")), "weights")
+        bounds = hits.groupBy("no", "block").agg(F.max(_impact(F.col("tf"), F.col("length"), F.lit(total.average))).alias("most"))
+        of_slot = weights.join(bounds, "no").groupBy("query_id", "block", "slot").agg(F.sum(F.col("idf") * F.col("most")).alias("bound"))
+        bounds = of_slot.groupBy("query_id", "block").agg(F.tanh(F.sum("bound") / SCALE).alias("bound"), F.count("*").alias("held"))
+        bounds = materialize(bounds.join(wanted, "query_id"), "bounds")
+        without = materialize(asked.where("kind = 'without'").join(terms, "term").select("query_id", "no"), "without")
+        gone = None if without.isEmpty() else materialize(join_small(hits, without, "no", "inner").select("query_id", "id").distinct(), "gone")
         phrases = asked.where("kind = 'phrase'").select("query_id", "term")
         phrases = None if phrases.isEmpty() else materialize(phrases, "phrases")
 
         def of_blocks(which: DataFrame, every: bool) -> DataFrame:
-            out = _scored(hits, weights, which.select("query_id", "block"))
+            out = _scored(hits, weights, which.select("query_id", "block"), total.average)
             if every:
-                out = out.where("held = slots")
+                out = join_small(out, wanted, "query_id", "inner").where("held = slots")
                 if phrases is not None:
                     out = out.join(_without_phrase(out, rows, phrases), ["query_id", "id"], "left_anti")
-            return out.join(gone, ["query_id", "id"], "left_anti").select("query_id", "id", "score")
+            out = out if gone is None else out.join(gone, ["query_id", "id"], "left_anti")
+            return out.select("query_id", "id", "score")
 
         def top(open_: DataFrame, every: bool) -> DataFrame:
             place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block"))

@@ -68,16 +68,34 @@ def buckets_for(texts: int) -> int:
     return min(BUCKETS, max(16, 1 << math.ceil(math.log2(max(1, texts / TEXTS)))))
 
 
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
+
+
+def postings_of(words: DataFrame, buckets: int, files: int) -> DataFrame:
+    """``id, term, length, tf, bucket`` of ``id, w`` (tokens), each bucket in ``files`` parts.
+
+    There is one shuffle, of a row for each text and bucket: the tokens that fall there as one string. They are counted where they arrive.
+    """
+    sorted_ = F.sort_array(F.transform("w", lambda t: F.struct(bucket_of(t, buckets).alias("b"), t.alias("t"))))
+    texts = words.where("size(w) > 0").select("id", F.size("w").alias("length"), sorted_.alias("s"))
+    texts = texts.withColumn("starts", F.expr("filter(sequence(0, size(s) - 1), i -> i = 0 OR get(s, i).b <> get(s, i - 1).b)"))
+    piece = F.expr("transform(starts, (a, k) -> struct(get(s, a).b AS bucket, array_join(transform(slice(s, a + 1, coalesce(get(starts, k + 1), size(s)) - a), x -> x.t), ' ') AS terms))")
+    pieces = texts.select("id", "length", F.explode(piece).alias("x")).select("id", "length", "x.bucket", F.pmod(F.xxhash64("id"), F.lit(files)).alias("part"), "x.terms")
+    one = pieces.repartition("bucket", "part").select("bucket", "part", "id", "length", F.explode(F.split("terms", " ")).alias("term"))
+    counted = one.groupBy("bucket", "part", "id", "length", "term").agg(F.count("*").alias("tf"))  # dealt so already
+    return counted.select("id", "term", "length", "tf", "bucket")
+
+
 def index(rows: DataFrame, buckets: int | None = None, files: int | None = None) -> Index:
-    """Postings of ``id, content``. A text's tokens are made once; its postings are counted with partial sums and written in folders by bucket, each in as many
+    """Postings of ``id, content``. A text's tokens are made once; its postings are written in folders by bucket, each in as many
     files, so that a term of a third of all texts is no task's alone. Both numbers grow with the corpus unless they are given."""
     spark = rows.sparkSession
     buckets = buckets or buckets_for(rows.count())
     files = files or buckets
-    words = rows.select("id", T.tokens(F.col("content")).alias("w"))
-    counted = words.select("id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
+    counted = postings_of(rows.select("id", T.tokens(F.col("content")).alias("w")), buckets, files)
     path = fresh_path(spark, "postings")
-    counted.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")).repartition("bucket", F.pmod(F.col("id"), F.lit(files))).write.partitionBy("bucket").parquet(path)
+    counted.write.partitionBy("bucket").parquet(path)
     schema = counted.select("id", "term", "length", "tf").schema.add("bucket", IntegerType())
     postings = spark.read.schema(schema).parquet(path)
     sizes = fresh_path(spark, "postings-totals")

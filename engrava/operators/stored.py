@@ -29,17 +29,12 @@ def create_keyword(spark: SparkSession, path: str, texts: int = 0) -> Version:
     return versions.create(spark, path, {"kind": "keyword", "buckets": buckets_for(texts)})
 
 
-def _postings(words: DataFrame, buckets: int) -> DataFrame:
-    counted = words.select("id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
-    return counted.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int"))
-
-
 def append_keyword(old: Version, rows: DataFrame) -> Version:
     """``id, content``: new rows, and new contents of known ids. A text without a word is held, and never found by words."""
     spark = rows.sparkSession
     with scratch(spark):
         words = materialize(rows.select("id", T.tokens(F.coalesce("content", F.lit(""))).alias("w")), "words")
-        postings = _postings(words, old.meta["buckets"]).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(16)))
+        postings = keyword.postings_of(words, old.meta["buckets"], 16)
         tables = {"postings": postings, "texts": words.select("id", F.size("w").alias("length")), "dead": materialize(_replaced(spark, old, words), "replaced")}
         return versions.add(spark, old, tables, {"postings": ["bucket"]})
 

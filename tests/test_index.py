@@ -1,7 +1,9 @@
 """Batch search against single searches, and stored indexes against ones made anew."""
 
+import re
 import subprocess
 import sys
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +128,21 @@ def test_stored_vectors_keep_their_recall(spark, tmp_path):
     assert vectors.recall(found, exact) >= 0.9 and found.where("id < 100").isEmpty()
     stored.compact_vectors(spark, v)
     assert vectors.recall(vectors.search(stored.open_vectors(spark, path), asked), exact) >= 0.9
+
+
+def test_postings_are_dealt_once_a_row_for_each_text_and_bucket(spark):
+    from engrava.functions import text as T
+
+    texts = [(k, " ".join(f"w{(k * j) % 37}" for j in range(k))) for k in range(60)] + [(7, "again w3 w3"), (7, "again w3 w3"), (99, None)]
+    words = spark.createDataFrame(texts, "id long, content string").select("id", T.tokens(F.col("content")).alias("w"))
+    found = keyword.postings_of(words, 16, 4)
+    want = {}
+    for i, t in texts:
+        w = re.findall("[a-z0-9]{2,}", t or "")
+        for x in set(w):
+            at = (i, x, len(w))
+            want[at] = want.get(at, 0) + w.count(x)
+    assert {(r.id, r.term, r.length): r.tf for r in found.collect()} == want and found.count() == len(want)
+    assert all(r.bucket == zlib.crc32(r.term.encode()) % 16 for r in found.collect())
+    fresh = keyword.postings_of(words, 16, 4)  # its plan isn't run yet
+    assert fresh._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
