@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from engrava.functions import text as T
-from engrava.plans.storage import fresh_path
+from engrava.plans.storage import fresh_path, materialize
 
 #: Fixed values of BM25, and what scales its sum to 0..1.
 K1, B, SCALE = 1.2, 0.75, 10.0
@@ -111,6 +111,7 @@ def _scores(found: Index, terms: list[str], prefixes: list[str]) -> DataFrame:
     for x in prefixes:
         of = p.where(F.startswith("term", F.lit(x))).groupBy("id", "length").agg(F.sum("tf").alias("tf")).select("id", "length", F.lit(f"{x}*").alias("term"), "tf")
         rows = of if rows is None else rows.unionByName(of)
+    rows = materialize(rows, "keyword-hits")
     df = rows.groupBy("term").agg(F.count("*").alias("df"))  # a row for each query term
     n = F.broadcast(df.crossJoin(F.broadcast(found.totals)))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -136,17 +137,18 @@ def search(found: Index, rows: DataFrame, query: str, least: float = 0.0) -> Dat
     if not words and not q.prefixes:
         return like.where(F.col("score") >= least)
     scored = _scores(found, words, q.prefixes)
-    every = scored.where(F.col("terms") == len(words) + len(q.prefixes))
+    held = F.col("terms") == len(words) + len(q.prefixes)
     if q.phrases:
         plain = F.concat(F.lit(" "), F.concat_ws(" ", F.filter(F.split(F.lower("content"), "[^a-z0-9]+"), lambda t: t != "")), F.lit(" "))
         whole = F.lit(True)
         for p in q.phrases:
             whole = whole & F.contains(plain, F.lit(f" {p} "))
-        every = every.join(rows.where(whole).select("id"), "id", "left_semi")
+        scored = scored.join(rows.where(whole).select("id", F.lit(True).alias("_whole")).distinct(), "id", "left")
+        held = held & F.col("_whole").isNotNull()
     if q.without:
         gone = _holding(found, q.without).select("id").distinct()
-        every, scored = (x.join(gone, "id", "left_anti") for x in (every, scored))
-    both = scored.join(every.select("id", F.lit(True).alias("_all")), "id", "left").select("id", "score", F.when(F.col("_all"), "and").otherwise("or").alias("how"))
+        scored = scored.join(gone, "id", "left_anti")
+    both = materialize(scored.select("id", "score", F.when(held, "and").otherwise("or").alias("how")), "keyword-found")
     best = both.agg(F.min("how").alias("_best"))  # 'and' comes before 'or'; null if nothing is found
     out = both.crossJoin(F.broadcast(best)).where("how = _best").select("id", "score", "how")
     return out.unionByName(like.crossJoin(F.broadcast(best.where("_best IS NULL"))).select("id", "score", "how")).where(F.col("score") >= least)

@@ -146,3 +146,11 @@ def test_postings_are_dealt_once_a_row_for_each_text_and_bucket(spark):
     assert all(r.bucket == zlib.crc32(r.term.encode()) % 16 for r in found.collect())
     fresh = keyword.postings_of(words, 16, 4)  # its plan isn't run yet
     assert fresh._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_a_search_reads_the_postings_once(spark):
+    rows = spark.createDataFrame([(1, "the common cat"), (2, "the cat"), (3, "a comet, the comet"), (3, "a comet, the comet")], "id long, content string")
+    found = keyword.search(keyword.index(rows), rows, "the com*")
+    assert "postings" not in found._jdf.queryExecution().optimizedPlan().toString() and not [x for x in found.inputFiles() if "/postings-" in x and "keyword" not in x]
+    assert sorted((r.id, r.how) for r in found.collect()) == [(1, "and"), (3, "and")]
+    assert [r.id for r in keyword.search(keyword.index(rows), rows, '"the cat" -common').collect()] == [2]
