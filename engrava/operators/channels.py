@@ -29,7 +29,7 @@ def _day(at: Column) -> Column:
 def _pieces(lo: str, hi: str) -> Column:
     """The fewest aligned ranges of 1, 2, 4, ... days that make up the days from ``lo`` to before ``hi``: two of each size at most."""
     return F.expr(
-        f"""flatten(transform(sequence(0, {LEVELS}), l -> filter(array(
+        f"""flatten(transform(sequence(0, least({LEVELS}, length(bin(greatest({hi} - {lo}, 1))) - 1)), l -> filter(array(
         if(shiftright({lo} + shiftleft(1, l) - 1, l) < shiftright({hi}, l) AND shiftright({lo} + shiftleft(1, l) - 1, l) % 2 = 1, struct(l AS level, shiftright({lo} + shiftleft(1, l) - 1, l) AS at), null),
         if(shiftright({lo} + shiftleft(1, l) - 1, l) < shiftright({hi}, l) AND shiftright({hi}, l) % 2 = 1, struct(l AS level, shiftright({hi}, l) - 1 AS at), null)), x -> x IS NOT NULL)))"""
     )
@@ -57,13 +57,33 @@ def overlapping(left: DataFrame, right: DataFrame) -> DataFrame:
     return first.select(F.col("s").alias("left_id"), F.col("p").alias("right_id")).unionByName(later.select(F.col("p").alias("left_id"), F.col("s").alias("right_id")))
 
 
+def _likeness(q: Column, asked: Column, held: Column, text: Column, subject: Column, predicate: Column) -> Column:
+    share = F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, held)) / F.size(asked)).otherwise(F.lit(0.0))
+    inside = lambda c, bonus: F.when((q != "") & F.contains(c, q), bonus).otherwise(0.0)
+    return share + inside(text, 0.35) + inside(subject, 0.15) + inside(predicate, 0.10)
+
+
 def text_score(query: Column, subject: Column, predicate: Column, obj: Column) -> Column:
     """The share of a query's tokens that a fact holds, and 0.35, 0.15 and 0.10 if its text, subject or predicate holds the query."""
-    q = F.lower(F.trim(query))
-    asked, text = F.array_distinct(T.tokens(q, 1)), F.lower(F.concat_ws(" ", subject, predicate, obj))
-    share = F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, T.tokens(text, 1))) / F.size(asked)).otherwise(F.lit(0.0))
-    inside = lambda c, bonus: F.when((q != "") & F.contains(F.lower(c), q), bonus).otherwise(0.0)
-    return share + inside(text, 0.35) + inside(subject, 0.15) + inside(predicate, 0.10)
+    q, text = F.lower(F.trim(query)), F.lower(F.concat_ws(" ", subject, predicate, obj))
+    return _likeness(q, F.array_distinct(T.tokens(q, 1)), T.tokens(text, 1), text, F.lower(subject), F.lower(predicate))
+
+
+#: One of so many shares of the memories is scored first; its ``k`` best bound what others must reach.
+SHARES = 64
+
+
+def _best_memories(scored: DataFrame, k: int) -> DataFrame:
+    """``query_id, memory_id, score, rank`` of ``query_id, memory_id, score``: the ``k`` best memories by their best score, equal ones by id.
+
+    A share of the memories, by a hash, is scored first; whatever comes after its ``k``-th best can't be among the ``k`` best of all, so it isn't shuffled.
+    """
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "memory_id"))
+    best = lambda df: df.groupBy("query_id", "memory_id").agg(F.max("score").alias("score")).withColumn("rank", rank).where(F.col("rank") <= k)
+    first = materialize(best(scored.where(F.pmod(F.xxhash64("memory_id"), F.lit(SHARES)) == 0)), "temporal-first")
+    least = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("_least"), F.col("memory_id").alias("_last"))
+    reach = F.col("_least").isNull() | (F.col("score") > F.col("_least")) | ((F.col("score") == F.col("_least")) & (F.col("memory_id") <= F.col("_last")))
+    return best(join_small(scored, least, "query_id").where(reach).select("query_id", "memory_id", "score"))
 
 
 def temporal_channel(facts: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -71,32 +91,61 @@ def temporal_channel(facts: DataFrame, queries: DataFrame, k: int = 20) -> DataF
     subject, predicate, object, confidence, start, end, anchor``).
 
     A fact's score adds its text's likeness, that it names a time, that this meets the query's, that its memory has a day, that this meets the query's, and its confidence; where the
-    query's time is known, scores under 0.55 don't count. Facts are compared with the queries that they share a time, a day or a word with; what the others score doesn't depend on the
-    query, so of these only the ``k`` best of all are.
+    query's time is known, scores under 0.55 don't count. Facts are compared with the queries that they share a time, a day or a word with, or whose words they hold within theirs; what the
+    others score doesn't depend on the query, so of these only the ``k`` best of all are.
+
+    A fact meets queries by keys, where it lies: its words, the pieces of days as in ``overlapping``, and one key for all queries that text may hold without sharing a word. A pair that meets by
+    several keys is scored as often, to the same score. Only the best memories' facts are looked at again, for which of them it was.
     """
-    facts = materialize(facts.select("id", "memory_id", "subject", "predicate", "object", "confidence", "start", "end", "anchor"), "temporal-facts")
-    known = materialize(queries.select("query_id", "query", "start", "end", F.col("start").isNotNull().alias("resolved")), "temporal-queries")
-    asked = known.where("resolved").select(F.col("query_id").alias("id"), "start", "end")
-    timed = overlapping(asked, facts.select("id", "start", "end")).toDF("query_id", "id").withColumn("met", F.lit(1))
-    days = facts.where("anchor IS NOT NULL").select("memory_id", F.col("anchor").alias("start")).distinct()
-    dated = overlapping(asked, days.select(F.struct("memory_id", "start").alias("id"), "start", F.col("start").alias("end"))).select(F.col("left_id").alias("query_id"), "right_id.memory_id", F.col("right_id.start").alias("anchor"))
-    dated = dated.join(facts.select("id", "memory_id", "anchor"), ["memory_id", "anchor"]).select("query_id", "id").withColumn("date_met", F.lit(1))
-    words = known.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query"), 1))).alias("t"))
-    held = facts.select("id", F.explode(F.array_distinct(T.tokens(F.concat_ws(" ", "subject", "predicate", "object"), 1))).alias("t"))
-    spoken = join_small(held, words, "t", "inner").select("query_id", "id").distinct()
-    met = spoken.select("query_id", "id", F.lit(0).alias("met"), F.lit(0).alias("date_met")).unionByName(timed.select("query_id", "id", "met", F.lit(0).alias("date_met"))).unionByName(dated.select("query_id", "id", F.lit(0).alias("met"), "date_met"))
-    met = materialize(met.groupBy("query_id", "id").agg(F.max("met").alias("met"), F.max("date_met").alias("date_met")), "temporal-met")
-    rows = met.join(facts, "id").join(known.select("query_id", "query", "resolved"), "query_id")
-    base = F.when(F.col("start").isNotNull(), TIMED).otherwise(0.0) + F.when(F.col("anchor").isNotNull(), DATED).otherwise(0.0) + SURE * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("confidence", F.lit(0.0))))
-    likeness = text_score(F.col("query"), F.col("subject"), F.col("predicate"), F.col("object"))
-    scored = rows.select("query_id", "memory_id", "id", "resolved", F.round(TEXT * likeness + base + MET * F.col("met") + DATE_MET * F.col("date_met"), 6).alias("score"))
-    plain = facts.select("memory_id", "id", F.round(base, 6).alias("score")).groupBy("memory_id").agg(F.max_by(F.struct("score", "id"), F.struct("score", -F.col("id"))).alias("b"))
-    plain = plain.select("memory_id", "b.score", "b.id").orderBy(F.desc("score"), "memory_id").limit(k)
-    every = scored.unionByName(plain.crossJoin(F.broadcast(known.select("query_id", "resolved"))).select("query_id", "memory_id", "id", "resolved", "score"))
-    every = every.where(~F.col("resolved") | (F.col("score") >= LEAST)).where("score > 0")
-    best = every.groupBy("query_id", "memory_id").agg(F.max_by(F.struct("score", "id"), F.struct("score", -F.col("id"))).alias("b")).select("query_id", "memory_id", "b.score", F.col("b.id").alias("fact_id"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "memory_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k)
+    with scratch(facts.sparkSession):
+        dealt = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fact is small for the work that it makes: as many tasks as there may be
+        facts = materialize(facts.select("id", "memory_id", "subject", "predicate", "object", "confidence", "start", "end", "anchor").repartition(dealt, "id"), "temporal-facts")
+        q, start, end = F.lower(F.trim("query")), F.col("start").cast("date"), F.coalesce("end", "start").cast("date")
+        known = queries.select("query_id", F.coalesce(q, F.lit("")).alias("q"), start.isNotNull().alias("resolved"), F.when(start <= end, start).alias("from"), F.when(start <= end, end).alias("to"))
+        asked = F.array_distinct(T.tokens(F.col("q"), 1))
+        # Words between two others of a query, or beside its other signs, are whole words wherever a text holds the query.
+        loose = (F.col("q") != "") & ~F.col("q").rlike("[^a-z0-9][a-z0-9]+[^a-z0-9]|^[^a-z0-9]+[a-z0-9]+[^a-z0-9]|[^a-z0-9][a-z0-9]+[^a-z0-9]+$")
+        known = materialize(known.withColumn("asked", asked).withColumn("loose", loose), "temporal-queries")
+        spans = known.where("from IS NOT NULL").select("query_id", _day(F.col("from")).alias("lo"), (_day(F.col("to")) + 1).alias("hi"))
+        pieces = materialize(spans.select("query_id", F.explode(_pieces("lo", "hi")).alias("x")).select("query_id", "x.level", "x.at"), "temporal-pieces")
+        levels = sorted(r.level for r in pieces.select("level").distinct().collect())  # no more than LEVELS and one
+        word = lambda c: F.transform(c, lambda t: F.xxhash64(t))
+        time = lambda kind, level, at: (((F.lit(kind * 32) + level).cast("long") * (1 << 32)) + at.cast("long"))
+        keys = known.select("query_id", F.explode(word("asked")).alias("key"))
+        keys = keys.unionByName(known.where("loose").select("query_id", F.lit(0).cast("long").alias("key")))
+        keys = keys.unionByName(pieces.select("query_id", time(1, F.col("level"), F.col("at")).alias("key")))
+        within = F.explode(F.expr(f"transform(sequence(0, {LEVELS}), l -> struct(l AS level, shiftright(lo, l) AS at))"))
+        keys = keys.unionByName(spans.select("query_id", within.alias("x")).select("query_id", time(2, F.col("x.level"), F.col("x.at")).alias("key")))
+        keys = materialize(keys.distinct().join(known, "query_id"), "temporal-keys")
+
+        base = F.when(F.col("start").isNotNull(), TIMED).otherwise(0.0) + F.when(F.col("anchor").isNotNull(), DATED).otherwise(0.0) + SURE * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("confidence", F.lit(0.0))))
+        text = F.lower(F.concat_ws(" ", "subject", "predicate", "object"))
+        told = facts.select(
+            "id", "memory_id", base.alias("base"), text.alias("text"), F.lower("subject").alias("subject"), F.lower("predicate").alias("predicate"), F.when(start <= end, start).alias("f_from"), F.when(start <= end, end).alias("f_to"), F.col("anchor").cast("date").alias("anchor")
+        ).withColumn("held", F.array_distinct(T.tokens(F.col("text"), 1)))
+        met = F.when((F.col("f_from") <= F.col("to")) & (F.col("f_to") >= F.col("from")), MET).otherwise(0.0)
+        date_met = F.when(F.col("anchor").between(F.col("from"), F.col("to")), DATE_MET).otherwise(0.0)
+        likeness = _likeness(F.col("q"), F.col("asked"), F.col("held"), F.col("text"), F.col("subject"), F.col("predicate"))
+        score = F.round(TEXT * likeness + F.col("base") + met + date_met, 6)
+        counts = (~F.col("resolved") | (F.col("score") >= LEAST)) & (F.col("score") > 0)
+
+        days = told.withColumn("lo", _day(F.col("f_from")) + 1).withColumn("hi", _day(F.col("f_to")) + 1).withColumn("day", _day(F.col("f_from"))).withColumn("held_day", _day(F.col("anchor")))
+        points = [F.when(F.col(c).isNotNull(), time(1, F.lit(level), F.shiftright(F.col(c), level))) for c in ("day", "held_day") for level in levels]
+        parts = F.when(F.col("lo") < F.col("hi"), F.transform(_pieces("lo", "hi"), lambda x: time(2, x["level"], x["at"])))
+        met_by = F.concat(word("held"), F.array(F.lit(0).cast("long"), *points), F.coalesce(parts, F.array().cast("array<long>")))
+        by_key = days.select(*told.columns, F.explode(met_by).alias("key")).where("key IS NOT NULL")
+        pairs = join_small(by_key, keys, "key", "inner").where((F.col("key") != 0) | F.contains("text", F.col("q")))
+        pairs = pairs.select("query_id", "memory_id", "resolved", score.alias("score")).where(counts).select("query_id", "memory_id", "score")
+        plain = _best_memories(facts.select(F.lit(0).alias("query_id"), "memory_id", F.round(base, 6).alias("score")), k)
+        plain = materialize(plain.select("memory_id", "score"), "temporal-plain")
+        others = plain.crossJoin(F.broadcast(known.select("query_id", "resolved"))).where(counts).select("query_id", "memory_id", "score")
+        both = materialize(_best_memories(pairs, k).drop("rank").unionByName(others), "temporal-both")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "memory_id"))
+        best = both.groupBy("query_id", "memory_id").agg(F.max("score").alias("score")).withColumn("rank", rank).where(F.col("rank") <= k)
+        best = materialize(best.join(known, "query_id"), "temporal-best")
+        again = join_small(told, best.withColumnRenamed("score", "most"), "memory_id", "inner").where(score == F.col("most"))
+        out = again.groupBy("query_id", "memory_id", F.col("most").alias("score"), "rank").agg(F.min("id").alias("fact_id"))
+        return materialize(out.select("query_id", "memory_id", "score", "fact_id", "rank"), "temporal-found", keep=True)
 
 
 def temporal_boost(results: DataFrame, times: DataFrame, queries: DataFrame) -> DataFrame:

@@ -18,3 +18,40 @@ def test_forms_one_edit_apart_meet_only_each_other(spark):
     assert len(met) == len(set(met)) and set(met) == want and any(len(names[a]) != len(names[b]) for a, b in want)
     got = {tuple(sorted((r["first"], r.node))) for r in admission._similar_pairs(forms, 0.9).collect()}
     assert got == want
+
+
+def test_temporal_channel_by_all_pairs(spark):
+    import random
+    from datetime import date, timedelta
+
+    from pyspark.sql import functions as F
+
+    from engrava.operators import channels
+
+    rng = random.Random(8)
+    day = date(1999, 12, 25)
+    some = lambda: rng.choice([None, day + timedelta(rng.randint(-300, 300))])
+    facts = []
+    for k in range(700):
+        start = some()
+        facts.append((k, rng.randrange(260), rng.choice(["Ann", "Joann", None]), rng.choice(["is", "isle of"]), rng.choice(["zebra", "Zoo keeper", "big zoo"]), rng.choice([0.2, 0.5, 0.9]), start, start and rng.choice([None, start + timedelta(rng.choice([-1, 0, 1, 40, 400]))]), some()))
+    # Held within words: "zeb", "ann is", "oann isle"; beside other signs: "zoo,".
+    texts = ["zebra", "zeb", "ann is", "oann isle", "ann is zebra", "zoo,", "--", "", None, "nothing of it", "keeper zoo"]
+    queries = [(n, t, start, start and rng.choice([None, start + timedelta(rng.choice([-1, 0, 20, 90]))])) for n, (t, start) in enumerate((t, some()) for t in texts * 3)]
+    f = spark.createDataFrame(facts, "id long, memory_id long, subject string, predicate string, object string, confidence double, start date, end date, anchor date")
+    q = spark.createDataFrame(queries, "query_id int, query string, start date, end date")
+    like = {(r.query_id, r.id): r.x for r in f.crossJoin(q.select("query_id", "query")).select("query_id", "id", F.coalesce(channels.text_score(F.coalesce("query", F.lit("")), F.col("subject"), F.col("predicate"), F.col("object")), F.lit(0.0)).alias("x")).collect()}
+    want = set()
+    for n, _, a, b in queries:
+        b, found = b or a, {}
+        for i, m, _, _, _, sure, start, end, anchor in facts:
+            end = end or start
+            timed = bool(a and start and a <= b and start <= end and start <= b and end >= a)
+            dated = bool(a and anchor and a <= anchor <= b)
+            score = round(0.35 * like[n, i] + 0.35 * (start is not None) + 0.1 * (anchor is not None) + 0.15 * sure + 1.1 * timed + 0.75 * dated, 5)
+            if score > 0 and (a is None or score >= 0.55):
+                found[m] = max(found.get(m, (0, 0)), (score, -i))
+        for rank, (m, (score, i)) in enumerate(sorted(found.items(), key=lambda x: (-x[1][0], x[0]))[:20], 1):
+            want.add((n, m, score, -i, rank))
+    got = {(r.query_id, r.memory_id, round(r.score, 5), r.fact_id, r.rank) for r in channels.temporal_channel(f, q).collect()}
+    assert got == want and len(got) > 400
