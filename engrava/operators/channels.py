@@ -135,7 +135,8 @@ def temporal_channel(facts: DataFrame, queries: DataFrame, k: int = 20) -> DataF
         met_by = F.concat(word("held"), F.array(F.lit(0).cast("long"), *points), F.coalesce(parts, F.array().cast("array<long>")))
         by_key = days.select(*told.columns, F.explode(met_by).alias("key")).where("key IS NOT NULL")
         pairs = join_small(by_key, keys, "key", "inner").where((F.col("key") != 0) | F.contains("text", F.col("q")))
-        pairs = pairs.select("query_id", "memory_id", "resolved", score.alias("score")).where(counts).select("query_id", "memory_id", "score")
+        # Exploded, so that a score is made once: filters on it would be pushed below a plain column and make it again each time they name it.
+        pairs = pairs.select("query_id", "memory_id", "resolved", F.explode(F.array(score)).alias("score")).where(counts).select("query_id", "memory_id", "score")
         plain = _best_memories(facts.select(F.lit(0).alias("query_id"), "memory_id", F.round(base, 6).alias("score")), k)
         plain = materialize(plain.select("memory_id", "score"), "temporal-plain")
         others = plain.crossJoin(F.broadcast(known.select("query_id", "resolved"))).where(counts).select("query_id", "memory_id", "score")
