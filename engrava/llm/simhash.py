@@ -218,22 +218,42 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return common.where(F.col("common") >= F.lit(similarity) * (F.col("n") - F.col("common")) - 1e-9).select("src", "dst")
 
 
-def fingerprint_stars(nodes: DataFrame) -> DataFrame:
-    """``src, dst`` of nodes (``node, print``): each with the smallest of its group, of those connected by fingerprints (signed longs) within ``RADIUS``. Found by multi-index hashing
-    as in ``near_duplicates``; a row for each node at most, however large a group is."""
+def fingerprint_links(nodes: DataFrame) -> DataFrame:
+    """``src, dst``: fingerprints (``print`` of ``nodes``, signed longs) within ``RADIUS`` of each other, each pair once. Found by multi-index hashing as in ``near_duplicates``."""
+    found = links(nodes.select(F.col("print").alias("node")).distinct(), ["node"], SEGMENTS, segment_reach(SEGMENTS, RADIUS), RADIUS)
+    return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
+def fingerprint_stars(nodes: DataFrame, met: DataFrame | None = None) -> DataFrame:
+    """``src, dst`` of nodes (``node, print``): each with the smallest of its group, of those connected by ``fingerprint_links`` (``met``, if they are known);
+    a row for each node at most, however large a group is."""
     prints = materialize(nodes.groupBy("print").agg(F.min("node").alias("rep")).select(F.col("print").alias("node"), "rep"), "set-fingerprints")
-    groups = materialize(group_nodes(prints, links(prints, ["node"], SEGMENTS, segment_reach(SEGMENTS, RADIUS), RADIUS)), "fingerprint-groups")
+    groups = materialize(group_nodes(prints, fingerprint_links(nodes) if met is None else met), "fingerprint-groups")
     met = nodes.select("print", F.col("node").alias("dst")).join(groups.select(F.col("node").alias("print"), F.col("component_id").alias("src")).hint("merge"), "print")
     return met.where("src <> dst").select("src", "dst")
 
 
+def fingerprint_rest(held: DataFrame, met: DataFrame, alike: Callable[[str, str], Column]) -> DataFrame:
+    """``src, dst`` of nodes (``held``: ``node, print, grp`` and what ``alike`` reads) in different ``grp`` whose fingerprints are equal or linked (``met``): every such pair for which ``alike``,
+    of the names of both sides' columns, holds inside the join. Fingerprints that have one ``grp`` between them aren't joined."""
+    of = materialize(held.groupBy("print").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")), "groups-of-fingerprints")
+    both = met.join(of.toDF("src", "lo", "hi").hint("merge"), "src").join(of.toDF("dst", "lo_dst", "hi_dst").hint("merge"), "dst")
+    mixed = both.where(F.least("lo", "lo_dst") != F.greatest("hi", "hi_dst")).select("src", "dst")
+    mixed = materialize(mixed.union(of.where("lo <> hi").select(F.col("print").alias("src"), F.col("print").alias("dst"))), "mixed-fingerprints")
+    a, b = (held.select(*[F.col(c).alias(f"{c}_{x}") for c in held.columns]) for x in ("src", "dst"))
+    one = materialize(mixed.join(a.hint("merge"), F.col("src") == F.col("print_src")).drop("src"), "fingerprint-sides")
+    once = (F.col("dst") != F.col("print_src")) | (F.col("node_src") < F.col("node_dst"))
+    pairs = one.join(b.hint("merge"), F.col("dst") == F.col("print_dst")).where(once & (F.col("grp_src") != F.col("grp_dst")) & alike("src", "dst"))
+    return pairs.select(F.least("node_src", "node_dst").alias("src"), F.greatest("node_src", "node_dst").alias("dst"))
+
+
 def similar_documents(tagged: DataFrame, text: str, rank: Column, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``_row`` of one row of ``tagged`` (with ``_keys``, its ``set_keys``) for each group: the one with the smallest ``rank``.
 
     Groups are what is connected by pairs whose sets of shingles have this Jaccard similarity. Equal sets are one node. Candidates are brought together by
     multi-index hashing of their fingerprints, or share a key of minima and have sizes that allow the similarity; each is verified by the sets themselves, which are made for nodes with a candidate only. First
-    each node of a key, or of a group by fingerprints, is held against the smallest one, then pairs of a key that this hasn't brought together, so a large group of near copies is not paired;
-    of these, the join itself leaves out those whose sketches are too far apart: sets of this similarity differ in few members, and in no more bits of parity.
+    each node of a key, or of a group by fingerprints, is held against the smallest one, then pairs of a key, and of fingerprints that are equal or linked, that this hasn't brought together, so a large group
+    of near copies is not paired; of these, the join itself leaves out those whose sketches are too far apart: sets of this similarity differ in few members, and in no more bits of parity.
     """
     with scratch(tagged.sparkSession):
         nodes = tagged.groupBy("_keys").agg(F.min(rank).alias("rep"))
@@ -243,7 +263,8 @@ def similar_documents(tagged: DataFrame, text: str, rank: Column, words: int = 5
         hubs = materialize(hubs, "hubs")  # so that the join below shuffles both sides, and AQE can split a key
         met = materialize(rows.join(hubs.hint("merge"), ["band", "key"]), "met")
         fit = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
-        near = materialize(fingerprint_stars(nodes.where("size > 0")), "fingerprint-stars")
+        linked = materialize(fingerprint_links(nodes.where("size > 0")), "fingerprint-links")
+        near = materialize(fingerprint_stars(nodes.where("size > 0"), linked), "fingerprint-stars")
         candidates = met.select("node").union(near.select("src")).union(near.select("dst")).distinct()
         sets = _keep_rows(tagged, materialize(candidates.select(F.col("node").alias("_row")), "candidates"))
         sets = materialize(sets.select(F.col("_row").alias("node"), _longs(F.col(text), lambda t: shingle_set(t, words)).alias("hashes")), "sets")
@@ -255,10 +276,18 @@ def similar_documents(tagged: DataFrame, text: str, rank: Column, words: int = 5
         mixed = materialize(mixed, "mixed")
         grouped = materialize(grouped.join(mixed.hint("merge"), ["band", "key"], "left_semi").join(nodes.select("node", "sketch"), "node"), "grouped")
         a, b = (grouped.select("band", "key", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "grp", "sketch")]) for x in ("src", "dst"))
-        apart = (F.col("src") < F.col("dst")) & (F.col("grp_src") != F.col("grp_dst")) & fit(F.col("size_src"), F.col("size_dst"))
-        differ = reduce(lambda x, y: x + y, [F.bit_count(F.col("sketch_src")[k].bitwiseXOR(F.col("sketch_dst")[k])) for k in range(SKETCH, SKETCH + PARITY)])
-        apart &= differ <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("size_src") + F.col("size_dst")) + 1e-9
-        rest = a.join(b.hint("merge"), ["band", "key"]).where(apart & (_sketch_apart(F.col("sketch_src"), F.col("sketch_dst")) <= most_apart(similarity))).select("src", "dst").distinct()
+
+        def can_be_alike(x: str, y: str) -> Column:
+            """By the sizes and the bits of parity: exact."""
+            differ = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"sketch_{x}")[k].bitwiseXOR(F.col(f"sketch_{y}")[k])) for k in range(SKETCH, SKETCH + PARITY)])
+            sizes = (F.col(f"size_{x}"), F.col(f"size_{y}"))
+            return fit(*sizes) & (differ <= F.lit((1 - similarity) / (1 + similarity)) * (sizes[0] + sizes[1]) + 1e-9)
+
+        apart = (F.col("src") < F.col("dst")) & (F.col("grp_src") != F.col("grp_dst")) & can_be_alike("src", "dst")
+        rest = a.join(b.hint("merge"), ["band", "key"]).where(apart & (_sketch_apart(F.col("sketch_src"), F.col("sketch_dst")) <= most_apart(similarity))).select("src", "dst")
+        held = near.select("src").union(near.select("dst")).distinct().toDF("node").join(nodes.select("node", "size", "sketch", "print"), "node").join(groups, "node", "left")
+        held = materialize(held.withColumn("grp", F.coalesce("grp", "node")), "fingerprint-nodes")
+        rest = rest.union(fingerprint_rest(held, linked, can_be_alike)).distinct()
         kept = group_nodes(nodes, stars.union(materialize(_alike(rest, sets, similarity), "alike"))).select(F.col("component_id.row").alias("_row")).distinct()
         return materialize(kept, "kept", keep=True)
 
