@@ -55,3 +55,23 @@ def test_temporal_channel_by_all_pairs(spark):
             want.add((n, m, score, -i, rank))
     got = {(r.query_id, r.memory_id, round(r.score, 5), r.fact_id, r.rank) for r in channels.temporal_channel(f, q).collect()}
     assert got == want and len(got) > 400
+
+
+def test_similar_objects_broadcasts_only_what_was_counted(spark, monkeypatch):
+    from engrava.plans.storage import join_small
+
+    plans = []
+
+    def written(df, name, keep=False, materialize=admission.materialize):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return materialize(df, name, keep)
+
+    monkeypatch.setattr(admission, "materialize", written)
+    monkeypatch.setattr(admission, "join_small", lambda big, small, on, how="left": join_small(big, small, on, how, rows=0))
+    names = [*(f"customer{7 * k:09d}" for k in range(30)), *(f"a longer name of several words {7 * k:04d}" for k in range(10))]
+    facts = [(k, "s", "p", o, (k % 7) / 7, None) for k, o in enumerate(names)]
+    rows = spark.createDataFrame(facts, "id long, subject string, predicate string, object string, confidence double, superseded_by long").selectExpr("*", "timestamp_ntz '2024-01-01 00:00:00' AS created_at")
+    got = admission.similar_objects(rows)
+    plans.append(("result", got._jdf.queryExecution().executedPlan().toString()))
+    assert [name for name, plan in plans if "Broadcast" in plan] == [] and any("SortMergeJoin" in plan for _, plan in plans)
+    assert got.count() > 5
