@@ -75,3 +75,37 @@ def test_similar_objects_broadcasts_only_what_was_counted(spark, monkeypatch):
     plans.append(("result", got._jdf.queryExecution().executedPlan().toString()))
     assert [name for name, plan in plans if "Broadcast" in plan] == [] and any("SortMergeJoin" in plan for _, plan in plans)
     assert got.count() > 5
+
+
+def _side(rng, size, memories, most):
+    import numpy as np
+    import pyarrow as pa
+
+    held = [np.unique(rng.integers(0, memories, rng.integers(1, most))) for _ in range(size)]
+    return held, pa.table({"s": [f"{size}-{k}" for k in range(size)], "ms": pa.array(held, pa.list_(pa.int64()))})
+
+
+def test_memories_meet_whole_one_by_one_and_by_bits(monkeypatch):
+    import numpy as np
+
+    from engrava.operators import meetings
+
+    rng = np.random.default_rng(3)
+    for memories, most in ((40, 12), (900, 400), (5000, 9)):
+        (xs, a), (ys, b) = _side(rng, 90, memories, most), _side(rng, 210, memories, most)
+        for same, left, right, other in ((False, a, b, ys), (True, a, a, xs)):
+            shared = {(i, j): n for i, x in enumerate(xs) for j, y in enumerate(other) if (not same or j > i) and (n := len(np.intersect1d(x, y)))}
+            for many, share, held, at_once in ((64, 300, 64 << 20, 2_000_000), (1, 1 << 30, 2000, 500), (1, 1 << 30, 64 << 20, 500), (1 << 30, 1, 0, 900)):
+                for name, value in (("MANY", many), ("MANY_SHARE", share), ("FLAG_BYTES", held), ("AT_ONCE", at_once)):
+                    monkeypatch.setattr(meetings, name, value)
+                for least in (1, 2, 3):
+                    got = [t for x, y, n in meetings._meet(left, right, same, least) for t in zip(x.tolist(), y.tolist(), n.tolist())]
+                    assert len(got) == len(set(got)) and {(i, j): n for i, j, n in got} == {p: n for p, n in shared.items() if n >= least}
+                    strong = [t for x, y in meetings._strong(left, right, same, least, lambda: np.zeros(len(other), bool)) for t in zip(x.tolist(), y.tolist())]
+                    assert {(i, j) for i, j in strong if not same or j > i} == {p for p, n in shared.items() if n >= least} and strong == sorted(strong, key=lambda t: t[0])
+                    one = np.arange(len(other)) % 3 > 0
+                    fewer = {t for x, y in meetings._strong(left, right, same, least, lambda: one) for t in zip(x.tolist(), y.tolist())}
+                    for i in range(len(xs)):  # all that aren't known as one, and one at least of those that are
+                        mine = {j for k, j in strong if k == i}
+                        assert {j for k, j in fewer if k == i and not one[j]} == {j for j in mine if not one[j]}
+                        assert bool([j for k, j in fewer if k == i and one[j]]) == bool([j for j in mine if one[j]])
